@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding
+from . import byte_bpe, language, packing, repetition, sharding, simhash, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -24,13 +24,45 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality_rules(_documents(spark, sf_dir)).drop("spans")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held = language.held_out("doc_id")
+    model = language.fit(docs.where(~held & F.col("doc_id").isNotNull()))
+    found = language.predict(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode(_documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op2_histogram_shards": op2_histogram_shards,
+    "op3_token_counts": op3_token_counts,
     "op4_pack": op4_pack,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_simhash": op6_simhash,
+    "op8_language": op8_language,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 #: None of these is expressible in SQL but for what tests compare by brute force.
