@@ -72,11 +72,13 @@ def _counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
     part = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").mapInArrow(count, "lang string, block int, n array<bigint>")
 
-    def add(key, table: pa.Table) -> pa.Table:
+    def add(table):
         total = np.sum([np.asarray(x.values) for x in table.column("n")], axis=0)
-        return pa.table({"lang": [key[0].as_py()], "block": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([total.tolist()], pa.list_(pa.int64()))})
+        return pa.table({"lang": table.column("lang")[:1], "block": table.column("block")[:1], "n": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
-    return part.groupBy("lang", "block").applyInArrow(add, "lang string, block int, n array<bigint>")
+    # In two steps, so that no group holds a row of every task
+    some = part.withColumn("salt", F.spark_partition_id() % 64).groupBy("lang", "block", "salt").applyInArrow(add, "lang string, block int, n array<bigint>")
+    return some.groupBy("lang", "block").applyInArrow(add, "lang string, block int, n array<bigint>")
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, packing, repetition, sharding, simhash, token_counts
+from . import byte_bpe, language, licenses, packing, repetition, sharding, simhash, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -41,6 +41,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_documents(spark, sf_dir)).drop("templates")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held = language.held_out("doc_id")
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_pack": op4_pack,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
+    "op7_license_scan": op7_license_scan,
     "op8_language": op8_language,
     "op9_byte_bpe": op9_byte_bpe,
 }
