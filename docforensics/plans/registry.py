@@ -6,17 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..fixtures import with_fixtures
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with SQL for DuckDB that gives the same rows."""
+
+    def put(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            SQL[key] = with_fixtures(sql)
+        return f
+
+    return put
+
+
+def _load() -> None:
+    from . import evaluation, fields, forensics, history, mrz, reports, spatial  # noqa: F401
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    _load()
+    return QUERIES["assemble_report"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
