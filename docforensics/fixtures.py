@@ -140,4 +140,6 @@ def with_fixtures(sql: str) -> str:
     body = sql.strip()
     if not ctes:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes}, {body[15:]}"
     return f"with {ctes}, {body[5:]}" if body.lower().startswith("with ") else f"with {ctes} {body}"

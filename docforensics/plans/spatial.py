@@ -1 +1,134 @@
-"""Queries."""
+"""Queries of the job spatial_fields."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..fixtures import fx
+from ..operators import spatial as op
+from .mrz import _AS_OF
+from .registry import query
+
+
+def tokens(spark, sf_dir):
+    return fx(spark, sf_dir, "fx_tokens").where("conf >= 20")
+
+
+def labelled(spark, sf_dir):
+    """Words of the fixture with some turned into labels; their rows are their lines."""
+    text = F.when(F.col("word_no") == 0, F.when(F.col("line_no") % 3 == 0, "Surname").when(F.col("line_no") % 3 == 1, "date")).when((F.col("word_no") == 1) & (F.col("line_no") % 3 == 1), "of").when((F.col("word_no") == 2) & (F.col("line_no") % 3 == 1), "birth")
+    return fx(spark, sf_dir, "fx_tokens").withColumn("text", F.coalesce(text, "text")).withColumn("row_key", F.col("top"))
+
+
+_LABELLED = """(select scan_id, line_no, word_no, top, "left", width, coalesce(case when word_no = 0 then (case line_no % 3 when 0 then 'Surname' when 1 then 'date' end) when word_no = 1 and line_no % 3 = 1 then 'of' when word_no = 2 and line_no % 3 = 1 then 'birth' end, text) as text from fx_tokens)"""
+
+
+@query("select scan_id, line_no, word_no, top as row_key from fx_tokens where conf >= 20")
+def group_token_rows(spark, sf_dir):
+    return op.group_token_rows(tokens(spark, sf_dir)).select("scan_id", "line_no", "word_no", "row_key")
+
+
+def _after(words: str, field: str, last: int, lines: str) -> str:
+    return f"""with w as (select *, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) as c, dense_rank() over (partition by scan_id order by top) as row from {_LABELLED}),
+  h as (select a.scan_id, a.row, a.word_no, a."left" + a.width as r, f."left" as l, a.top from w a join w f on f.scan_id = a.scan_id and f.row = a.row and f.word_no = 0 where a.word_no = {last} and a.line_no % 3 = {lines}{words}),
+  o as (select h.scan_id, h.row, string_agg(w.text, ' ' order by w.word_no) as v from h join w on w.scan_id = h.scan_id and w.row = h.row and w.word_no > h.word_no and w."left" >= h.r - 5 group by all),
+  n as (select h.scan_id, h.row, string_agg(w.text, ' ' order by w.word_no) as v from h join w on w.scan_id = h.scan_id and w.row = h.row + 1 and w.top - h.top <= 60 and w."left" >= h.l - 20 group by all),
+  b as (select h.scan_id, h.row, coalesce(o.v, n.v) as v from h left join o on o.scan_id = h.scan_id and o.row = h.row left join n on n.scan_id = h.scan_id and n.row = h.row)
+  select scan_id, '{field}' as field, v as value from b where v is not null qualify row_number() over (partition by scan_id order by row) = 1"""
+
+
+@query(_after("", "surname", 0, "0"))
+def value_after_label(spark, sf_dir):
+    d = op.value_after_label(labelled(spark, sf_dir))
+    return d.where(F.col("k") == list(op.KEYWORDS).index("surname")).select("scan_id", "field", "value")
+
+
+@query(_after("", "date_of_birth", 2, "1"))
+def value_after_phrase(spark, sf_dir):
+    d = op.value_after_phrase(labelled(spark, sf_dir))
+    return d.where(F.col("k") == [p for p, _ in op.PHRASES].index("date of birth")).select("scan_id", "field", "value")
+
+
+@query()
+def resolve_passes(spark, sf_dir):
+    d = labelled(spark, sf_dir)
+    none = op.value_after_label(d).where("false").select("scan_id", "field", "value")
+    return op.resolve_passes(op.value_after_phrase(d), op.value_after_label(d), none, none, _AS_OF())
+
+
+def _long_words(d):
+    """The first word of at least eight letters of each scan, as a field."""
+    return d.where(F.length("text") >= 8).groupBy("scan_id").agg(F.min_by("text", F.struct("line_no", "word_no")).alias("value")).withColumn("field", F.lit("surname"))
+
+
+_COMPACT = lambda c: f"regexp_replace(upper({c}), '[^A-Z0-9À-ÖØ-öø-ÿ]', '', 'g')"
+
+
+@query(
+    f"""with f as (select scan_id, arg_min(text, line_no * 100000 + word_no) as value from fx_tokens where len(text) >= 8 group by scan_id),
+  l as (select scan_id, line_no, {_COMPACT('''string_agg(text, '' order by word_no)''')} as line, min("left") as x, min(top) as y, max("left" + width) as r from fx_tokens group by scan_id, line_no),
+  v as (select scan_id, {_COMPACT('value')} as v from f)
+  select v.scan_id, x, y, greatest(1, r - x) as w, 36 as h from v join l on v.scan_id = l.scan_id where len(v) >= 2 and (contains(line, v) or (len(substr(v, 1, 12)) >= 6 and contains(line, substr(v, 1, 12)))) qualify row_number() over (partition by v.scan_id order by line_no) = 1"""
+)
+def field_bbox(spark, sf_dir):
+    d = fx(spark, sf_dir, "fx_tokens").withColumn("row_key", F.col("top"))
+    return op.field_bbox(d, _long_words(d)).select("scan_id", "x", "y", "w", "h")
+
+
+@query('select scan_id, line_no, word_no, cast(floor("left" * 600.0 / 1000) as int) as x, cast(floor(top * 300.0 / 700) as int) as y, greatest(1, cast(floor(width * 600.0 / 1000) as int)) as w, greatest(1, cast(floor(16 * 300.0 / 700) as int)) as h from fx_tokens')
+def rescale_boxes(spark, sf_dir):
+    d = fx(spark, sf_dir, "fx_tokens").select("scan_id", "line_no", "word_no", F.col("left").alias("x"), F.col("top").alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))
+    return op.rescale_boxes(d, (F.lit(1000), F.lit(700)), (F.lit(600), F.lit(300)))
+
+
+def pages(spark, sf_dir):
+    d = fx(spark, sf_dir, "fx_tokens").groupBy("scan_id").agg(F.max(F.col("left") + F.col("width")).alias("w"), F.max(F.col("top") + F.col("height")).alias("h"))
+    return d.withColumn("doc_type", F.element_at(F.array(*map(F.lit, op.TEMPLATES)), (F.col("scan_id") % 6 + 1).cast("int")))
+
+
+_REGIONS = ", ".join(f"({i}, '{t}', '{f}', {x1}::double, {y1}::double, {x2}::double, {y2}::double)" for i, (t, v) in enumerate(op.TEMPLATES.items()) for f, (x1, y1, x2, y2) in v[3].items())
+_IN = f"""select t.scan_id, t.line_no, t.word_no, t.text, g.doc_type, g.field from fx_tokens t join (select scan_id, max("left" + width) as w, max(top + height) as h from fx_tokens group by scan_id) p on t.scan_id = p.scan_id
+  join (values {_REGIONS}) g(i, doc_type, field, x1, y1, x2, y2) on t.scan_id % 6 = g.i and t."left" + t.width / 2.0::double between x1 * w and x2 * w and t.top + t.height / 2.0::double between y1 * h and y2 * h"""
+
+
+@query(f"select scan_id, line_no, word_no, field from ({_IN})")
+def tokens_in_region(spark, sf_dir):
+    return op.tokens_in_region(fx(spark, sf_dir, "fx_tokens"), pages(spark, sf_dir)).select("scan_id", "line_no", "word_no", "field")
+
+
+@query(f"select distinct scan_id, 'nationality' as field, case doc_type when 'ALB' then 'Shqiptare/Albanian' else doc_type end as value from ({_IN}) where field = 'nationality'")
+def best_from_region(spark, sf_dir):
+    d = op.best_from_region(op.tokens_in_region(fx(spark, sf_dir, "fx_tokens"), pages(spark, sf_dir)))
+    return d.where("field = 'nationality'").select("scan_id", "field", "value")
+
+
+@query()
+def best_names_from_region(spark, sf_dir):
+    d = op.best_from_region(op.tokens_in_region(fx(spark, sf_dir, "fx_tokens"), pages(spark, sf_dir)))
+    return d.where("field in ('surname', 'names')")
+
+
+@query("select scan_id, case when scan_id % 2 = 0 then regexp_extract(number, '[0-9]{8,10}') else regexp_extract(number, '[0-9]{9}') end as number, sex, date_of_birth from fx_fields")
+def normalize_by_template(spark, sf_dir):
+    t = F.when(F.col("scan_id") % 2 == 0, "ALB").otherwise("FIN")
+    put = lambda k: op.normalize_by_template(t, F.lit(k), F.col(k)).alias(k)
+    return fx(spark, sf_dir, "fx_fields").select("scan_id", put("number"), put("sex"), put("date_of_birth"))
+
+
+@query("select scan_id, len(surname) as surname, case when len(number) >= 6 then 10 - greatest(0, len(regexp_replace(number, '[^A-Za-z]', '', 'g')) - 3) else -1 end as number, 10 as sex, 8 as nationality from fx_fields")
+def score_field_value(spark, sf_dir):
+    d = fx(spark, sf_dir, "fx_fields")
+    return d.select("scan_id", *(op.score_field_value(F.lit(k), F.col(k)).alias(k) for k in ("surname", "number", "sex", "nationality")))
+
+
+@query("select scan_id, 'surname' as field, surname as value from fx_fields")
+def best_reading(spark, sf_dir):
+    d = fx(spark, sf_dir, "fx_fields")
+    rows = F.array(F.struct(F.lit(0).alias("variant"), F.concat(F.col("surname"), F.lit(" 12")).alias("value")), F.struct(F.lit(1).alias("variant"), F.col("surname").alias("value")), F.struct(F.lit(2).alias("variant"), F.col("surname").alias("value")))
+    readings = d.select("scan_id", F.lit("surname").alias("field"), F.explode(rows).alias("r")).select("scan_id", "field", "r.*")
+    return op.best_reading(readings).select("scan_id", "field", "value")
+
+
+@query()
+def detect_doc_type(spark, sf_dir):
+    return op.detect_doc_type(fx(spark, sf_dir, "fx_tokens"))
