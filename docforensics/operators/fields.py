@@ -90,7 +90,7 @@ def _patterns(patterns: dict[str, str]) -> Column:
 
 
 def _tail(c: Column, pattern: Column, more: str) -> Column:
-    return F.regexp_extract(c, F.concat(pattern, F.lit(more)), F.lit(1))
+    return F.call_function("regexp_extract", c, F.concat(pattern, F.lit(more)), F.lit(1))
 
 
 def label_candidates(lines: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def anchor_candidates(lines: DataFrame) -> DataFrame:
     """Values that end their line after a label in two languages, and Albanian by its keywords."""
     anchors = {"surname": r"(?i)(?:mbiemri|surname)", "names": r"(?i)(?:emri|given\s*name|first\s*name)", "nationality": r"(?i)(?:shtetesia|nationality)"}
     least = F.when(F.col("p.field") == "nationality", rf"\s*[:/\-]?\s*([{LATIN}' -]{{3,30}})$").otherwise(rf"\s*[:/\-]?\s*([{LATIN}' -]{{2,40}})$")
-    d = lines.select("*", F.explode(_patterns(anchors)).alias("p")).withColumn("value", F.regexp_extract("text", F.concat(F.col("p.pattern"), least), F.lit(1)))
+    d = lines.select("*", F.explode(_patterns(anchors)).alias("p")).withColumn("value", F.call_function("regexp_extract", F.col("text"), F.concat(F.col("p.pattern"), least), F.lit(1)))
     d = d.where("value <> ''").withColumn("field", F.col("p.field"))
     score = F.when(F.col("field") == "nationality", 1.0 + F.col("conf") * 0.4).otherwise(1.2 + F.col("conf") * 0.5)
     at = _found(d, 2, F.col("value"), score, F.col("line_no") * 3 + F.col("p.k"))
@@ -134,15 +134,20 @@ def dates_found(lines: DataFrame, as_of: Column) -> DataFrame:
     return d.withColumn("day", visual_date(F.col("raw"), as_of)).where("day is not null")
 
 
-def date_candidates(lines: DataFrame, as_of: Column) -> DataFrame:
+def dates_chosen(lines: DataFrame, as_of: Column) -> DataFrame:
     """Birth: the oldest date that gives an age of 10 to 120. Expiry: the latest from five years before as_of."""
     age = F.datediff(as_of, F.col("day")) / 365.25
     place = F.col("line_no") * 1000 + F.col("k")
-    d = dates_found(lines, as_of).groupBy("scan_id").agg(
-        F.min_by(F.when(age.between(10, 120), F.col("raw")), F.when(age.between(10, 120), F.struct("day", place.alias("p")))).alias("date_of_birth"),
-        F.max_by(F.when(F.year("day") >= F.year(as_of) - 5, F.col("raw")), F.when(F.year("day") >= F.year(as_of) - 5, F.struct("day", place.alias("p")))).alias("expiration_date"),
+    old, late = age.between(10, 120), F.year("day") >= F.year(as_of) - 5
+    return dates_found(lines, as_of).groupBy("scan_id").agg(
+        F.min_by(F.when(old, F.col("raw")), F.when(old, F.struct("day", place.alias("p")))).alias("date_of_birth"),
+        F.max_by(F.when(late, F.col("raw")), F.when(late, F.struct("day", place.alias("p")))).alias("expiration_date"),
     )
-    long = d.unpivot(["scan_id"], ["date_of_birth", "expiration_date"], "field", "value").where("value is not null")
+
+
+def date_candidates(lines: DataFrame, as_of: Column) -> DataFrame:
+    """The dates chosen, cleaned like other candidates: that turns slashes into spaces, so slashed dates fail later."""
+    long = dates_chosen(lines, as_of).unpivot(["scan_id"], ["date_of_birth", "expiration_date"], "field", "value").where("value is not null")
     return _found(long, 4, F.col("value"), F.lit(0.8), F.lit(0))
 
 
@@ -226,7 +231,7 @@ def best_ocr_variant(readings: DataFrame, text_col: str = "text") -> DataFrame:
 def extract_fields_regex(lines: DataFrame, as_of: Column) -> DataFrame:
     """The second extractor, over lines and the text they make: one row of fields for each scan."""
     flat = lines.groupBy("scan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("flat"))
-    dates = date_candidates(lines, as_of).groupBy("scan_id").pivot("field", ["date_of_birth", "expiration_date"]).agg(F.first("value"))
+    dates = dates_chosen(lines, as_of)
     first = lambda c: F.min_by(F.when(c != "", c), F.when(c != "", F.col("line_no")))
     t = F.col("text")
     number = F.regexp_extract(t, rf"\b{NUMBER}\b", 1)

@@ -34,7 +34,7 @@ def dedupe_lines(spark, sf_dir):
 
 
 @query(
-    """select scan_id, 'date_of_birth' as field, substr(text, 16, 10) as value, 1.5::double as score from fx_dated_lines where line_no = 0
+    """select scan_id, 'date_of_birth' as field, replace(substr(text, 16, 10), '/', ' ') as value, 1.5::double as score from fx_dated_lines where line_no = 0
   union all select scan_id, 'date_of_birth', substr(text, 10, 10), 1.0::double from fx_dated_lines where line_no = 1"""
 )
 def label_candidates(spark, sf_dir):
@@ -51,7 +51,7 @@ _BIRTH = f"select scan_id, 'date_of_birth' as field, arg_min(raw, day) as value
 _EXPIRY = f"select scan_id, 'expiration_date' as field, arg_max(raw, day) as value from {_DATES} where year(day) >= 2019 group by scan_id"
 
 
-@query(f"{_BIRTH} union all {_EXPIRY}")
+@query(f"select scan_id, field, replace(value, '/', ' ') as value from ({_BIRTH} union all {_EXPIRY})")
 def date_candidates(spark, sf_dir):
     return op.date_candidates(dated(spark, sf_dir), _AS_OF()).select("scan_id", "field", "value")
 
@@ -85,7 +85,7 @@ def uppercase_name_candidates(spark, sf_dir):
     return op.uppercase_name_candidates(d).select("scan_id", F.col("seq").cast("int").alias("line_no"), "field")
 
 
-@query("select scan_id, case when scan_id % 13 = 0 then '' else regexp_extract(upper(replace(number, ' ', '')), '([A-Z]{0,2}[0-9][A-Z0-9-]{5,12})|.*', 0) end as number, surname as surname, sex as sex, date_of_birth as date_of_birth from (select scan_id, case when regexp_matches(number, '[A-Z]{0,2}[0-9][A-Z0-9-]{5,12}') then regexp_extract(number, '[A-Z]{0,2}[0-9][A-Z0-9-]{5,12}') else number end as number, surname, sex, date_of_birth from fx_fields)")
+@query("select scan_id, case when scan_id % 13 = 0 then '' else regexp_extract(upper(replace(number, ' ', '')), '([A-Z]{0,2}[0-9][A-Z0-9-]{5,12})|.*', 0) end as number, surname as surname, sex as sex, replace(date_of_birth, '/', ' ') as date_of_birth from (select scan_id, case when regexp_matches(number, '[A-Z]{0,2}[0-9][A-Z0-9-]{5,12}') then regexp_extract(number, '[A-Z]{0,2}[0-9][A-Z0-9-]{5,12}') else number end as number, surname, sex, date_of_birth from fx_fields)")
 def sanitize_candidate(spark, sf_dir):
     d = fx(spark, sf_dir, "fx_fields")
     put = lambda k, lead: op.sanitize(F.lit(k), F.concat(F.lit(lead), F.col(k))).alias(k)
@@ -101,7 +101,10 @@ def is_plausible(spark, sf_dir):
     return d.select("scan_id", *(op.is_plausible(F.lit(k), F.col(k), _AS_OF()).alias(k) for k in ("surname", "number", "date_of_birth", "sex", "nationality")))
 
 
-@query("with n as (select scan_id, 'number' as field, case when not regexp_matches(text, '^Date') then substr(text, 10, 10) end as value from fx_dated_lines where line_no = 1) select scan_id, 'date_of_birth' as field, substr(text, 16, 10) as value from fx_dated_lines where line_no = 0 union all " + f"select scan_id, 'expiration_date', value from ({_EXPIRY}) union all select scan_id, field, value from n")
+@query(
+    f"""select scan_id, 'date_of_birth' as field, raw as value from {_DATES} where line_no = 1 and day is not null union all {_EXPIRY}
+  union all select scan_id, 'number', substr(text, 10, 10) from fx_dated_lines where line_no = 1"""
+)
 def rank_candidates(spark, sf_dir):
     d = dated(spark, sf_dir)
     found = op.rank_candidates(op.all_candidates(d, _AS_OF()), _AS_OF())
