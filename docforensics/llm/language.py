@@ -93,6 +93,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
         tables.setdefault(r["lang"], np.zeros(1 << SLOT_BITS))[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = r["n"]
     names = sorted(tables)
     code = codewords(len(names))
+    if not names:
+        return Model([], code, np.zeros((1 << SLOT_BITS, code.shape[1]), np.float32), np.ones(code.shape[1]), np.ones(code.shape[1]))
     share = np.array([tables[x] + 0.5 for x in names]).reshape(len(names), -1)
     share /= share.sum(axis=1, keepdims=True)
     weights, margin = np.zeros((1 << SLOT_BITS, code.shape[1])), np.ones(code.shape[1])
