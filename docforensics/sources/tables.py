@@ -19,7 +19,10 @@ def extension(path):
 
 
 def read_scans(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded files with name, extension, size, time and SHA-256; scan_id is a hash of the path."""
+    """Uploaded files with name, extension, size, time and SHA-256; scan_id is a hash of the path.
+
+    The reader leaves out files of no bytes, so these have to come from a table of uploads.
+    """
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return d.select(
         F.xxhash64("path").alias("scan_id"), "path", F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"),
