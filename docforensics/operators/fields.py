@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checks import visual_date
+from .mrz import bound
 
 #: Latin letters with marks and what is left without the marks (a documented part of NFKD).
 MARKED = "àáâãäåāăąçćčďèéêëēęěģìíîïīķľļñńňòóôõöőřśšşťùúûüůűūýÿźžżÀÁÂÃÄÅĀĂĄÇĆČĎÈÉÊËĒĘĚĢÌÍÎÏĪĶĽĻÑŃŇÒÓÔÕÖŐŘŚŠŞŤÙÚÛÜŮŰŪÝŸŹŽŻ"
@@ -55,34 +56,44 @@ def sanitize(field: Column, value: Column) -> Column:
     """A candidate without label words in front, cut down to what the field may be; empty if nothing is left."""
     v = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " "))
     tokens = F.filter(F.split(F.translate(v, "/|", "  "), " +"), lambda t: t != "")
-    start = F.aggregate(tokens, F.struct(F.lit(True).alias("lead"), F.lit(0).alias("n")), lambda a, t: F.struct((a["lead"] & clean_token(t).isin(*LEADS)).alias("lead"), (a["n"] + F.when(a["lead"] & clean_token(t).isin(*LEADS), 1).otherwise(0)).alias("n")))["n"]
-    v = F.array_join(F.slice(tokens, start + 1, F.greatest(F.size(tokens), F.lit(1))), " ")
-    date = F.when(v.rlike(DATE), F.regexp_extract(v, DATE, 1)).otherwise(v)
-    u = F.upper(normalize_text(v))
-    sex = F.when(u.isin("M", "MALE", "MASCULIN"), "M").when(u.isin("F", "FEMALE", "FEMININ"), "F").otherwise(v)
-    compact = F.upper(F.regexp_replace(v, r"\s+", ""))
-    number = F.when(compact.rlike(NUMBER), F.regexp_extract(compact, NUMBER, 1)).otherwise(compact)
-    t = clean_token(v)
-    echo = t.isin("surname", "name", "given", "nationality", "nationalite") | t.endswith("surname") | t.endswith("nationality")
-    name = F.when(echo, "").otherwise(v)
-    out = F.when(field.isin("date_of_birth", "expiration_date"), date).when(field == "sex", sex).when(field == "number", number).otherwise(name)
-    return F.when(v == "", "").otherwise(out)
+
+    def without_leads(tokens: Column) -> Column:
+        def step(a: Column, t: Column) -> Column:
+            lead = a["lead"] & clean_token(t).isin(*LEADS)
+            return F.struct(lead.alias("lead"), (a["n"] + lead.cast("int")).alias("n"))
+
+        leads = F.aggregate(tokens, F.struct(F.lit(True).alias("lead"), F.lit(0).alias("n")), step)["n"]
+        return F.array_join(F.slice(tokens, leads + 1, F.greatest(F.size(tokens), F.lit(1))), " ")
+
+    def cut(v: Column) -> Column:
+        date = F.when(v.rlike(DATE), F.regexp_extract(v, DATE, 1)).otherwise(v)
+        u = F.upper(normalize_text(v))
+        sex = F.when(u.isin("M", "MALE", "MASCULIN"), "M").when(u.isin("F", "FEMALE", "FEMININ"), "F").otherwise(v)
+        compact = F.upper(F.regexp_replace(v, r"\s+", ""))
+        number = F.when(compact.rlike(NUMBER), F.regexp_extract(compact, NUMBER, 1)).otherwise(compact)
+        t = clean_token(v)
+        echo = t.isin("surname", "name", "given", "nationality", "nationalite") | t.endswith("surname") | t.endswith("nationality")
+        name = F.when(echo, "").otherwise(v)
+        out = F.when(field.isin("date_of_birth", "expiration_date"), date).when(field == "sex", sex).when(field == "number", number).otherwise(name)
+        return F.when(v == "", "").otherwise(out)
+
+    return bound(bound(tokens, without_leads), cut)
 
 
 def is_plausible(field: Column, value: Column, as_of: Column) -> Column:
-    v = F.trim(F.coalesce(value, F.lit("")))
-    t = clean_token(v)
-    echo = F.exists(F.array(*map(F.lit, ECHOES)), lambda e: F.contains(t, e))
-    separated = v.rlike(r"[/.-]")
-    compact = F.regexp_replace(F.upper(v), r"\s+", "")
-    return F.when(v == "", False).otherwise(
-        F.when(field.isin("surname", "names"), ~echo & (F.length(_letters(v)) >= 3))
-        .when(field.isin("date_of_birth", "expiration_date"), separated & visual_date(v, as_of).isNotNull())
-        .when(field == "sex", F.upper(v).isin("M", "F"))
-        .when(field == "number", compact.rlike("[0-9]") & (F.length(compact) >= 6))
-        .when(field == "nationality", F.length(_letters(v)) >= 3)
-        .otherwise(True)
-    )
+    def judged(v: Column) -> Column:
+        echo = clean_token(v).rlike("|".join(ECHOES))
+        compact = F.regexp_replace(F.upper(v), r"\s+", "")
+        return F.when(v == "", False).otherwise(
+            F.when(field.isin("surname", "names"), ~echo & (F.length(_letters(v)) >= 3))
+            .when(field.isin("date_of_birth", "expiration_date"), v.rlike(r"[/.-]") & visual_date(v, as_of).isNotNull())
+            .when(field == "sex", F.upper(v).isin("M", "F"))
+            .when(field == "number", compact.rlike("[0-9]") & (F.length(compact) >= 6))
+            .when(field == "nationality", F.length(_letters(v)) >= 3)
+            .otherwise(True)
+        )
+
+    return bound(F.trim(F.coalesce(value, F.lit(""))), judged)
 
 
 def _patterns(patterns: dict[str, str]) -> Column:
