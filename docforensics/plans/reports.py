@@ -178,7 +178,7 @@ def full_report(spark, sf_dir):
 
 
 _REPORT = f"""select scan_id, g as global_score, round(g * 100, 2) as global_score_display, case when g >= 0.75 then 'Authentic' when g >= 0.50 then 'Suspicious' else 'Fake' end as verdict, s as structural_score from (
-  select *, round(greatest(0, least(1, v * 0.50 + s * 0.30 + (1 - m) * 0.20)) + 1e-10, 4) as g from (
+  select *, cast(round(cast(cast(greatest(0, least(1, v * 0.50 + s * 0.30 + (1 - m) * 0.20)) as varchar) as decimal(24, 18)), 4) as double) as g from (
     select r.scan_id, round(greatest(0, least(1, o.score * 0.40 + f.score * 0.40 + coalesce(t.score, 0) * 0.20)), 4) as s,
       round(case c.label when 'Real' then c.conf when 'Falsified' then 1 - c.conf else 0.5 end, 4) as v, coalesce(k.score, 0) as m
     from {_RECORDS} r join (select scan_id, (cast(valid_number as int) + cast(valid_date_of_birth as int) + cast(valid_expiration_date as int) + cast(valid_composite as int) + cast(valid_personal_number as int)) / 5.0::double as score from {_RECORDS}) o on r.scan_id = o.scan_id
