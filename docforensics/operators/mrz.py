@@ -184,7 +184,9 @@ def _parsed(application: str) -> Column:
 def read_zones(candidates: DataFrame, raw_col: str = "raw_text") -> DataFrame:
     """Candidates with lines, mrz_type, fixed lines, record and valid_score (0 without a type).
 
-    Null text has no lines and no type.
+    Null text has no lines and no type. To filter on mrz_type or the record, write the result first
+    or filter after a shuffle: the filter would be pushed below these large expressions, and planning
+    then takes very long.
     """
     d = candidates.withColumn("lines", split_lines(F.col(raw_col)))
     d = d.withColumn("mrz_type", guess_type(F.col("lines")))
