@@ -59,8 +59,8 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str, str | None]] = {
     ),
     "fx_words": (
         ("documents",),
-        "select doc_id scan_id, lno line_no, wno word_no, w as text from documents lateral view posexplode(split(text,'\\n')) a as lno, l lateral view posexplode(split(l,' ')) b as wno, w where n_chars < 3000 and w <> ''",
-        "select scan_id, line_no, cast(j - 1 as int) word_no, w as text from (select scan_id, line_no, unnest(string_split(l, ' ')) w, generate_subscripts(string_split(l, ' '), 1) j from (select doc_id scan_id, cast(i - 1 as int) line_no, l from (select doc_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) i from documents where n_chars < 3000))) where w <> ''",
+        "select doc_id scan_id, lno line_no, wno word_no, w as text from documents lateral view posexplode(split(text,'\\n')) a as lno, l lateral view posexplode(split(l,' ')) b as wno, w where w <> ''",
+        "select scan_id, line_no, cast(j - 1 as int) word_no, w as text from (select scan_id, line_no, unnest(string_split(l, ' ')) w, generate_subscripts(string_split(l, ' '), 1) j from (select doc_id scan_id, cast(i - 1 as int) line_no, l from (select doc_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) i from documents))) where w <> ''",
     ),
     "fx_tokens": (
         ("fx_words",),

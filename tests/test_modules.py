@@ -6,7 +6,9 @@ from struct import pack
 import pytest
 from pyspark.sql import functions as F
 
+from docforensics.fixtures import fx
 from docforensics.operators import checks, evaluation, fields, forensics, fusion, history, spatial, typography
+from docforensics.plans.registry import queries
 from docforensics.sources import tables
 from docforensics.streaming import intake
 
@@ -180,3 +182,14 @@ def test_weak_fields_are_replaced(spark):
     cases = [("surname", "7", "Hoxha", "Hoxha"), ("sex", "x", "f", "F"), ("number", "12", "123456", "123456"), ("number", "123456", "999999", "123456"), ("nationality", "AL", "Albanian", "Albanian"), ("date_of_birth", "?", "01/02/1990", "01/02/1990"), ("names", "", "Arta", "Arta"), ("names", "Arta", "", "Arta")]
     for field, a, b, want in cases:
         assert one(spark, checks.merged(F.lit(a), F.lit(b), field)) == want
+
+
+def test_word_fixtures_hold_all_documents(spark, tmp_path):
+    """Long documents and those without n_chars have their words too."""
+    long = "\n".join(" ".join(f"w{i}" for i in range(900)) for _ in range(2))
+    docs = [(1, "ab  cd\nef", 9), (2, long, len(long)), (3, "gh i", None), (4, None, 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((d, l, w, x) for d, t, _ in docs for l, line in enumerate((t or "").split("\n")) for w, x in enumerate(line.split(" ")) if x)
+    for name in ("fx_words", "fx_tokens"):
+        assert sorted(tuple(r) for r in fx(spark, str(tmp_path), name).select("scan_id", "line_no", "word_no", "text").collect()) == want
+    assert queries()["rescale_boxes"](spark, str(tmp_path)).count() == len(want)
