@@ -68,19 +68,27 @@ def _starts(table: Column) -> Column:
     return F.flatten(F.transform("places", of))
 
 
-def _votes(starts: Column) -> Column:
-    """(n, -start) for each start: the greatest is the first of the starts with the most places."""
-    return F.transform(F.array_distinct(starts), lambda s: F.struct(F.size(F.filter(starts, lambda y: y == s)).alias("n"), (-s).alias("start")))
+def _best(starts: Column) -> Column:
+    """(n, start) of the first of the starts with the most places; one walk over them in order."""
+    none = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("start"))
 
+    def step(a: Column, s: Column) -> Column:
+        run = F.when(a["at"] == s, a["run"] + 1).otherwise(1)
+        more = run > a["n"]
+        return F.struct(s.alias("at"), run.alias("run"), F.when(more, run).otherwise(a["n"]).alias("n"), F.when(more, s).otherwise(a["start"]).alias("start"))
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 6, lookups: int = 12, aligned: float = 0.5) -> DataFrame:
+    return F.aggregate(F.sort_array(starts), none, step, lambda a: F.struct(a["n"], a["start"]))
+
+
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 6, aligned: float = 0.5) -> DataFrame:
     """Licenses named or granted in every whole text.
 
     The rarity of a template's words is counted over all documents. The index holds, for each
-    template, the places of its `rare` rarest words. Each text looks up its `lookups` rarest
-    indexed words. Every place of such a word, less the word's place in a template, is where the
-    template would start; a template is a candidate if at least the share `aligned` of its places
-    agrees on one start. It is a match if all its key phrases stand in the text as whole words.
+    template, the places of its `rare` rarest words. The rarest word of its key phrases nominates
+    a template; a nominated template whose key phrases all stand in the text as whole words looks
+    up all its indexed words. Every place of such a word, less the word's place in the template,
+    is where the template would start. It is a match if at least the share `aligned` of its places
+    agrees on one start. What else the text holds doesn't matter, nor how long it is.
 
     Output: id, n_words, n_base (places of the base phrases), first_word and last_word (their
     smallest and largest start, null without one), base_labels, labels (base labels and those of
@@ -100,15 +108,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         words = _words(text)
         anchors = set(rarest(words)[:rare])
         index.append((label, phrases, [(w, i) for i, w in enumerate(words) if w in anchors]))
-    looked_up = rarest(w for _, _, places in index for w, _ in places)
+    nominators = sorted({rarest(w for p in phrases for w in p.split())[0] for _, phrases, _ in index})
+    looked_up = sorted({w for _, _, places in index for w, _ in places})
 
-    # What the text holds of the index, rarest first; most texts hold nothing and go no further.
-    d = worded.select("*", F.slice(F.array_intersect(_strings(looked_up), "words"), 1, lookups).alias("rare"))
+    # A text without a nominator has no key phrase; most texts are such and go no further.
+    d = worded.select("*", F.arrays_overlap("words", _strings(nominators)).alias("nominated"))
     numbered = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     d = d.select(
         "*",
-        F.when(F.size("rare") > 0, F.filter(numbered, lambda x: F.array_contains("rare", x["w"]))).alias("places"),
-        F.when(F.size("rare") > 0, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("joined"),
+        F.when(F.col("nominated"), F.filter(numbered, lambda x: x["w"].isin(looked_up))).alias("places"),
+        F.when(F.col("nominated"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("joined"),
         F.when(F.array_contains("words", "license"), F.filter(numbered, lambda x: x["w"] == "license")).alias("ends"),
     )
     matches = []
@@ -117,17 +126,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for w, i in places:
             by_word.setdefault(w, []).append(i)
         table = F.array(*(F.struct(F.lit(w).alias("w"), F.array(*map(F.lit, at)).alias("at")) for w, at in by_word.items()))
-        starts = _starts(table)
-        votes = _votes(starts)
-        best = F.array_max(votes)
+        best = _best(_starts(table))
         there = F.lit(True)
         for p in phrases:
             there = there & F.contains(F.col("joined"), F.lit(f" {p} "))
         share = F.least(best["n"] / len(places), F.lit(1.0))
         # Phrases first: they are cheap, and votes are counted in the few texts that have them
-        matches.append(F.when(there, F.when(share >= aligned, F.struct(F.lit(label).alias("label"), (-best["start"]).alias("start"), share.alias("share")))))
+        matches.append(F.when(there, F.when(share >= aligned, F.struct(F.lit(label).alias("label"), best["start"].alias("start"), share.alias("share")))))
     kind = "array<struct<label:string,start:int,share:double>>"
-    d = d.select("*", F.when(F.size("rare") > 0, F.array_compact(F.array(*matches))).otherwise(F.array().cast(kind)).alias("templates"))
+    d = d.select("*", F.when(F.col("nominated"), F.array_compact(F.array(*matches))).otherwise(F.array().cast(kind)).alias("templates"))
 
     def standing(phrase: str, label: str) -> Column:
         """Starts of a phrase: its last word is `license` in every base phrase."""

@@ -1,6 +1,6 @@
 import re
 
-from docforensics.llm.licenses import BASE, license_scan
+from docforensics.llm.licenses import BASE, TEMPLATES, license_scan
 
 
 def test_base_against_a_loop_and_labels(spark, docs, rows):
@@ -33,3 +33,21 @@ def test_plan_has_no_python(docs):
 
 def test_empty(empty):
     assert license_scan(empty).count() == 0
+
+
+def test_many_licenses_and_long_texts(spark):
+    """Each template is found as in a text of its own, whatever else a text holds."""
+    every = [t for _, t, _ in TEMPLATES]
+    filler = "word and this to the work software by under redistribution noninfringement " * 300
+    rare = "Affero Lesser Mozilla unencumbered universal CC0 dedicated redistribution binary modify fee persons hereby granted dealing attribution creative commons international "
+    cases = [" . ".join(every), *(filler + rare + t + " " + rare + filler for t in every), *every, "cc by 4 0 " + "license " * 20000]
+    plain = [(1000 + i, "nothing here but plain words by the 4 of us under 0") for i in range(200)]
+    d = spark.createDataFrame([*enumerate(cases), *plain], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in license_scan(d).collect()}
+    assert {m["label"] for m in out[0]["templates"]} == {x for x, _, _ in TEMPLATES} and len(out[0]["templates"]) == len(TEMPLATES)
+    n = len(every)
+    for i, (label, _, _) in enumerate(TEMPLATES):
+        alone = {(m["label"], m["share"]) for m in out[1 + n + i]["templates"]}
+        assert (label, 1.0) in alone
+        assert alone <= {(m["label"], m["share"]) for m in out[1 + i]["templates"]}
+    assert out[1 + 2 * n]["labels"] == "cc-by" and not any(out[i]["labels"] for i, _ in plain)
