@@ -162,11 +162,11 @@ def suspicious_zones(cells: DataFrame, top: int = 5) -> DataFrame:
     return kept.select("scan_id", "number", "comp_id", zone.alias("zone"), "severity", "x", "y", F.col("bw").alias("width"), F.col("bh").alias("height"))
 
 
-def connected_cells(cells: DataFrame, rounds: int = 64) -> DataFrame:
+def connected_cells(cells: DataFrame) -> DataFrame:
     """comp_id for each cell given: the smallest cell number (y x 100000 + x) that a chain of 8-neighbours reaches.
 
-    Labels spread to neighbours until none changes; each round is cut off by a checkpoint in the
-    shared folder.
+    Labels spread to neighbours, then each cell takes the label of the cell that its own label
+    names, until none changes; each round is cut off by a checkpoint in the shared folder.
     """
     spark = cells.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -175,14 +175,15 @@ def connected_cells(cells: DataFrame, rounds: int = 64) -> DataFrame:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     label = cells.select("scan_id", "y", "x", (F.col("y").cast("bigint") * 100000 + F.col("x")).alias("comp_id")).checkpoint()
     around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
-    for _ in range(rounds):
+    while True:
         sent = label.select("scan_id", F.explode(around).alias("d"), "y", "x", "comp_id").select("scan_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), "comp_id")
         least = sent.groupBy("scan_id", "y", "x").agg(F.min("comp_id").alias("m"))
-        after = label.join(least, ["scan_id", "y", "x"]).select("scan_id", "y", "x", F.col("m").alias("comp_id"), (F.col("m") < F.col("comp_id")).alias("moved")).checkpoint()
+        near = label.join(least, ["scan_id", "y", "x"]).select("scan_id", "y", "x", "comp_id", "m").checkpoint()
+        named = near.select("scan_id", (F.col("y").cast("bigint") * 100000 + F.col("x")).alias("m"), F.col("m").alias("further")).distinct()
+        after = near.join(named, ["scan_id", "m"]).select("scan_id", "y", "x", F.col("further").alias("comp_id"), (F.col("further") < F.col("comp_id")).alias("moved")).checkpoint()
         label = after.drop("moved")
         if not after.where("moved").limit(1).count():
-            break
-    return label
+            return label
 
 
 def relabel_zones_iou(zones: DataFrame, boxes: DataFrame, page: DataFrame, side: int = 384) -> DataFrame:

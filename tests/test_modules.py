@@ -193,3 +193,11 @@ def test_word_fixtures_hold_all_documents(spark, tmp_path):
     for name in ("fx_words", "fx_tokens"):
         assert sorted(tuple(r) for r in fx(spark, str(tmp_path), name).select("scan_id", "line_no", "word_no", "text").collect()) == want
     assert queries()["rescale_boxes"](spark, str(tmp_path)).count() == len(want)
+
+
+def test_connected_cells_follow_long_paths(spark):
+    """A line of 384 cells is one component, along x and along y."""
+    cells = [(1, 0, x) for x in range(384)] + [(2, y, 5) for y in range(384)] + [(2, 9, 9)]
+    out = evaluation.connected_cells(spark.createDataFrame(cells, "scan_id long, y int, x int")).collect()
+    assert len(out) == len(cells)
+    assert {(r["scan_id"], r["comp_id"]) for r in out} == {(1, 0), (2, 5), (2, 900009)}
