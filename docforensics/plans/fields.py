@@ -69,9 +69,8 @@ def docnum_candidates(spark, sf_dir):
 
 @query("select scan_id, line_no, upper(w) as value from (select scan_id, line_no, unnest(string_split(regexp_replace(text, '[^A-Za-z0-9_]', ' ', 'g'), ' ')) as w from fx_lines where not regexp_matches(text, '[^\\x00-\\x7F]')) where upper(w) in ('M', 'F')")
 def sex_candidates(spark, sf_dir):
-    d = lines(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    found = op.sex_candidates(d)
-    return found.select("scan_id", F.floor(F.col("seq") / 1000).cast("int").alias("line_no"), "value").where("value in ('M', 'F')")
+    found = op.sex_candidates(lines(spark, sf_dir))
+    return found.select("scan_id", F.floor(F.col("seq") / 1000).cast("int").alias("line_no"), "value")
 
 
 @query()
@@ -81,8 +80,7 @@ def nationality_candidates(spark, sf_dir):
 
 @query("select scan_id, line_no, f as field from (select scan_id, line_no, trim(text) as t from fx_lines where not regexp_matches(text, '[^\\x00-\\x7F]')), (values ('surname'), ('names')) v(f) where regexp_full_match(replace(t, '-', ' '), ' *[A-Z]+( +[A-Z]+){0,3} *')")
 def uppercase_name_candidates(spark, sf_dir):
-    d = lines(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return op.uppercase_name_candidates(d).select("scan_id", F.col("seq").cast("int").alias("line_no"), "field")
+    return op.uppercase_name_candidates(lines(spark, sf_dir)).select("scan_id", F.col("seq").cast("int").alias("line_no"), "field")
 
 
 @query("select scan_id, case when scan_id % 13 = 0 then '' else regexp_extract(upper(replace(number, ' ', '')), '([A-Z]{0,2}[0-9][A-Z0-9-]{5,12})|.*', 0) end as number, surname as surname, sex as sex, replace(date_of_birth, '/', ' ') as date_of_birth from (select scan_id, case when regexp_matches(number, '[A-Z]{0,2}[0-9][A-Z0-9-]{5,12}') then regexp_extract(number, '[A-Z]{0,2}[0-9][A-Z0-9-]{5,12}') else number end as number, surname, sex, date_of_birth from fx_fields)")
@@ -108,7 +106,7 @@ def is_plausible(spark, sf_dir):
 def rank_candidates(spark, sf_dir):
     d = dated(spark, sf_dir)
     found = op.rank_candidates(op.all_candidates(d, _AS_OF()), _AS_OF())
-    return found.where("field in ('date_of_birth', 'expiration_date', 'number')").select("scan_id", "field", "value")
+    return found.select("scan_id", "field", "value")
 
 
 @query()

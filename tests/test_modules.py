@@ -201,3 +201,12 @@ def test_connected_cells_follow_long_paths(spark):
     out = evaluation.connected_cells(spark.createDataFrame(cells, "scan_id long, y int, x int")).collect()
     assert len(out) == len(cells)
     assert {(r["scan_id"], r["comp_id"]) for r in out} == {(1, 0), (2, 5), (2, 900009)}
+
+
+def test_candidates_of_all_lines(spark, tmp_path):
+    """Lines with accents, and words for a sex, are mined too."""
+    text = "Sexo: F señor\nMÜLLER\nsex male\nMARTIN"
+    spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: queries()[name](spark, str(tmp_path)).collect()
+    assert {r["line_no"] for r in run("sex_candidates")} == {0, 2}
+    assert {(r["line_no"], r["field"]) for r in run("uppercase_name_candidates")} == {(i, f) for i in (1, 3) for f in ("surname", "names")}
