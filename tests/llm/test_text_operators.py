@@ -83,6 +83,25 @@ def test_rank_queue_on_long_pre_tokens(text):
     assert queue.encode(text.encode()) == theirs.encode_single_token(text) if text.encode() in queue.ranks else queue.encode(text.encode()) == theirs._core_bpe.encode_single_piece(text.encode())
 
 
+def test_many_pre_tokens_in_one_queue():
+    """Barriers hold, copies of a pair that overlap, and both generations of what is remembered."""
+    queue = byte_bpe.RankQueue(open(RANKS, "rb").read())
+    theirs = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=queue.ranks, special_tokens={})._core_bpe
+    rng = random.Random(8)
+    pieces = ["".join(rng.choice(rng.choice(["ab", "the in", "éß0 \n", "日本the"])) for _ in range(rng.choice([1, 2, 5, 30, 200]))) for _ in range(3000)] + ["a" * 4001, "the", "é" * 999]
+    want = [theirs.encode_single_piece(p.encode()) for p in pieces]
+    assert [np.frombuffer(x, "<u4").tolist() for x in queue.encode_all([p.encode() for p in pieces])] == want
+    assert [queue.encode(p.encode()) for p in pieces[:200]] == want[:200]
+    for at in range(0, 3000, 300):
+        queue.held = at * 10**9  # full but for the first time
+        known = queue.known(set(pieces[max(0, at - 300) : at + 300]))
+        assert all(np.frombuffer(known[p], "<u4").tolist() == w for p, w in zip(pieces[at : at + 300], want[at : at + 300], strict=True))
+
+
+def test_empty_batch_of_pre_tokens():
+    assert byte_bpe.RankQueue(open(RANKS, "rb").read()).encode_all([]) == []
+
+
 def test_piece_counts_are_the_unigram_tokenizers(docs, rows):
     pieces = token_counts.unigram_pieces(open(PIECES, "rb").read())
     theirs = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], 0, False))
