@@ -23,16 +23,18 @@ def byte_bpe(data: bytes):
     # Bytes that are printable in Latin-1 stand for themselves, the others are moved up in order.
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    special = {t["content"] for t in spec["added_tokens"]}
+    # As the library does by default, a special token's string in a text is that token
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Documents as token ids with end_id after each, cut into pieces of max_tokens and a shorter rest.
 
     Output for each piece: id, start, length, ids_crc32 (of little-endian 32-bit ids), doc_tokens
-    and, if asked for, ids. Null text counts as empty: one piece of the end id.
+    and, if asked for, ids. Null text counts as empty: one piece of the end id. Strings of special
+    tokens in a text become those tokens, the library's default.
     """
     key, data = shipped(docs.sparkSession, tokenizer)
 
@@ -42,7 +44,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int
         for batch in chunks(batches):
             out: dict[str, list] = defaultdict(list)
             for doc, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([encoder.encode_to_numpy(text or "", disallowed_special=()).astype("<u4"), end])
+                ids = np.concatenate([encoder.encode_to_numpy(text or "", allowed_special="all").astype("<u4"), end])
                 n = len(ids)
                 for at in range(0, n, max_tokens):
                     part = ids[at : at + max_tokens]

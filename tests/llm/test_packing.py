@@ -11,7 +11,6 @@ FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_every_id_lies_in_one_place(docs, rows):
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
     want = []
     for r in rows:
         ids = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0]
@@ -27,6 +26,17 @@ def test_every_id_lies_in_one_place(docs, rows):
     assert max(ends.values()) <= 256 and sorted(ends) == [*range(len(ends))]
 
 
+def test_special_tokens_in_texts(spark):
+    """As the library gives them untouched."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext", "\n\n<|endoftext|> \n", "<|endoftext|>" * 400]
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(FILE)
+    out = {(r["doc_id"], r["start"]): r["ids"] for r in pack(d, FILE, max_tokens=64, with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        assert ids == [x for at in range(0, len(ids), 64) for x in out[i, at]]
+
+
 def test_ids_on_request(docs):
     r = pack(docs.where("doc_id = 0"), FILE, with_ids=True).first()
     assert len(r["ids"]) == r["length"] and r["ids"][-1] == 0

@@ -29,5 +29,25 @@ def test_one_text_in_most_rows_is_dealt_out(spark):
     assert len(size) == 6 and max(size) < 1.03 * sum(size) / 6
 
 
+def test_rows_of_one_text_and_no_id_are_dealt_out(spark):
+    """90 % of the rows are equal in all columns."""
+    d = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 10 > 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    out = histogram_shards(d, shards=6).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("k")).collect()
+    size = [r["b"] for r in out]
+    assert len(size) == 6 and max(size) < 1.03 * sum(size) / 6 and sum(r["n"] for r in out) == 3000
+    assert all(r["last"] == r["n"] - 1 == r["k"] - 1 for r in out)
+
+
+def test_column_names_of_its_own(spark):
+    d = spark.createDataFrame([(1, "a", 0, 0)], "h long, tie string, id int, text int")
+    assert histogram_shards(d, 3, "h", "tie").columns == ["h", "tie", "size", "shard", "slot"]
+
+
+def test_a_very_long_text(spark):
+    d = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, F.repeat(F.lit("é"), 500_000)).otherwise("x").alias("text"))
+    out = histogram_shards(d, shards=3).collect()
+    assert len(out) == 40 and max(r["size"] for r in out) == 1_000_008
+
+
 def test_empty(empty):
     assert histogram_shards(empty).count() == 0
