@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 
 _LOADED: dict = {}
+_TABLES: dict[str, None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +30,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: it is computed once, and a lost executor loses no part of it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES[path] = None
+    out.shared_path = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Removes tables of `written` that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.shared_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that the operators of this session have left in the shared folder.
+
+    Results are lazy and read them, so this comes after results have been written or are no longer needed.
+    """
+    for path in list(_TABLES):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _TABLES.pop(path, None)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, most: int) -> DataFrame:
+    """rows joined with the one row of the table for their key; `count` says how many rows have it.
+
+    Keys with more than `most` rows are broadcast, so that no task gets all rows of one key. The
+    caller picks `most` as a share of all rows, which bounds how many such keys there are.
+    """
+    hot = F.broadcast(table.where(F.col(count) > most).drop(count))
+    usual = rows.join(F.broadcast(table.where(F.col(count) > most).select(key)), key, "left_anti").join(table.where(F.col(count) <= most).drop(count), key)
+    return usual.unionByName(rows.join(hot, key))
 
 
 def shipped(spark: SparkSession, path: str):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import chunks, written
+from ._common import chunks, hot_join, removed, written
 
 #: A fingerprint has four segments of 16 bits; two texts are near at 3 differing bits or fewer.
 SEGMENTS, WIDTH, BUDGET = 4, 16, 3
@@ -40,15 +40,16 @@ def fingerprints_of(texts: list[bytes], shingle: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, fp (the fingerprint as a signed long) and the columns in `keep`, from whole texts."""
+    """id, fp (the fingerprint as a signed long) and the columns in `keep` as in_<name>, from whole texts."""
 
     def run(batches):
         for batch in chunks(batches):
             fp = fingerprints_of([(x or "").encode() for x in batch.column(1).to_pylist()], shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view("<i8")), *(batch.column(i) for i in range(2, batch.num_columns))], [id_col, "fp", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view("<i8")), *(batch.column(i) for i in range(2, batch.num_columns))], ["id", "fp", *kept])
 
+    kept = [f"in_{c}" for c in keep]
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(id_col, text_col, *keep).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [(id_col, kind[id_col]), ("fp", "bigint"), *((c, kind[c]) for c in keep)]))
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [("id", kind[id_col]), ("fp", "bigint"), *((f"in_{c}", kind[c]) for c in keep)]))
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -178,27 +179,33 @@ def _marks(close: list[int], wide: list[int]) -> Column:
     return F.from_json(F.lit("[" + ",".join(f'{{"mask":{m},"close":{str(m in set(close)).lower()}}}' for m in [*close, *far]) + "]"), "array<struct<mask:bigint,close:boolean>>")
 
 
+#: A key counts as hot if it has more than this share of all rows, and this many.
+HOT_SHARE, HOT_LEAST = 4096, 64
+
+
 def components(links: DataFrame) -> DataFrame:
     """(fp, root) for all ends of the links; root is the smallest in its component.
 
-    Large-star and small-star steps in turn until nothing changes. Only minima are grouped, so a
-    star with very many ends is not gathered anywhere; what a step leaves is written to the
-    shared folder.
+    Large-star and small-star steps in turn until nothing changes. Only minima are grouped; they
+    are sent back to a star with very many ends without gathering it. What a step leaves is
+    written to the shared folder, and what the one before left is removed.
     """
     edges = written(links.select("a", "b"), "links")
-    before = None
+    before, n = None, edges.count()
     while True:
+        most = max(HOT_LEAST, n // HOT_SHARE)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = hot_join(both.where("b > a"), low, "a", "n", most).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: all have a > b by now
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b")))
-        edges = written(small.distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, low, "a", "n", most).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b")))
+        done, edges = edges, written(small.distinct(), "links")
+        n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        removed(done)
+        if (n, total) == before:
             break
-        before = now
+        before = n, total
     root = edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
     return root.union(edges.select(F.col("b").alias("fp"), F.col("b").alias("root"))).distinct()
 
@@ -212,13 +219,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked at 3 or fewer differing bits. Copies share a fingerprint, and only distinct
     fingerprints are compared, so groups of copies of any size cost one.
 
-    Output: id, fp (signed long), component_id, and the columns in `keep`. Repeated rows stay.
-    A null id takes no part as smallest; a component of null ids alone has a null component_id.
+    Output: id, fp (signed long), component_id, and the columns in `keep` as in_<name>; other
+    columns are not read. Repeated rows stay. A null id takes no part as smallest; a component of
+    null ids alone has a null component_id. Empty input: no rows.
     """
     marked = written(fingerprints(docs, id_col, text_col, shingle, keep), "fingerprints")
-    least = written(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
+    least = written(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     root = written(components(near_links(least.select("fp"), bucket)), "components")
-    own = least.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = own.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = written(own.join(smallest, "root").select("fp", "component_id"), "component-ids")
-    return marked.join(ids, "fp").select(id_col, "fp", "component_id", *keep)
+    own = least.join(root, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    smallest = own.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    size = least.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ids = written(hot_join(own, smallest, "root", "members", max(HOT_LEAST, size[0] // HOT_SHARE)).select("fp", "n", "component_id"), "component-ids")
+    removed(root, least)
+    found = hot_join(marked, ids, "fp", "n", max(HOT_LEAST, size[1] // HOT_SHARE))
+    return found.select(F.col("id").alias(id_col), "fp", "component_id", *(f"in_{c}" for c in keep))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from docforensics.llm import simhash
 
@@ -41,7 +42,7 @@ def test_components_against_all_pairs(docs, rows):
     out = simhash.simhash_components(docs, keep=("text",)).collect()
     assert len(out) == len(rows)
     for r in out:
-        fp = _fingerprint(r["text"])
+        fp = _fingerprint(r["in_text"])
         assert r["fp"] % (1 << 64) == fp and r["component_id"] == least.get(groups[fp])
 
 
@@ -67,6 +68,22 @@ def test_links_in_clusters(spark, bucket):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_kept_columns_may_have_any_name(spark):
+    d = spark.createDataFrame([(1, "a b c d", 5, 6, 7)], "doc_id long, text string, fp int, component_id int, id int")
+    out = simhash.simhash_components(d, keep=("fp", "component_id", "id")).first()
+    assert (out["doc_id"], out["component_id"], out["in_fp"], out["in_component_id"], out["in_id"]) == (1, 1, 5, 6, 7)
+
+
+def test_a_star_with_many_ends_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_LEAST", 4)
+    links = spark.createDataFrame([(i, 5) if i > 5 else (5, i) for i in range(300) if i != 5] + [(1000, 999)], "a long, b long")
+    roots = {r["fp"]: r["root"] for r in simhash.components(links).collect()}
+    assert roots == dict.fromkeys(range(300), 0) | {1000: 999, 999: 999}
+    d = spark.range(500).select((F.col("id") + 3).alias("doc_id"), F.when(F.col("id") % 5 > 0, "one text of five words").otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    out = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(d).collect()}
+    assert len(out) == 500 and {out[i + 3] for i in range(500) if i % 5} == {4}
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(200)], "a long, b long")
     assert {r["root"] for r in simhash.components(links).collect()} == {0}
