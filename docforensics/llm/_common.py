@@ -19,9 +19,11 @@ _TABLES: dict[str, None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = _LOADED.setdefault("local checkpoint folder", tempfile.mkdtemp(prefix="spark-shared-"))
     return found.rstrip("/")
 

@@ -33,7 +33,7 @@ def suffix_ranks(classes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, lis
     # A rank is the number of smaller suffixes, so ranks of single members are final.
     _, inverse, count = np.unique(classes, return_inverse=True, return_counts=True)
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
-    rank = first[inverse].astype(np.int64)
+    rank = first[inverse].astype(np.int32)  # a chunk has fewer words than that
     open_ = np.flatnonzero(count[inverse] > 1)
     levels, step = [rank], 1
     while len(open_):
