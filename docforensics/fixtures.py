@@ -2,31 +2,44 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 _DIGITS = lambda x, n: "(" + "+".join(f"cast(substr({x},{i},1) as int)*{(7, 3, 1)[(i - 1) % 3]}" for i in range(1, n + 1)) + ")%10"
 
 #: Two lines of a passport each, for customers; some numbers have O for 0, some birth check digits are wrong.
-_MRZ = f"""
-with a as (select c_custkey as k, c_nationkey, c_mktsegment,
+_MRZ_BASE = """select c_custkey as k, c_nationkey, c_mktsegment,
   lpad(cast(c_custkey*7919 as varchar(12)),9,'0') as num,
   concat(lpad(cast(50+c_custkey%50 as varchar(4)),2,'0'),lpad(cast(1+c_custkey%12 as varchar(4)),2,'0'),lpad(cast(1+c_custkey%28 as varchar(4)),2,'0')) as dob,
   concat(lpad(cast(20+c_custkey%25 as varchar(4)),2,'0'),lpad(cast(1+c_custkey%12 as varchar(4)),2,'0'),lpad(cast(1+c_custkey%28 as varchar(4)),2,'0')) as exp,
-  substr('FRATUNESPALBUTO',cast(c_nationkey%5*3+1 as int),3) as nat from customer),
-b as (select *, cast({_DIGITS("num", 9)} as varchar(1)) as c1, cast({_DIGITS("dob", 6)} as varchar(1)) as c2, cast({_DIGITS("exp", 6)} as varchar(1)) as c3 from a),
-c as (select *, concat(num,c1,dob,c2,exp,c3) as comp from b),
-d as (select *, cast({_DIGITS("comp", 24)} as varchar(1)) as c4 from c)
-select k as scan_id,
+  substr('FRATUNESPALBUTO',cast(c_nationkey%5*3+1 as int),3) as nat from customer"""
+_MRZ_DIGITS = f"""select *, cast({_DIGITS("num", 9)} as varchar(1)) as c1, cast({_DIGITS("dob", 6)} as varchar(1)) as c2, cast({_DIGITS("exp", 6)} as varchar(1)) as c3 from fx_mrz_base"""
+_MRZ = f"""select k as scan_id,
  rpad(concat('P<',nat,c_mktsegment,'<<ANNA<',substr('MARIAERIKS',cast(k%2*5+1 as int),5)),44,'<') as l1,
  concat(case when k%6=0 then replace(num,'0','O') else num end, c1,nat,dob,
         case when k%7=0 then cast((cast(c2 as int)+1)%10 as varchar(1)) else c2 end,
-        case when k%2=0 then 'F' else 'M' end, exp, c3, repeat('<',14), '<', c4) as l2
-from d
-"""
+        case when k%2=0 then 'F' else 'M' end, exp, c3, repeat('<',14), '<', cast({_DIGITS("comp", 24)} as varchar(1))) as l2
+from fx_mrz_comp"""
+
+#: Lines of cards in four layouts by scan_id % 4: values under labels of two languages, values beside labels,
+#: values without labels, and values that need cleaning. d: birth as dd.mm.yyyy, e: expiry as yyyy-mm-dd, n: a number.
+_CARDS = {
+    0: ("'REPUBLIKA E SHQIPERISE'", "'Mbiemri/Surname'", "s", "'Emri/Given name'", "f", "'Shtetesia/Nationality'", "'Shqiptare'", "concat('Datelindja/Birth ', d)", "concat('Gjinia/Sex ', sex)", "concat('Nr personal ', n)"),
+    1: ("concat('Surname: ', s)", "concat('Given name: ', f)", "'Nationality: French'", "concat('Date of birth ', replace(d, '.', '/'))", "concat('Expiry ', e)", "concat('Sex ', sex)", "concat('Document number ', n)"),
+    2: ("s", "'ANNA ERIKS'", "d", "concat('X 1', d, '1')", "case when sex = 'M' then 'male' else 'female' end", "'Citizenship ALB'", "concat('No ', n)", "e"),
+    3: ("concat('surname / given ', f)", "concat('Card no ', n)", "'Albanian citizen'", "concat('sexe ', lower(sex))", "concat(d, ' ', e)", "concat('nat ', 'Suomi')"),
+}
+_CARD_TEXTS = "case scan_id % 4 " + " ".join(f"when {layout} then array({', '.join(texts)})" for layout, texts in _CARDS.items()) + " end"
+_CARD_BASE = """select scan_id, sex, upper(surname) as s, concat(upper(substr(names, 1, 1)), lower(substr(names, 2, 3)), 'x') as f, concat('AB', cast(1000000 + scan_id as varchar(12))) as n,
+  concat(substr(date_of_birth, 1, 2), '.', substr(date_of_birth, 4, 2), '.', substr(date_of_birth, 7, 4)) as d, concat(substr(expiration_date, 7, 4), '-', substr(expiration_date, 4, 2), '-', substr(expiration_date, 1, 2)) as e from fx_fields"""
 
 #: name: (tables and inputs, Spark SQL, DuckDB SQL; None if the same text serves both)
 FIXTURES: dict[str, tuple[tuple[str, ...], str, str | None]] = {
-    "fx_mrz": (("customer",), _MRZ, None),
+    "fx_mrz_base": (("customer",), _MRZ_BASE, None),
+    "fx_mrz_digits": (("fx_mrz_base",), _MRZ_DIGITS, None),
+    "fx_mrz_comp": (("fx_mrz_digits",), "select *, concat(num,c1,dob,c2,exp,c3) as comp from fx_mrz_digits", None),
+    "fx_mrz": (("fx_mrz_comp",), _MRZ, None),
     "fx_mrz_candidates": (
         ("fx_mrz",),
         """select scan_id, 0 as box_idx, 0 as variant, concat(l1, '\\n', l2) as raw_text from fx_mrz
@@ -47,6 +60,22 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str, str | None]] = {
         concat(substr(l2, 26, 2), '/', substr(l2, 24, 2), '/20', substr(l2, 22, 2)) as expiration_date, substr(l2, 21, 1) as sex from fx_mrz""",
         None,
     ),
+    "fx_card_base": (("fx_fields",), _CARD_BASE, None),
+    "fx_card_lines": (
+        ("fx_card_base",),
+        f"select scan_id, line_no, text, line_no * 20 as y, 10.0D as x, (50 + 5 * line_no) / 100.0D as conf from fx_card_base lateral view posexplode({_CARD_TEXTS}) t as line_no, text",
+        f"select scan_id, cast(i - 1 as int) as line_no, text, cast((i - 1) * 20 as int) as y, 10.0::double as x, cast(50 + 5 * (i - 1) as double) / 100.0 as conf from (select scan_id, unnest(t) as text, generate_subscripts(t, 1) as i from (select scan_id, {_CARD_TEXTS.replace('array(', 'list_value(')} as t from fx_card_base))",
+    ),
+    "fx_card_words": (
+        ("fx_card_lines",),
+        "select scan_id, line_no, pos word_no, w as text from fx_card_lines lateral view posexplode(split(text, ' ')) t as pos, w",
+        "select scan_id, line_no, cast(j - 1 as int) word_no, w as text from (select scan_id, line_no, unnest(string_split(text, ' ')) w, generate_subscripts(string_split(text, ' '), 1) j from fx_card_lines)",
+    ),
+    "fx_card_tokens": (
+        ("fx_card_words",),
+        "select scan_id, line_no, word_no, text, cast(8*(sum(length(text)+1) over (partition by scan_id, line_no order by word_no) - length(text) - 1) as int) as left, cast(20*line_no + word_no*3%7 as int) as top, cast(8*length(text) as int) as width, 16 as height, 90 as conf from fx_card_words",
+        'select scan_id, line_no, word_no, text, cast(8*(sum(length(text)+1) over (partition by scan_id, line_no order by word_no) - length(text) - 1) as int) as "left", cast(20*line_no + word_no*3%7 as int) as top, cast(8*length(text) as int) as width, 16 as height, 90 as conf from fx_card_words',
+    ),
     "fx_lines": (
         ("documents",),
         "select doc_id scan_id, pos line_no, trim(line) text, pos*20 y, (doc_id*7 + pos*13) % 50 * 1.0D x, ((doc_id + pos) % 100) / 100.0D conf from documents lateral view posexplode(split(text,'\\n')) t as pos,line where trim(line)<>''",
@@ -121,7 +150,7 @@ def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     inputs, sql, _ = FIXTURES[name]
     frames = {x: fx(spark, sf_dir, x) for x in inputs}
     for x in inputs:
-        sql = sql.replace(f"from {x}", f"from {{{x}}}").replace(f"join {x}", f"join {{{x}}}")
+        sql = re.sub(rf"(from|join) {x}\b", rf"\1 {{{x}}}", sql)
     return spark.sql(sql, **frames)
 
 
@@ -131,7 +160,7 @@ def with_fixtures(sql: str) -> str:
 
     def need(text: str) -> None:
         for x in FIXTURES:
-            if x in text and x not in order:
+            if re.search(rf"\b{x}\b", text) and x not in order:
                 need(" ".join(_inputs(x)))
                 order.append(x)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +53,28 @@ def classification_report(scored: DataFrame, truth: str, predicted: str) -> Data
     return rows.union(each.agg(F.lit("weighted avg"), *(r4(F.sum(F.col(k) * F.col("support")) / F.sum("support"), k) for k in measures), F.sum("support")))
 
 
+#: Cells of scores between which running sums are carried.
+CELLS = 256
+
+
 def by_score(scored: DataFrame, prob: str, truth: str) -> DataFrame:
-    """Positives and rows at each score and at or above it. The running sums are over distinct scores only."""
+    """Positives and rows at each score and at or above it.
+
+    Rows are added up by distinct score first. Sums are carried between cells, of which there are
+    CELLS at most, and then run inside each cell: no window spans all scores. Cells are cut at
+    approximate percentiles, so that they hold about as many scores each wherever scores lie.
+    """
     at = scored.groupBy(F.col(prob).alias("score")).agg(F.sum(F.col(truth).cast("bigint")).alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return at.withColumn("tp", F.sum("pos").over(down)).withColumn("called", F.sum("n").over(down))
+    cuts = at.agg(F.percentile_approx("score", [k / CELLS for k in range(1, CELLS)], 10_000).alias("c")).first()["c"] or []
+    inner = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    # The number of cuts at or below the score; without a score, below all
+    at = at.withColumn("_cell", F.when(F.col("score").isNull(), -1).otherwise(F.size(F.filter(inner, lambda c: c <= F.col("score")))))
+    sums = at.groupBy("_cell").agg(F.sum("pos").alias("_p"), F.sum("n").alias("_m"))
+    above = Window.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_cell", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_m").over(above), F.lit(0)).alias("_m"))
+    down = Window.partitionBy("_cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    run = at.join(F.broadcast(sums), "_cell").withColumn("tp", F.col("_p") + F.sum("pos").over(down)).withColumn("called", F.col("_m") + F.sum("n").over(down))
+    return run.drop("_cell", "_p", "_m")
 
 
 def best_threshold(scored: DataFrame, prob: str, truth: str) -> DataFrame:
@@ -136,24 +155,35 @@ def flagged_cells(cells: DataFrame) -> DataFrame:
     return d.where((F.col("heat") >= F.col("heat_threshold")) | (F.col("coef") >= F.col("coef_threshold"))).drop("heat_threshold", "coef_threshold")
 
 
+#: Names of the parts of a document, in rows from the top.
+ZONES = (("Header / logo area", "Document title area", "Top-right corner"), ("Photo zone", "Name / nationality fields", "ID number zone"), ("Signature / seal area", "Date fields", "MRZ / barcode zone"))
+
+
 def zone_name(cx: Column, cy: Column) -> Column:
     """The part of a document around a point given as shares of its width and height."""
-    names = (("Header / logo area", "Document title area", "Top-right corner"), ("Photo zone", "Name / nationality fields", "ID number zone"), ("Signature / seal area", "Date fields", "MRZ / barcode zone"))
+    names = ZONES
     row = lambda r: F.when(cx < 0.30, r[0]).when(cx < 0.65, r[1]).otherwise(r[2])
     return F.when(cy < 0.25, row(names[0])).when(cy < 0.55, row(names[1])).otherwise(row(names[2]))
 
 
-def suspicious_zones(cells: DataFrame, top: int = 5) -> DataFrame:
+def suspicious_zones(cells: DataFrame, top: int = 5, labels: DataFrame | None = None) -> DataFrame:
     """The strongest components of flagged cells in each scan, numbered.
 
     A component has 0.5 to 70 % of the cells, and its severity (the greatest heat or coefficient
-    in its box) is at least max(0.10, 0.28 of the greatest); the strongest stays in any case.
+    of all cells in its box, flagged or not) is at least max(0.10, 0.28 of the greatest); the
+    strongest stays in any case. Scans that `labels` (scan_id, label) calls Real have no zones.
     """
+    if labels is not None:
+        cells = cells.join(labels.where("label = 'Real'").select("scan_id").distinct(), "scan_id", "left_anti")
     extent = cells.groupBy("scan_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    zones = flagged_cells(cells).groupBy("scan_id", "comp_id").agg(
-        F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("bw"), (F.max("y") - F.min("y") + 1).alias("bh"),
-        F.count("*").alias("area"), F.round(F.greatest(F.max("heat"), F.max("coef"), F.lit(1e-6)), 3).alias("severity"),
-    ).join(extent, "scan_id")
+    boxes = flagged_cells(cells).groupBy("scan_id", "comp_id").agg(
+        F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("bw"), (F.max("y") - F.min("y") + 1).alias("bh"), F.count("*").alias("area")
+    )
+    # A row of a box is joined with the cells of that row: each box meets only its own rows
+    bands = boxes.select("scan_id", "comp_id", F.col("x").alias("bx"), "bw", F.explode(F.sequence("y", F.col("y") + F.col("bh") - 1)).alias("y"))
+    inside = bands.join(cells.select("scan_id", "y", "x", "heat", "coef"), ["scan_id", "y"]).where("x >= bx and x < bx + bw")
+    severity = inside.groupBy("scan_id", "comp_id").agg(F.round(F.greatest(F.max("heat"), F.max("coef"), F.lit(1e-6)), 3).alias("severity"))
+    zones = boxes.join(severity, ["scan_id", "comp_id"]).join(extent, "scan_id")
     zones = zones.where((F.col("area") >= F.col("h") * F.col("w") * 0.005) & (F.col("area") <= F.col("h") * F.col("w") * 0.70))
     scan = Window.partitionBy("scan_id")
     zones = zones.withColumn("number", F.row_number().over(scan.orderBy(F.desc("severity"), "comp_id"))).withColumn("_max", F.max("severity").over(scan))
@@ -170,9 +200,12 @@ def connected_cells(cells: DataFrame) -> DataFrame:
     """
     spark = cells.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
     label = cells.select("scan_id", "y", "x", (F.col("y").cast("bigint") * 100000 + F.col("x")).alias("comp_id")).checkpoint()
     around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
     while True:

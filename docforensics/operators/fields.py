@@ -30,6 +30,14 @@ WEIGHTS = {"surname": 0.25, "date_of_birth": 0.25, "number": 0.20, "expiration_d
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 DATE = r"([0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}|[0-9]{4}[/.-][0-9]{2}[/.-][0-9]{2})"
 NUMBER = "([A-Z]{0,2}[0-9][A-Z0-9-]{5,12})"
+#: Labels of two languages whose value ends the line, and what the second extractor looks for in the text.
+ANCHORS = {"surname": r"(?i)(?:mbiemri|surname)", "names": r"(?i)(?:emri|given\s*name|first\s*name)", "nationality": r"(?i)(?:shtetesia|nationality)"}
+SEX_WORDS = r"(?i)\b(M|F|MALE|FEMALE|MASCULIN|FEMININ)\b"
+NATION_LABEL = r"(?i)(?:nationality|nationalit[eé]|shtetesia)\s*[:/\-]?\s*"
+SEX_WORD, NATION_CODE = r"(?iu)\b(Masculin|Féminin|Female|Male)\b", r"(?iu)(Nationalit[eé]|Citizenship|Pays)[:\s]+([A-Z]{2,3})"
+NUMBER_LABEL = r"(?i)(?:nr\.?\s*(?:personal|card|document)?|card\s*no|personal\s*no)\s*[:\-]?\s*([A-Z0-9]{6,16})"
+SEX_LABEL = r"(?iu)(?:gjinia|sex|sexe)\s*[:/\-]?\s*(M|F|Male|Female|Masculin|F[eé]minin)\b"
+NAME_LEADS = ("surname", "name", "given", "first", "last", "mbiemri", "emri")
 TITLE = "^[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]{2,}( [A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]{2,}){0,2}$"
 
 
@@ -41,6 +49,23 @@ def clean_token(c: Column) -> Column:
     return F.regexp_replace(normalize_text(c), "[^a-z0-9]", "")
 
 
+def separated_date(c: Column) -> Column:
+    """A date with / . or - between day, month and year, or with / or - between year, month and day; else null."""
+    orders = ((r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", "dd/MM/yyyy"), (r"^[0-9]{2}-[0-9]{2}-[0-9]{4}$", "dd-MM-yyyy"), (r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$", "dd.MM.yyyy"), (r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$", "yyyy/MM/dd"), (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd"))
+    return F.coalesce(*(F.when(c.rlike(p), F.try_to_date(c, form)) for p, form in orders))
+
+
+def without_leads(tokens: Column, leads: tuple[str, ...], drop: str = "[^a-z0-9]") -> Column:
+    """Words without those in front that are labels once marks and what `drop` matches are gone."""
+
+    def step(a: Column, t: Column) -> Column:
+        lead = a["lead"] & F.regexp_replace(normalize_text(t), drop, "").isin(*leads)
+        return F.struct(lead.alias("lead"), (a["n"] + lead.cast("int")).alias("n"))
+
+    n = F.aggregate(tokens, F.struct(F.lit(True).alias("lead"), F.lit(0).alias("n")), step)["n"]
+    return F.slice(tokens, n + 1, F.greatest(F.size(tokens), F.lit(1)))
+
+
 def dedupe_lines(lines: DataFrame) -> DataFrame:
     """The first line, by y then x, of those with the same cleaned text in the same cell of 8 by 8."""
     d = lines.withColumn("_t", clean_token(F.col("text"))).withColumn("_x", F.floor(F.col("x") / 8)).withColumn("_y", F.floor(F.col("y") / 8))
@@ -57,14 +82,6 @@ def sanitize(field: Column, value: Column) -> Column:
     v = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " "))
     tokens = F.filter(F.split(F.translate(v, "/|", "  "), " +"), lambda t: t != "")
 
-    def without_leads(tokens: Column) -> Column:
-        def step(a: Column, t: Column) -> Column:
-            lead = a["lead"] & clean_token(t).isin(*LEADS)
-            return F.struct(lead.alias("lead"), (a["n"] + lead.cast("int")).alias("n"))
-
-        leads = F.aggregate(tokens, F.struct(F.lit(True).alias("lead"), F.lit(0).alias("n")), step)["n"]
-        return F.array_join(F.slice(tokens, leads + 1, F.greatest(F.size(tokens), F.lit(1))), " ")
-
     def cut(v: Column) -> Column:
         date = F.when(v.rlike(DATE), F.regexp_extract(v, DATE, 1)).otherwise(v)
         u = F.upper(normalize_text(v))
@@ -77,7 +94,7 @@ def sanitize(field: Column, value: Column) -> Column:
         out = F.when(field.isin("date_of_birth", "expiration_date"), date).when(field == "sex", sex).when(field == "number", number).otherwise(name)
         return F.when(v == "", "").otherwise(out)
 
-    return bound(bound(tokens, without_leads), cut)
+    return bound(F.array_join(without_leads(tokens, LEADS), " "), cut)
 
 
 def is_plausible(field: Column, value: Column, as_of: Column) -> Column:
@@ -128,9 +145,8 @@ def _found(d: DataFrame, step: int, value: Column, score: Column, seq: Column) -
 
 def anchor_candidates(lines: DataFrame) -> DataFrame:
     """Values that end their line after a label in two languages, and Albanian by its keywords."""
-    anchors = {"surname": r"(?i)(?:mbiemri|surname)", "names": r"(?i)(?:emri|given\s*name|first\s*name)", "nationality": r"(?i)(?:shtetesia|nationality)"}
     least = F.when(F.col("p.field") == "nationality", rf"\s*[:/\-]?\s*([{LATIN}' -]{{3,30}})$").otherwise(rf"\s*[:/\-]?\s*([{LATIN}' -]{{2,40}})$")
-    d = lines.select("*", F.explode(_patterns(anchors)).alias("p")).withColumn("value", F.call_function("regexp_extract", F.col("text"), F.concat(F.col("p.pattern"), least), F.lit(1)))
+    d = lines.select("*", F.explode(_patterns(ANCHORS)).alias("p")).withColumn("value", F.call_function("regexp_extract", F.col("text"), F.concat(F.col("p.pattern"), least), F.lit(1)))
     d = d.where("value <> ''").withColumn("field", F.col("p.field"))
     score = F.when(F.col("field") == "nationality", 1.0 + F.col("conf") * 0.4).otherwise(1.2 + F.col("conf") * 0.5)
     at = _found(d, 2, F.col("value"), score, F.col("line_no") * 3 + F.col("p.k"))
@@ -147,10 +163,14 @@ def dates_found(lines: DataFrame, as_of: Column) -> DataFrame:
 
 def dates_chosen(lines: DataFrame, as_of: Column) -> DataFrame:
     """Birth: the oldest date that gives an age of 10 to 120. Expiry: the latest from five years before as_of."""
+    return _dates_chosen(dates_found(lines, as_of), as_of)
+
+
+def _dates_chosen(found: DataFrame, as_of: Column) -> DataFrame:
     age = F.datediff(as_of, F.col("day")) / 365.25
     place = F.col("line_no") * 1000 + F.col("k")
     old, late = age.between(10, 120), F.year("day") >= F.year(as_of) - 5
-    return dates_found(lines, as_of).groupBy("scan_id").agg(
+    return found.groupBy("scan_id").agg(
         F.min_by(F.when(old, F.col("raw")), F.when(old, F.struct("day", place.alias("p")))).alias("date_of_birth"),
         F.max_by(F.when(late, F.col("raw")), F.when(late, F.struct("day", place.alias("p")))).alias("expiration_date"),
     )
@@ -168,13 +188,16 @@ def docnum_candidates(lines: DataFrame) -> DataFrame:
 
 
 def sex_candidates(lines: DataFrame) -> DataFrame:
-    d = lines.select("scan_id", "line_no", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?i)\b(M|F|MALE|FEMALE|MASCULIN|FEMININ)\b"), F.lit(1))).alias("k", "value")).withColumn("field", F.lit("sex"))
+    d = lines.select("scan_id", "line_no", F.posexplode(F.regexp_extract_all("text", F.lit(SEX_WORDS), F.lit(1))).alias("k", "value")).withColumn("field", F.lit("sex"))
     return _found(d, 6, F.col("value"), F.lit(0.65), F.col("line_no") * 1000 + F.col("k"))
 
 
 def nationality_candidates(lines: DataFrame) -> DataFrame:
-    hit = F.regexp_extract("text", rf"(?i)(?:nationality|nationalit[eé]|shtetesia)\s*[:/\-]?\s*([{LATIN}]{{3,20}})", 1)
-    d = lines.withColumn("v", hit).where("v <> ''").groupBy("scan_id").agg(F.min_by("v", "line_no").alias("v")).withColumn("field", F.lit("nationality"))
+    """The first labelled nationality; it may stand in the lines after its label."""
+    order = Window.partitionBy("scan_id").orderBy("line_no")
+    text = F.concat_ws("\n", "text", F.lead("text", 1).over(order), F.lead("text", 2).over(order))
+    d = lines.select("scan_id", "line_no", F.regexp_extract(text, rf"{NATION_LABEL}([{LATIN}]{{3,20}})", 1).alias("v")).where("v <> ''")
+    d = d.groupBy("scan_id").agg(F.min_by("v", "line_no").alias("v")).withColumn("field", F.lit("nationality"))
     return _found(d, 7, F.col("v"), F.lit(0.7), F.lit(0))
 
 
@@ -239,17 +262,41 @@ def best_ocr_variant(readings: DataFrame, text_col: str = "text") -> DataFrame:
     return d.groupBy("scan_id").agg(F.min_by(F.struct("variant", "score"), F.struct(-F.col("score"), F.col("variant"))).alias("b")).select("scan_id", "b.*")
 
 
+def clean_name(name: Column) -> Column:
+    """A name without label words in front, and then without lower-case or short words in front of others."""
+
+    def cut(tokens: Column) -> Column:
+        size = F.size(tokens)
+
+        def step(a: Column, t: Column) -> Column:
+            weak = (F.length(t) <= 3) | ((F.lower(t) == t) & (F.upper(t) != t))
+            more = a["go"] & weak & (size - a["n"] >= 2)
+            return F.struct(more.alias("go"), (a["n"] + more.cast("int")).alias("n"))
+
+        n = F.aggregate(tokens, F.struct(F.lit(True).alias("go"), F.lit(0).alias("n")), step)["n"]
+        return F.array_join(F.slice(tokens, n + 1, F.greatest(size, F.lit(1))), " ")
+
+    def leads(tokens: Column) -> Column:
+        step = lambda a, t: F.struct((a["go"] & F.lower(t).isin(*NAME_LEADS)).alias("go"), (a["n"] + (a["go"] & F.lower(t).isin(*NAME_LEADS)).cast("int")).alias("n"))
+        n = F.aggregate(tokens, F.struct(F.lit(True).alias("go"), F.lit(0).alias("n")), step)["n"]
+        return F.slice(tokens, n + 1, F.greatest(F.size(tokens), F.lit(1)))
+
+    tokens = F.filter(F.split(F.translate(name, "/", " "), r"\s+"), lambda t: t != "")
+    return bound(bound(tokens, leads), cut)
+
+
 def extract_fields_regex(lines: DataFrame, as_of: Column) -> DataFrame:
-    """The second extractor, over lines and the text they make: one row of fields for each scan."""
+    """The second extractor, over lines and the text they make: one row of fields for each scan, null where nothing fits."""
     flat = lines.groupBy("scan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("flat"))
-    dates = dates_chosen(lines, as_of)
+    bounded = lines.select("scan_id", "line_no", F.posexplode(F.regexp_extract_all("text", F.lit(rf"\b{DATE}\b"), F.lit(1))).alias("k", "raw")).withColumn("day", separated_date(F.col("raw")))
+    dates = _dates_chosen(bounded.where("day is not null"), as_of)
     first = lambda c: F.min_by(F.when(c != "", c), F.when(c != "", F.col("line_no")))
     t = F.col("text")
     number = F.regexp_extract(t, rf"\b{NUMBER}\b", 1)
-    word = F.upper(F.regexp_extract(t, r"(?i)\b(Masculin|Féminin|Female|Male)\b", 1))
-    nation = F.upper(F.regexp_extract(t, r"(?i)(Nationalit[eé]|Citizenship|Pays)[:\s]+([A-Z]{2,3})", 2))
+    word = F.upper(F.regexp_extract(t, SEX_WORD, 1))
+    nation = F.upper(F.regexp_extract(t, NATION_CODE, 2))
     clean = F.trim(F.translate(F.translate(t, ".,", ""), "-", " "))
-    name = F.when(_upper_words(clean) & F.length(clean).between(2, 40) & ~F.arrays_overlap(F.split(clean, " +"), F.array(*map(F.lit, SKIP))), clean)
+    name = F.when(_upper_words(clean) & F.length(clean).between(2, 40) & ~F.arrays_overlap(F.split(clean, r"\s+"), F.array(*map(F.lit, SKIP))), clean)
     per = lines.groupBy("scan_id").agg(
         first(number).alias("number"), first(word).alias("word"), first(nation).alias("nation"),
         F.transform(F.array_sort(F.collect_list(F.when(name.isNotNull(), F.struct("line_no", name.alias("n"))))), lambda x: x["n"]).alias("upper"),
@@ -257,20 +304,32 @@ def extract_fields_regex(lines: DataFrame, as_of: Column) -> DataFrame:
     d = flat.join(per, "scan_id", "left").join(dates, "scan_id", "left")
     f = F.col("flat")
     hit = lambda p, i=1: F.nullif(F.trim(F.regexp_extract(f, p, i)), F.lit(""))
-    number = F.coalesce("number", F.upper(hit(r"(?i)(?:nr\.?\s*(?:personal|card|document)?|card\s*no|personal\s*no)\s*[:\-]?\s*([A-Z0-9]{6,16})")))
-    label = F.upper(hit(r"(?i)(?:gjinia|sex|sexe)\s*[:/\-]?\s*(M|F|Male|Female|Masculin|F[eé]minin)\b"))
-    sex = F.coalesce(label, F.col("word"))
+    named = lambda k: hit(rf"{ANCHORS[k]}\s*[:/\-]?\s*([{LATIN}' -]{{2,40}})")
+    # A labelled sex goes before a word for it, which may stand anywhere
+    sex = F.coalesce(F.upper(hit(SEX_LABEL)), F.col("word"))
     sex = F.when(sex.isin("MASCULIN", "MALE", "M"), "M").when(sex.isin("FÉMININ", "FEMININ", "FEMALE", "F"), "F")
-    nation = F.coalesce("nation", hit(rf"(?i)(?:shtetesia|nationality)\s*[:/\-]?\s*([{LATIN}]{{3,20}})"), F.when(f.rlike(r"(?i)\bALBANIAN\b"), "Albanian"))
-    surname = F.coalesce(F.get("upper", F.lit(0)), hit(rf"(?i)(?:mbiemri|surname)\s*[:/\-]?\s*([{LATIN}' -]{{2,40}})"))
-    names = F.coalesce(F.get("upper", F.lit(1)), hit(rf"(?i)(?:emri|given\s*name|first\s*name)\s*[:/\-]?\s*([{LATIN}' -]{{2,40}})"))
-    d = d.select("scan_id", "date_of_birth", "expiration_date", number.alias("number"), sex.alias("sex"), nation.alias("nationality"), surname.alias("surname"), names.alias("names"))
+    nation = F.coalesce("nation", hit(rf"{ANCHORS['nationality']}\s*[:/\-]?\s*([{LATIN}]{{3,20}})"), F.when(f.rlike(r"(?i)\bALBANIAN\b"), "Albanian"))
+    d = d.select(
+        "scan_id", "flat", "date_of_birth", "expiration_date", F.coalesce("number", F.upper(hit(NUMBER_LABEL))).alias("number"), sex.alias("sex"), nation.alias("nationality"),
+        F.coalesce(F.get("upper", F.lit(0)), named("surname")).alias("surname"), F.coalesce(F.get("upper", F.lit(1)), named("names")).alias("names"),
+    )
+    after = F.nullif(F.call_function("regexp_extract", f, F.concat(F.lit(r"\Q"), F.col("surname"), F.lit(r"\E\s+([A-Z][a-zà-öø-ÿ]{2,30})")), F.lit(1)), F.lit(""))
+    d = d.withColumn("names", F.coalesce("names", after)).withColumn("surname", clean_name(F.col("surname"))).withColumn("names", clean_name(F.col("names"))).drop("flat")
     same = F.upper("names") == F.upper("surname")
     enough = lambda k: F.when(F.length(_letters(F.col(k))) >= 2, F.col(k))
     compact = F.regexp_replace(F.upper("number"), r"\s+", "")
     return d.withColumn("names", F.when(F.coalesce(same, F.lit(False)), None).otherwise(enough("names"))).withColumn("surname", enough("surname")).withColumn("number", F.when(compact.rlike("[0-9]") & (F.length(compact) >= 6), F.col("number")))
 
 
+def field_mining(lines: DataFrame, as_of: Column) -> DataFrame:
+    """The job over lines: candidates of all kinds ranked, missing names filled in, and the second extractor where fewer than two fields were found."""
+    kept = dedupe_lines(lines)
+    first = first_name_fallback(wide(rank_candidates(all_candidates(kept, as_of), as_of)), kept)
+    second = extract_fields_regex(kept, as_of)
+    packed = lambda d: d.select("scan_id", F.map_filter(F.create_map(*(x for k in WEIGHTS | {"names": 0} for x in (F.lit(k), F.col(k)))), lambda k, v: F.coalesce(v, F.lit("")) != "").alias("fields"))
+    return choose_extractor(packed(first), packed(second))
+
+
 def visual_ocr_score(fields: DataFrame) -> DataFrame:
     """0.40 and a quarter of the weights of the fields that are there; 4 decimals."""
     there = sum((F.when(F.coalesce(F.col(k), F.lit("")) != "", w).otherwise(0.0) for k, w in WEIGHTS.items()), F.lit(0.0))

@@ -58,14 +58,27 @@ def _ratio(std: Column, mean: Column) -> Column:
 
 
 def ela_score(pairs: DataFrame, size: int = 16, ext_col: str | None = None) -> DataFrame:
-    """Error level: pairs has scan_id, y, x and diff (the greatest channel difference after recompression)."""
-    blocks = block_stats(pairs.withColumn("_a", F.least(F.col("diff") * 15, F.lit(255.0))), size, "_a")
+    """Error level: pairs has scan_id, y, x and diff (the greatest channel difference after recompression).
+
+    Output of the module scores: scan_id, score and details (texts).
+    """
+    amplified = pairs.withColumn("_a", F.least(F.col("diff") * 15, F.lit(255.0)))
+    blocks = block_stats(amplified, size, "_a")
     scan = blocks.groupBy("scan_id").agg(F.avg("mean").alias("m"), F.stddev_pop("mean").alias("s"))
     share = blocks.join(scan, "scan_id").groupBy("scan_id", "m", "s").agg(F.avg((F.col("mean") > F.col("m") + 2 * F.col("s")).cast("double")).alias("ratio"))
-    score = share.select("scan_id", F.least(_ratio(F.col("s"), F.col("m")) * 40 + F.col("ratio") * 100, F.lit(100.0)).alias("score"))
-    out = pairs.select("scan_id", *([ext_col] if ext_col else [])).distinct().join(score, "scan_id", "left")
+    cv = _ratio(F.col("s"), F.col("m"))
+    score = share.select("scan_id", cv.alias("cv"), "ratio", F.least(cv * 40 + F.col("ratio") * 100, F.lit(100.0)).alias("score"))
+    keys = ["scan_id", *([ext_col] if ext_col else [])]
+    out = amplified.groupBy(*keys).agg(F.avg("_a").alias("mean")).join(score, "scan_id", "left")
     zero = F.col(ext_col).isin(*LOSSLESS) if ext_col else F.lit(False)
-    return out.select("scan_id", F.when(zero, 0.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
+    first = F.concat(F.lit("error level: mean "), _shown("mean", 2), F.lit(", variation "), _shown("cv", 3), F.lit(", unusual blocks "), _shown(F.col("ratio") * 100, 1), F.lit(" %"))
+    verdict = F.when(F.col("score") >= 40, "areas of high error: possible local retouching").otherwise("error spread evenly")
+    details = F.when(zero, F.array(F.lit("error level: lossless format"))).when(F.col("score").isNull(), F.array(F.lit("error level: image too small"))).otherwise(F.array(first, verdict))
+    return out.select("scan_id", F.when(zero, 0.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"), details.alias("details"))
+
+
+def _shown(c, digits: int) -> Column:
+    return F.round(c, digits).cast("string")
 
 
 def ghost_score(diffs: DataFrame, size: int = 32, least_blocks: int = 4) -> DataFrame:
@@ -89,17 +102,28 @@ def ghost_score(diffs: DataFrame, size: int = 32, least_blocks: int = 4) -> Data
     q = quality(F.col("dominant"))
     score = F.least(raw + F.when(q <= 70, 15).when(q <= 80, 8).otherwise(0), F.lit(100.0))
     out = best.join(total, "scan_id", "left")
-    return out.select("scan_id", F.when(F.coalesce("n", F.lit(0)) < least_blocks, 0.0).otherwise(score).alias("score"), q.alias("dominant_quality"), quality(F.col("best")).alias("best_quality"))
+    small = F.coalesce("n", F.lit(0)) < least_blocks
+    shown = F.concat(F.lit("ghosts: dominant quality "), q.cast("string"), F.lit(", deviation "), _shown(std, 2))
+    uneven = F.concat(F.lit("quality differs between areas (best overall "), quality(F.col("best")).cast("string"), F.lit(")"))
+    details = F.when(small, F.array(F.lit("ghosts: image too small"))).otherwise(F.array(shown, F.when(score >= 35, uneven).otherwise("compression fairly uniform")))
+    return out.select("scan_id", F.when(small, 0.0).otherwise(score).alias("score"), q.alias("dominant_quality"), quality(F.col("best")).alias("best_quality"), details.alias("details"))
 
 
 def noise_score(pixels: DataFrame, size: int = 32, least_blocks: int = 4) -> DataFrame:
     """Local noise: how uneven the blocks' deviations are, and the share that is far off."""
     blocks = block_stats(pixels, size)
     scan = blocks.groupBy("scan_id").agg(F.count("*").alias("n"), F.avg("std").alias("m"), F.stddev_pop("std").alias("s"))
-    off = (F.col("std") < F.greatest(F.col("m") - 2 * F.col("s"), F.lit(0.5))).cast("double") + (F.col("std") > F.col("m") + 2.5 * F.col("s")).cast("double")
-    share = blocks.join(scan, "scan_id").groupBy("scan_id", "n", "m", "s").agg(F.avg(off).alias("ratio"))
-    score = share.select("scan_id", F.when(F.col("n") < least_blocks, 0.0).otherwise(F.least(_ratio(F.col("s"), F.col("m")) * 30 + F.col("ratio") * 80, F.lit(100.0))).alias("score"))
-    return pixels.select("scan_id").distinct().join(score, "scan_id", "left").select("scan_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    low = (F.col("std") < F.greatest(F.col("m") - 2 * F.col("s"), F.lit(0.5))).cast("double")
+    high = (F.col("std") > F.col("m") + 2.5 * F.col("s")).cast("double")
+    share = blocks.join(scan, "scan_id").groupBy("scan_id", "n", "m", "s").agg(F.avg(low).alias("low"), F.avg(high).alias("high"))
+    cv, ratio = _ratio(F.col("s"), F.col("m")), F.col("low") + F.col("high")
+    score = share.select("*", F.when(F.col("n") < least_blocks, 0.0).otherwise(F.least(cv * 30 + ratio * 80, F.lit(100.0))).alias("score"))
+    out = pixels.select("scan_id").distinct().join(score, "scan_id", "left")
+    shown = F.concat(F.lit("noise: grain "), _shown("m", 2), F.lit(", variation "), _shown(cv, 3), F.lit(", unusual areas "), _shown(ratio * 100, 1), F.lit(" %"))
+    more = [F.when(F.col("low") > 0.05, "unusually smooth areas"), F.when(F.col("high") > 0.05, "very noisy areas"), F.when(F.col("score") < 20, "grain fairly even")]
+    small = F.coalesce("n", F.lit(0)) < least_blocks
+    details = F.when(small, F.array(F.lit("noise: image too small"))).otherwise(F.array_compact(F.array(shown, *more)))
+    return out.select("scan_id", F.coalesce("score", F.lit(0.0)).alias("score"), details.alias("details"))
 
 
 def heat_normalize(blocks: DataFrame, value: str, deviation: bool) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Stretches of time in which the log of scans is numbered.
+STRETCHES = 1 << 14
+
+
 def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
@@ -13,10 +17,12 @@ def content_hash(content: Column) -> Column:
 def dedup_scans(scans: DataFrame, hash_col: str = "sha256", order_col: str = "scan_id") -> DataFrame:
     """Each scan with the first of equal content (result_of) and whether it is that one itself.
 
-    Only minima by hash are grouped, so a content that is uploaded very often is no load for one task.
+    Only minima by hash are grouped, so a content that is uploaded very often is no load for one
+    task. A scan without a hash equals no other: it is its own result.
     """
-    first = scans.groupBy(hash_col).agg(F.min(order_col).alias("result_of"))
-    return scans.join(first, hash_col).withColumn("analysed", F.col(order_col) == F.col("result_of"))
+    first = scans.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(order_col).alias("result_of"))
+    out = scans.join(first, hash_col, "left").withColumn("result_of", F.when(F.col(hash_col).isNull(), F.col(order_col)).otherwise(F.col("result_of")))
+    return out.withColumn("analysed", F.col(order_col).eqNullSafe(F.col("result_of")))
 
 
 def recent_results(log: DataFrame, key: str, ts: str, n: int = 32) -> DataFrame:
@@ -28,30 +34,48 @@ def lru_hit_audit(log: DataFrame, session: list[str], key: str, order: list[str]
     """hit for each request of a session: its key was used before, and fewer than `capacity` other keys since.
 
     A request counts as the newest use of its key until the next one. Between two uses of a key
-    at positions p and i, the distinct others are the positions in between whose own previous use
-    is before p. Sessions are the unit of work and should be bounded (a day, a server's run).
+    at positions p and i, the other keys are the positions in between whose own previous use is
+    before p: all positions from p + 1 to i - 1, less those whose previous use is after p. Those
+    are pairs of uses that lie inside (p, i), so counting them is counting inversions: every use
+    is put into one block of each power of two of the order of i, and counted there by the order
+    of p. The work is n log n for a session of n requests, with no pairs of requests.
     """
     s = Window.partitionBy(*session)
     d = log.withColumn("_i", F.row_number().over(s.orderBy(*order)))
     d = d.withColumn("_p", F.lag("_i").over(Window.partitionBy(*session, key).orderBy("_i")))
-    between = d.select(*session, F.col("_i").alias("_j"), F.coalesce("_p", F.lit(0)).alias("_q"))
-    again = d.where("_p is not null").select(*session, "_i", "_p")
-    counted = again.join(between, session).where("_j > _p and _j < _i and _q <= _p").groupBy(*session, "_i").agg(F.count("*").alias("_n"))
-    out = d.join(counted, [*session, "_i"], "left")
-    return out.withColumn("hit", F.col("_p").isNotNull() & (F.coalesce("_n", F.lit(0)) < capacity)).drop("_p", "_n").withColumnRenamed("_i", "position")
+    again = d.where("_p is not null").select(*session, F.col("_i").alias("i"), F.col("_p").alias("p"))
+    # Pairs inside (p, i): of those with an earlier i, the ones with a later p. A pair of uses meets an
+    # earlier one in the one level where its block is the right half and the other's is the left half.
+    longest = again.agg(F.max("i")).first()[0] or 0
+    levels = F.array(*map(F.lit, range(max(1, int(longest).bit_length()))))
+    put = again.select("*", F.explode(levels).alias("level")).withColumn("block", F.expr("i >> (level + 1)")).withColumn("right", F.expr("(i >> level) & 1") == 1)
+    later = Window.partitionBy(*session, "level", "block").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
+    put = put.withColumn("n", F.sum(F.when(F.col("right"), 0).otherwise(1)).over(later))
+    inside = put.where("right").groupBy(*session, "i").agg(F.sum(F.coalesce("n", F.lit(0))).alias("_inside")).withColumnRenamed("i", "_i")
+    out = d.join(inside, [*session, "_i"], "left")
+    others = F.col("_i") - F.col("_p") - 1 - F.coalesce("_inside", F.lit(0))
+    return out.withColumn("hit", F.col("_p").isNotNull() & (others < capacity)).drop("_p", "_inside").withColumnRenamed("_i", "position")
 
 
 def scan_history(log: DataFrame, top: int | None = None) -> DataFrame:
-    """Newest first, numbered from 1. With `top`, only so many; without, numbers come from one sort by range."""
-    order = Window.orderBy(F.desc("ts"), F.desc("id"))
+    """Newest first, numbered from 1; rows without a time come last. With `top`, only so many.
+
+    Without it, numbers come from counts by stretches of time and then by rank inside a stretch. A
+    stretch is a share of the whole span, so it is bounded by how the rows lie in time and not by
+    the calendar; no window spans all rows.
+    """
+    order = [F.desc_nulls_last("ts"), F.desc("id")]
     if top:
-        return log.orderBy(F.desc("ts"), F.desc("id")).limit(top).withColumn("number", F.row_number().over(order))
-    # Numbers within days, after the counts of the later days: no window over all rows
-    d = log.withColumn("_day", F.to_date("ts"))
-    days = d.groupBy("_day").agg(F.count("*").alias("_m"))
-    later = days.alias("a").join(days.alias("b"), F.col("b._day") > F.col("a._day"), "left").groupBy("a._day").agg(F.coalesce(F.sum("b._m"), F.lit(0)).alias("_later"))
-    own = F.row_number().over(Window.partitionBy("_day").orderBy(F.desc("ts"), F.desc("id")))
-    return d.join(F.broadcast(later), "_day").withColumn("number", F.col("_later") + own).drop("_day", "_later")
+        return log.orderBy(*order).limit(top).withColumn("number", F.row_number().over(Window.orderBy(*order)))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = log.agg(F.min(micros).alias("a"), F.max(micros).alias("b")).first()
+    first, width = span["a"] or 0, max(1, ((span["b"] or 0) - (span["a"] or 0)) // STRETCHES + 1)
+    d = log.withColumn("_part", F.coalesce(F.floor((micros - F.lit(first)) / width), F.lit(-1)))
+    counted = d.groupBy("_part").agg(F.count("*").alias("_m"))  # STRETCHES + 1 rows at most
+    newer = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.select("_part", F.coalesce(F.sum("_m").over(newer), F.lit(0)).alias("_newer"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return d.join(F.broadcast(counted), "_part").withColumn("number", F.col("_newer") + own).drop("_part", "_newer")
 
 
 def search_history(log: DataFrame, column: str, text: str) -> DataFrame:

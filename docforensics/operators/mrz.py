@@ -45,24 +45,28 @@ def bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _kinds(runs: str) -> str:
-    return "".join(run[0] * int(run[1:]) for run in runs.split())
+def _repaired(line: Column, runs: str) -> Column:
+    """A line repaired run by run of its format; what lies beyond the format stays."""
+    parts, at = [], 1
+    for run in runs.split():
+        size = int(run[1:])
+        part = F.upper(F.substring(line, at, size))
+        parts.append(F.translate(part, *TO_LETTER) if run[0] == "A" else F.translate(part, *TO_DIGIT) if run[0] == "N" else part)
+        at += size
+    return F.concat(*parts, F.substr(line, F.lit(at)))
 
 
 def fix_ocr(lines: Column, mrz_type: Column) -> Column:
     """Each position repaired by the kind that the format has there; what lies beyond the format stays."""
-    table = F.create_map(*(x for kind, formats in FORMATS.items() for x in (F.lit(kind), F.array(*(F.lit(_kinds(r)) for r in formats)))))
 
-    def repaired(line: Column, kinds: Column) -> Column:
-        def one(i: Column) -> Column:
-            kind, c = F.substr(kinds, i, F.lit(1)), F.substr(line, i, F.lit(1))
-            up = F.upper(c)
-            return F.when(kind == "A", F.translate(up, *TO_LETTER)).when(kind == "N", F.translate(up, *TO_DIGIT)).when(kind == "*", up).otherwise(c)
+    def fixed(formats: tuple[str, ...]) -> Column:
+        known = F.array(*(_repaired(F.get(lines, F.lit(i)), runs) for i, runs in enumerate(formats)))
+        return F.slice(known, 1, F.size(lines))
 
-        return F.when(F.length(line) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(line)), one), "")).otherwise("")
-
-    formats = F.try_element_at(table, mrz_type)
-    return F.when(formats.isNull(), lines).otherwise(F.zip_with(lines, formats, lambda line, kinds: repaired(line, kinds)))
+    out = lines
+    for formats in dict.fromkeys(FORMATS.values()):
+        out = F.when(mrz_type.isin(*(t for t, f in FORMATS.items() if f == formats)), fixed(formats)).otherwise(out)
+    return out
 
 
 def check_digit(text: Column) -> Column:

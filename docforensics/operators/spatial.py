@@ -5,12 +5,14 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .checks import FIELDS
-from .fields import LATIN, clean_token
+from .fields import LATIN, clean_token, normalize_text, separated_date, without_leads
+from .mrz import bound
 
 #: Labels of one word, in the order in which they are tried.
 KEYWORDS = {
@@ -40,28 +42,46 @@ NOISE = tuple(
     citizenship documentnumber holder signature primer apellido segundo nombre nacionalidad perenimi eesnimi kodakondsus sunni aeg dokumendi kehtiv kuni korttinumero datum
     narodenia platnosti cislo obcanstvo perekonnanimi letternjoftim leternjoftim""".split()
 )
+#: Label words in front of a value, for words and for readings of template regions.
+LEADS = ("name", "given", "surname", "first", "last", "prenom", "nom", "mbiemri", "emri", "nationality", "nationalite", "shtetesia", "sex", "sexe", "gjinia")
+READING_LEADS = tuple("surname name given nationality sex date birth expiry card document mbiemri emri shtetesia gjinia meno priezvisko pohlavie sukunimi etunimet kansalaisuus sukupuoli eesnimi perenimi".split())
+#: What a date, a document number, a word for a sex and labelled names look like in a page's text.
+DATE = r"(?<![0-9])([0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}|[0-9]{4}[/.-][0-9]{2}[/.-][0-9]{2})(?![0-9])"
+NUMBER = r"(?<![A-Z0-9])([A-Z]{0,2}[0-9][A-Z0-9]{5,11})(?![A-Z0-9])"
+SEX = r"(?iu)\b(Masculin|Féminin|Male|Female)\b"
+BESIDE = {"surname": (r"(?i)(?:mbiemri|surname)", 2), "names": (r"(?i)(?:emri|given\s*name|first\s*name)", 2), "nationality": (r"(?i)(?:shtetesia|nationality)", 3)}
+SEX_LABELS = ("sexe", "sex", "genre", "gender")
+#: Words that are never a name.
+NOT_NAMES = tuple("REPUBLIQUE REPUBLIC NATIONALE NATIONAL IDENTITE IDENTITY CARD CARTE PERMIS PASSEPORT PASSPORT NOM NAME PRENOM SURNAME FIRSTNAME DATE NAISSANCE BIRTH EXPIRATION VALIDITE VALIDITY SEXE SEX TUNISIE TUNISIA MAROC MOROCCO ALGERIE ALGERIA FRANCE BELGIQUE BELGIUM DOCUMENT NATIONALITY NATIONALITE GENRE GENDER".split())
+#: Signs of a Russian, a Spanish and an Albanian document.
+RUS_SIGN, ESP_SIGN, ALB_SIGN = r"[0-9]{2}\s*[0-9]{2}\s*[0-9]{5,7}", "DOCUMENTO|IDENTIDAD|ESPANA", "ALBANIA|SHQIP"
+LATIN_TYPES = ("ALB", "ESP", "EST", "FIN", "SVK")
 DAY = r"([0-9]{2}[.\-/ ][0-9]{2}[.\-/ ][0-9]{2,4})"
 
 
 def group_token_rows(tokens: DataFrame, tolerance: int = 15) -> DataFrame:
     """row_key for each word: the first row, in the order in which rows were opened, whose top is within the tolerance.
 
-    The fold depends on the order of words, so each scan's words are taken together; a scan is
-    one page and so is bounded.
+    The fold depends on the order of words, so a scan's words come one after another in one task; only
+    the keys of the scan at hand are held.
     """
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        keys: list[int] = []
-        out = []
-        for top in frame.sort_values(["line_no", "word_no"])["top"].tolist():
-            key = next((k for k in keys if abs(k - top) <= tolerance), None)
-            if key is None:
-                keys.append(key := top)
-            out.append(key)
-        return frame.sort_values(["line_no", "word_no"]).assign(row_key=out)
+    def fold(batches):
+        scan, keys, first = None, [], True
+        for batch in batches:
+            out = []
+            for at, top in zip(batch.column("scan_id").to_pylist(), batch.column("top").to_pylist(), strict=True):
+                if first or at != scan:
+                    scan, keys, first = at, [], False
+                key = None if top is None else next((k for k in keys if abs(k - top) <= tolerance), None)
+                if key is None and top is not None:
+                    keys.append(key := top)
+                out.append(key)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "row_key"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
-    return tokens.groupBy("scan_id").applyInPandas(fold, f"{kind}, row_key int")
+    dealt = tokens.repartition("scan_id").sortWithinPartitions("scan_id", "line_no", "word_no")
+    return dealt.mapInArrow(fold, f"{kind}, row_key int")
 
 
 def _rows(tokens: DataFrame) -> DataFrame:
@@ -89,12 +109,22 @@ def _value(hits: DataFrame, lines: DataFrame) -> DataFrame:
     return best.select("scan_id", "k", "field", "value")
 
 
+def _turns(spark, labels) -> DataFrame:
+    """A small table (k, field, w) of labels in their turn; labels without letters or digits are never found."""
+    d = spark.createDataFrame([(k, f, w) for k, (w, f) in enumerate(labels)], "k int, field string, w string")
+    return F.broadcast(d.withColumn("w", F.trim(F.regexp_replace(normalize_text(F.col("w")), "[^a-z0-9 ]", ""))).where("w <> ''"))
+
+
 def value_after_label(tokens: DataFrame) -> DataFrame:
-    """For each one-word label (k is its turn) the value beside or below its first place that has one."""
+    """For each one-word label (k is its turn) the value beside or below its first place that has one.
+
+    A word may hold several labels (Mbiemri/Surname): it is looked up as a whole and by its parts.
+    """
     rows = _rows(tokens)
-    labels = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(f).alias("field"), clean_token(F.lit(w)).alias("w")) for k, (w, f) in enumerate(KEYWORDS.items())))
-    marked = rows.withColumn("l", F.explode(F.filter(labels, lambda x: (x["w"] == F.col("w")) & (x["w"] != ""))))
-    hits = marked.select("scan_id", "row", "place", F.col("left").alias("from_left"), (F.col("left") + F.col("width")).alias("right_from"), "l.k", "l.field")
+    parts = F.split(normalize_text(F.col("text")), "[^a-z0-9]+")
+    looked_up = rows.select("scan_id", "row", "place", "left", "width", F.explode(F.array_distinct(F.concat(F.array("w"), parts))).alias("w")).where("w <> ''")
+    marked = looked_up.join(_turns(tokens.sparkSession, KEYWORDS.items()), "w")
+    hits = marked.select("scan_id", "row", "place", F.col("left").alias("from_left"), (F.col("left") + F.col("width")).alias("right_from"), "k", "field")
     return _value(hits, _line(rows))
 
 
@@ -103,26 +133,99 @@ def value_after_phrase(tokens: DataFrame) -> DataFrame:
     rows = _rows(tokens)
     order = Window.partitionBy("scan_id", "row").orderBy("place")
     ahead = rows.select("*", *(F.lead(F.struct("w", "left", "width", "place"), i).over(order).alias(f"n{i}") for i in (1, 2)))
-    two, three = F.concat_ws(" ", "w", "n1.w"), F.concat_ws(" ", "w", "n1.w", "n2.w")
-    labels = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(f).alias("field"), F.lit(p).alias("p"), F.lit(len(p.split())).alias("n")) for k, (p, f) in enumerate(PHRASES)))
-    d = ahead.withColumn("l", F.explode(F.filter(labels, lambda x: F.when(x["n"] == 2, F.col("n1").isNotNull() & (x["p"] == two)).otherwise(F.col("n2").isNotNull() & (x["p"] == three)))))
-    last = F.when(F.col("l.n") == 2, F.col("n1")).otherwise(F.col("n2"))
-    hits = d.select("scan_id", "row", last["place"].alias("place"), F.col("left").alias("from_left"), (last["left"] + last["width"]).alias("right_from"), "l.k", "l.field")
+    runs = F.array(F.struct(F.concat_ws(" ", "w", "n1.w").alias("w"), F.col("n1").alias("last")), F.struct(F.concat_ws(" ", "w", "n1.w", "n2.w").alias("w"), F.col("n2").alias("last")))
+    d = ahead.select("scan_id", "row", "left", F.explode(runs).alias("r")).where("r.last is not null").select("scan_id", "row", "left", F.col("r.w").alias("w"), F.col("r.last").alias("last"))
+    d = d.join(_turns(tokens.sparkSession, PHRASES), "w")
+    hits = d.select("scan_id", "row", F.col("last.place").alias("place"), F.col("left").alias("from_left"), (F.col("last.left") + F.col("last.width")).alias("right_from"), "k", "field")
     return _value(hits, _line(rows))
 
 
-def resolve_passes(phrase: DataFrame, keyword: DataFrame, regex: DataFrame, upper: DataFrame, as_of: Column) -> DataFrame:
-    """One value for each scan and field: phrase, then keyword, then (for names) upper-case lines over regex, then regex.
+def clean_read(field: Column, value: Column) -> Column:
+    """A value without label words in front, cut down to what the field may be: the cleaner of words with coordinates."""
 
-    Each input: scan_id, field, value and, for the first two, k (the turn of the label).
-    """
-    from .fields import is_plausible, sanitize
+    def cut(tokens: Column) -> Column:
+        v = F.array_join(tokens, " ")
+        u = F.upper(normalize_text(v))
+        alone = F.get(F.filter(F.transform(tokens, lambda t: F.upper(t)), lambda t: t.isin("M", "F")), F.lit(0))
+        sex = F.when(u.isin("M", "MALE", "MASCULIN"), "M").when(u.isin("F", "FEMALE", "FEMININ"), "F").otherwise(F.coalesce(alone, v))
+        compact = F.upper(F.array_join(tokens, ""))
+        date, number = F.regexp_extract(v, DATE, 1), F.regexp_extract(compact, NUMBER, 1)
+        out = F.when(field.isin("date_of_birth", "expiration_date"), F.when(date != "", date).otherwise(v)).when(field == "sex", sex)
+        return out.when(field == "number", F.when(number != "", number).otherwise(compact)).otherwise(v)
+
+    tokens = F.filter(F.split(F.translate(F.coalesce(value, F.lit("")), "/", " "), r"\s+"), lambda t: t != "")
+    return bound(without_leads(tokens, LEADS), cut)
+
+
+def _texts(tokens: DataFrame) -> DataFrame:
+    """scan_id, row, line (words in their order), first (where the row was opened), words."""
+    lines = _rows(tokens).groupBy("scan_id", "row").agg(F.min(F.struct("line_no", "word_no")).alias("first"), F.array_sort(F.collect_list(F.struct("place", "text", "w"))).alias("words"))
+    return lines.withColumn("line", F.array_join(F.col("words.text"), " "))
+
+
+def regex_values(tokens: DataFrame, as_of: Column) -> DataFrame:
+    """What patterns find in a page's text (rows in the order in which they were opened): scan_id, field, value.
 
+    Birth is the oldest date that gives an age of 10 to 120, expiry the latest from five years before
+    as_of; the first document number; a word for a sex, else M or F after a label for it (the last
+    row that has one); what stands after labelled names and nationality.
+    """
+    lines = _texts(tokens)
+    pages = lines.groupBy("scan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "line"))), lambda x: x["line"]), " ").alias("flat"))
+    found = pages.select("scan_id", F.posexplode(F.regexp_extract_all("flat", F.lit(DATE), F.lit(1))).alias("at", "raw")).withColumn("day", separated_date(F.col("raw"))).where("day is not null")
+    old, late = (F.datediff(as_of, F.col("day")) / 365.25).between(10, 120), F.year("day") >= F.year(as_of) - 5
+    dates = found.groupBy("scan_id").agg(
+        F.min_by(F.when(old, F.col("raw")), F.when(old, F.struct("day", "at"))).alias("date_of_birth"), F.max_by(F.when(late, F.col("raw")), F.when(late, F.struct("day", "at"))).alias("expiration_date")
+    )
+    # After the first label of a row: the rest of the row, or the next row if the label ends it
+    label = F.array_position(F.transform("words", lambda x: x["w"].isin(*SEX_LABELS)), True)
+    after = F.lead("words").over(Window.partitionBy("scan_id").orderBy("row"))
+    labelled = lines.select("scan_id", "row", "words", label.cast("int").alias("label"), after.alias("next")).where("label > 0")
+    beside = F.when(F.col("label") < F.size("words"), F.slice("words", F.col("label") + 1, F.size("words"))).otherwise(F.col("next"))
+    letter = F.get(F.filter(F.transform(beside, lambda x: F.upper(x["text"])), lambda x: x.isin("M", "F")), F.lit(0))
+    letters = labelled.withColumn("letter", letter).where("letter is not null").groupBy("scan_id").agg(F.max_by("letter", "row").alias("letter"))
+    word = F.upper(normalize_text(F.regexp_extract("flat", SEX, 1)))
+    sex = F.when(word.isin("MASCULIN", "MALE"), "M").when(word.isin("FEMININ", "FEMALE"), "F").otherwise(F.col("letter"))
+    norm = F.trim(F.regexp_replace("flat", r"\s+", " "))
+    names = {k: F.regexp_extract(norm, rf"{label}\s*[/:\-]?\s*([{LATIN}' -]{{{least},40}})", 1) for k, (label, least) in BESIDE.items()}
+    wide = pages.join(dates, "scan_id", "left").join(letters, "scan_id", "left")
+    wide = wide.select("scan_id", "date_of_birth", "expiration_date", F.regexp_extract("flat", NUMBER, 1).alias("number"), sex.alias("sex"), *(c.alias(k) for k, c in names.items()))
+    return wide.unpivot(["scan_id"], ["date_of_birth", "expiration_date", "number", "sex", *names], "field", "value").where("value <> ''")
+
+
+def upper_values(tokens: DataFrame) -> DataFrame:
+    """surname and names from the first two rows of one to four upper-case words that are no labels: scan_id, field, value."""
+    lines = _texts(tokens)
+    words = F.filter(F.split(F.translate(F.translate("line", ".,", ""), "-", " "), r"\s+"), lambda w: w != "")
+    fits = F.size(words).between(1, 4) & F.length("line").between(2, 40) & F.forall(words, lambda w: w.rlike(r"^\p{L}+$") & (F.upper(w) == w)) & ~F.arrays_overlap(words, F.array(*map(F.lit, NOT_NAMES)))
+    d = lines.where(fits).groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("row", F.trim("line").alias("line")))).alias("l"))
+    named = F.array(*(F.struct(F.lit(f).alias("field"), F.get(F.col("l.line"), F.lit(i)).alias("value")) for i, f in enumerate(("surname", "names"))))
+    return d.select("scan_id", F.explode(named).alias("n")).select("scan_id", "n.field", "n.value").where("value is not null")
+
+
+def resolve_passes(phrase: DataFrame, keyword: DataFrame, regex: DataFrame, upper: DataFrame) -> DataFrame:
+    """One value for each scan and field: phrase, then keyword, then (for names) upper-case rows over patterns, then patterns.
+
+    Each input: scan_id, field, value and, for the first two, k (the turn of the label). Upper-case
+    rows are taken as they stand, the others are cleaned. A chosen value that isn't plausible is
+    left out; the next pass doesn't take its place.
+    """
     turn = lambda d, n: d.select("scan_id", "field", F.col("value").alias("raw"), F.lit(n).alias("pass"), (F.col("k") if "k" in d.columns else F.lit(0)).alias("k"))
     d = turn(phrase, 1).unionByName(turn(keyword, 2)).unionByName(turn(upper, 3)).unionByName(turn(regex, 4))
-    d = d.withColumn("value", sanitize(F.col("field"), F.col("raw"))).where("value <> ''")
+    d = d.withColumn("value", F.when(F.col("pass") == 3, F.col("raw")).otherwise(clean_read(F.col("field"), F.col("raw")))).where("value <> ''")
     best = d.groupBy("scan_id", "field").agg(F.min_by(F.struct("value", "pass"), F.struct("pass", "k", "value")).alias("b")).select("scan_id", "field", "b.*")
-    return best.where(is_plausible(F.col("field"), F.col("value"), as_of))
+    letters = F.length(F.regexp_replace("value", f"[^{LATIN}]", ""))
+    day = separated_date(F.trim("value")).isNotNull()
+    number = F.regexp_replace(F.upper("value"), r"\s+", "")
+    fits = F.when(F.col("field").isin("surname", "names"), letters >= 2).when(F.col("field").isin("date_of_birth", "expiration_date"), day).when(F.col("field") == "sex", F.upper("value").isin("M", "F"))
+    return best.where(fits.when(F.col("field") == "number", number.rlike("[0-9]") & (F.length(number) >= 6)).when(F.col("field") == "nationality", letters >= 3).otherwise(True))
+
+
+def spatial_fields(tokens: DataFrame, as_of: Column) -> DataFrame:
+    """The job over words with coordinates: rows, the four passes, one value for each scan and field, its box where it is found."""
+    rows = tokens if "row_key" in tokens.columns else group_token_rows(tokens)
+    fields = resolve_passes(value_after_phrase(rows), value_after_label(rows), regex_values(rows, as_of), upper_values(rows))
+    return fields.join(field_bbox(rows, fields.select("scan_id", "field", "value")), ["scan_id", "field"], "left")
 
 
 def field_bbox(tokens: DataFrame, fields: DataFrame) -> DataFrame:
@@ -145,16 +248,19 @@ def rescale_boxes(boxes: DataFrame, from_size: tuple[Column, Column], to_size: t
     return boxes.select(*[c for c in boxes.columns if c not in "xywh"], at("x", 0).alias("x"), at("y", 1).alias("y"), one(at("w", 0)).alias("w"), one(at("h", 1)).alias("h"))
 
 
-def regions() -> Column:
-    return F.array(*(F.struct(F.lit(t).alias("doc_type"), F.lit(f).alias("field"), *(F.lit(v).alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), box, strict=True))) for t, (_, _, _, boxes) in TEMPLATES.items() for f, box in boxes.items()))
+def regions(spark) -> DataFrame:
+    """doc_type, field, x1, y1, x2, y2: the regions of all templates."""
+    rows = [(t, f, *map(float, box)) for t, (_, _, _, boxes) in TEMPLATES.items() for f, box in boxes.items()]
+    return spark.createDataFrame(rows, "doc_type string, field string, x1 double, y1 double, x2 double, y2 double")
 
 
 def tokens_in_region(tokens: DataFrame, pages: DataFrame) -> DataFrame:
     """Words whose centre lies in a region of the page's type, bounds included; pages: scan_id, doc_type, w, h."""
     d = tokens.join(pages, "scan_id").withColumn("cx", F.col("left") + F.col("width") / 2).withColumn("cy", F.col("top") + F.col("height") / 2)
-    inside = lambda r: (r["doc_type"] == F.col("doc_type")) & F.col("cx").between(r["x1"] * F.col("w"), r["x2"] * F.col("w")) & F.col("cy").between(r["y1"] * F.col("h"), r["y2"] * F.col("h"))
-    d = d.withColumn("r", F.explode(F.filter(regions(), inside)))
-    return d.select("scan_id", "doc_type", "line_no", "word_no", "text", "left", "conf", "cx", "cy", "r.field", *((F.col(f"r.{k}") * F.col(s)).alias(k) for k, s in (("x1", "w"), ("y1", "h"), ("x2", "w"), ("y2", "h"))))
+    boxes = F.broadcast(regions(tokens.sparkSession))  # 40 rows
+    scaled = d.join(boxes, "doc_type").select(d["*"], "field", *((F.col(k) * F.col(s)).alias(k) for k, s in (("x1", "w"), ("y1", "h"), ("x2", "w"), ("y2", "h"))))
+    inside = scaled.where("cx between x1 and x2 and cy between y1 and y2")
+    return inside.select("scan_id", "doc_type", "line_no", "word_no", "text", "left", "conf", "cx", "cy", "field", "x1", "y1", "x2", "y2")
 
 
 def best_from_region(region: DataFrame) -> DataFrame:
@@ -183,6 +289,28 @@ def best_from_region(region: DataFrame) -> DataFrame:
     return plain.unionByName(names).where("value <> ''")
 
 
+def clean_reading(field: Column, value: Column) -> Column:
+    """A reading of a template region without label words in front, cut down to what the field may be; empty if nothing is left."""
+
+    def cut(tokens: Column) -> Column:
+        v = F.array_join(tokens, " ")
+        up = F.upper(v)
+        sex = F.when(F.contains(up, F.lit("M")), "M").when(F.contains(up, F.lit("F")), "F").otherwise("")
+        compact = F.upper(F.regexp_replace(v, "[^A-Za-z0-9]", ""))
+        number = F.when((F.length(compact) >= 6) & compact.rlike("[0-9]"), compact).otherwise(F.regexp_extract(up, "([A-Z0-9]{6,})", 1))
+        words = lambda more, least: F.filter(F.split(F.regexp_replace(v, f"[^{LATIN}{more} -]", " "), " +"), lambda w: F.length(w) >= least)
+        names = words("'", 2)
+        nations = words("/", 3)
+        coded = F.filter(nations, lambda w: F.contains(w, F.lit("/")) | (F.length(w) == 3))
+        out = F.when(field == "sex", sex).when(field.isin("date_of_birth", "expiration_date"), F.regexp_extract(v, DAY, 1)).when(field == "number", number)
+        out = out.when(field == "surname", F.coalesce(F.get(names, F.lit(0)), F.lit(""))).when(field == "names", F.array_join(F.slice(names, 1, 2), " "))
+        return out.when(field == "nationality", F.coalesce(F.get(coded, F.lit(0)), F.get(nations, F.lit(0)), F.lit(""))).otherwise(v)
+
+    bare = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), r"\s+", " "), r"^[.,:;|_\-/\\~`'\"()\[\]{}]+|[.,:;|_\-/\\~`'\"()\[\]{}]+$", "")
+    tokens = F.filter(F.split(bare, r"\s+"), lambda t: t != "")
+    return bound(without_leads(tokens, READING_LEADS, "[^a-z]"), cut)
+
+
 def normalize_by_template(doc_type: Column, field: Column, value: Column) -> Column:
     """The last cleaning of a value by its type of document; empty if it doesn't fit."""
     v = F.trim(F.coalesce(value, F.lit("")))
@@ -192,9 +320,10 @@ def normalize_by_template(doc_type: Column, field: Column, value: Column) -> Col
     words = F.slice(words, start + 1, F.lit(2))
     words = F.transform(words, lambda w: F.when((F.length(w) >= 4) & w.startswith("O") & (F.upper(F.substr(w, F.lit(2))) == F.substr(w, F.lit(2))), F.substr(w, F.lit(2))).otherwise(w))
     name = F.array_join(words, " ")
-    name = F.when(F.upper(name).isin("ESP", "EST", "FIN", "SVK", "ALB") | ((doc_type != "RUS") & F.exists(words, lambda w: F.length(w) > 20)), "").otherwise(name)
+    name = F.when(F.upper(name).isin(*LATIN_TYPES) | (doc_type.isin(*LATIN_TYPES) & F.exists(words, lambda w: F.length(w) > 20)), "").otherwise(name)
     up = F.regexp_replace(F.upper(v), "[^A-Z/]", "")
-    code = F.coalesce(*(F.when(F.contains(up, F.lit(c)), c) for c in ("ESP", "EST", "FIN", "SVK")), F.regexp_replace(v, f"[^{LATIN}/ -]", ""))
+    known = doc_type.isin("ESP", "EST", "FIN", "SVK")
+    code = F.coalesce(*(F.when(known & F.contains(up, F.lit(c)), c) for c in ("ESP", "EST", "FIN", "SVK")), clean_reading(field, v))
     nation = F.when(doc_type == "ALB", F.when(up.rlike("ALBANIAN|SHQIPTARE|ALB"), "Shqiptare/Albanian").otherwise("")).otherwise(code)
     plain = F.regexp_replace(F.upper(v), "[^A-Z0-9]", "")
     number = F.when(F.length(plain) >= 6, plain).otherwise("")
@@ -220,8 +349,8 @@ def score_field_value(field: Column, value: Column) -> Column:
 
 
 def best_reading(readings: DataFrame) -> DataFrame:
-    """The reading (scan_id, field, variant, value) of the best score, the first of equals, if it scores above -1."""
-    d = readings.withColumn("score", score_field_value(F.col("field"), F.col("value"))).where("score > -1")
+    """The reading (scan_id, field, variant, value) of the best score once it is cleaned, the first of equals, if it scores above -1."""
+    d = readings.withColumn("value", clean_reading(F.col("field"), F.col("value"))).withColumn("score", score_field_value(F.col("field"), F.col("value"))).where("score > -1")
     return d.groupBy("scan_id", "field").agg(F.min_by(F.struct("value", "score"), F.struct(-F.col("score"), F.col("variant"))).alias("b")).select("scan_id", "field", "b.*")
 
 
@@ -234,19 +363,30 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def detect_doc_type(tokens: DataFrame, fuzzy: bool = True) -> DataFrame:
     """doc_type and hits for scans whose words hold keywords of a template, contained either way or alike to 0.78.
 
-    Every distinct word is compared once, not every place of it. Ties go by the order of the templates.
+    Every distinct word is compared once, not every place of it. A number in the Russian form (its
+    words may be apart in a line) and some Spanish and Albanian words count 2 more. Ties go by the
+    order of the templates.
     """
-    plain = lambda c: F.regexp_replace(F.upper(clean_token(c)), "[^A-Z0-9]", "")
-    words = tokens.select("scan_id", F.explode(F.regexp_extract_all(F.upper(F.translate("text", "ËÇÑÖÁČË", "ECNOACE")), F.lit("([A-Z0-9]{3,})"), F.lit(1))).alias("word")).distinct()
-    keys = F.array(*(F.struct(F.lit(i).alias("turn"), F.lit(t).alias("doc_type"), F.lit(k).alias("keyword"), plain(F.lit(k)).alias("key")) for i, (t, (ks, _, _, _)) in enumerate(TEMPLATES.items()) for k in ks))
-    vocabulary = words.select("word").distinct().withColumn("k", F.explode(F.filter(keys, lambda x: x["key"] != ""))).select("word", "k.*")
+    upper = F.upper(normalize_text(F.col("text")))
+    words = tokens.select("scan_id", F.explode(F.regexp_extract_all(upper, F.lit("([A-Z0-9]{3,})"), F.lit(1))).alias("word")).distinct()
+    keys = [(i, t, k) for i, (t, (ks, _, _, _)) in enumerate(TEMPLATES.items()) for k in ks]
+    keys = tokens.sparkSession.createDataFrame(keys, "turn int, doc_type string, keyword string").withColumn("key", F.upper(clean_token(F.col("keyword")))).where("key <> ''")
     held = F.contains("word", F.col("key")) | F.contains("key", F.col("word"))
     if fuzzy:
-        held = held | ((F.length("key") >= 5) & (F.abs(F.length("word") - F.length("key")) <= 6) & (sequence_ratio(F.col("key"), F.col("word")) >= 0.78))
+        # The ratio is at most twice the shorter length over both
+        near = 2 * F.least(F.length("word"), F.length("key")) >= 0.78 * (F.length("word") + F.length("key"))
+        held = held | ((F.length("key") >= 5) & near & (sequence_ratio(F.col("key"), F.col("word")) >= 0.78))
+    vocabulary = words.select("word").distinct().join(F.broadcast(keys))  # every distinct word with 18 keywords
     hits = words.join(vocabulary.where(held), "word").select("scan_id", "turn", "doc_type", "keyword").distinct().groupBy("scan_id", "turn", "doc_type").agg(F.count("*").alias("hits"))
     extra = words.groupBy("scan_id").agg(
-        F.max(F.col("word").rlike("DOCUMENTO|IDENTIDAD|ESPANA")).alias("esp"), (F.max(F.contains("word", F.lit("REPUBLIKA"))) & F.max(F.col("word").rlike("ALBANIA|SHQIP"))).alias("alb"), F.max(F.col("word").rlike("^[0-9]{9,11}$")).alias("rus"),
+        F.max(F.col("word").rlike(ESP_SIGN)).alias("esp"), (F.max(F.contains("word", F.lit("REPUBLIKA"))) & F.max(F.col("word").rlike(ALB_SIGN))).alias("alb")
     )
+    if {"line_no", "word_no"} <= set(tokens.columns):  # the sign may be spread over words of a line
+        at = tokens.where(F.col("text").rlike("[0-9]")).groupBy("scan_id", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"]), " ").alias("line"))
+    else:
+        at = tokens.select("scan_id", F.col("text").alias("line"))
+    signed = at.groupBy("scan_id").agg(F.max(F.col("line").rlike(RUS_SIGN)).alias("rus"))
+    extra = extra.join(signed, "scan_id", "full")
     order = list(TEMPLATES)
     more = F.array_compact(F.array(*(F.when(F.col(t.lower()), F.struct(F.lit(order.index(t)).alias("turn"), F.lit(t).alias("doc_type"), F.lit(2).cast("bigint").alias("hits"))) for t in ("RUS", "ALB", "ESP"))))
     extra = extra.select("scan_id", F.explode(more).alias("m")).select("scan_id", "m.*")

@@ -72,7 +72,16 @@ def roc_auc(spark, sf_dir):
     return op.roc_auc(fx(spark, sf_dir, "fx_scores"), "prob_fake", "is_fake")
 
 
-@query()
+@query(
+    """with recursive t(n) as (select 0 union all select n + 1 from t where n < 255),
+  bits(n, v, k) as (select n, n::bigint, 0 from t union all select n, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, k + 1 from bits where k < 8),
+  crc(n, v) as (select n, v from bits where k = 8),
+  walk(doc_id, quality, s, i, h) as (select doc_id, quality, cast(doc_id as varchar), 0, 4294967295::bigint from labels
+    union all select doc_id, quality, s, i + 1, xor(crc.v, h // 256) from walk join crc on crc.n = xor(h % 256, ascii(substr(s, i + 1, 1))::bigint) where i < len(s)),
+  hashed as (select doc_id, quality, xor(h, 4294967295) as h from walk where i = len(s)),
+  ranked as (select doc_id, quality, row_number() over (partition by quality order by h, doc_id) as r, count(*) over (partition by quality) as n from hashed)
+  select doc_id, quality, case when r <= round(n * 0.70) then 'train' when r <= round(n * 0.70) + round(n * 0.15) then 'val' else 'test' end as split from ranked"""
+)
 def stratified_split(spark, sf_dir):
     return op.stratified_split(fx(spark, sf_dir, "labels"), "doc_id", "quality").select("doc_id", "quality", "split")
 
@@ -108,18 +117,30 @@ def _zone(cx: str, cy: str) -> str:
     return f"case when {cy} < 0.25 then {row('Header / logo area', 'Document title area', 'Top-right corner')} when {cy} < 0.55 then {row('Photo zone', 'Name / nationality fields', 'ID number zone')} else {row('Signature / seal area', 'Date fields', 'MRZ / barcode zone')} end"
 
 
-_ZONES = f"""with z as (select c.scan_id, comp_id, min(x) as x, min(y) as y, max(x) - min(x) + 1 as width, max(y) - min(y) + 1 as height, count(*) as area, round(greatest(max(heat), max(coef), 1e-6), 3) as severity
-    from fx_cells c join ({_THR}) t on c.scan_id = t.scan_id where heat >= ht or coef >= ct group by c.scan_id, comp_id),
+_ZONES = f"""with zb as (select c.scan_id, comp_id, min(x) as x, min(y) as y, max(x) - min(x) + 1 as width, max(y) - min(y) + 1 as height, count(*) as area
+    from fx_cells c join ({_THR}) t on c.scan_id = t.scan_id where c.scan_id % 5 <> 0 and (heat >= ht or coef >= ct) group by c.scan_id, comp_id),
+  z as (select zb.*, (select round(greatest(max(heat), max(coef), 1e-6), 3) from fx_cells i where i.scan_id = zb.scan_id and i.x between zb.x and zb.x + zb.width - 1 and i.y between zb.y and zb.y + zb.height - 1) as severity from zb),
   r as (select *, row_number() over (partition by scan_id order by severity desc, comp_id) as number, max(severity) over (partition by scan_id) as top from z where area >= 0.32 and area <= 44.8)
   select scan_id, cast(number as int) as number, comp_id, {_zone('((x + width / 2.0) / 8)', '((y + height / 2.0) / 8)')} as zone, severity, x, y, width, height from r where number <= 5 and (number = 1 or severity >= greatest(0.10, 0.28 * top))"""
 
 
+def _zones(spark, sf_dir):
+    """Zones of all scans but every fifth, which is called Real."""
+    cells = fx(spark, sf_dir, "fx_cells")
+    labels = cells.select("scan_id", F.when(F.col("scan_id") % 5 == 0, "Real").otherwise("Falsified").alias("label")).distinct()
+    return op.suspicious_zones(cells, labels=labels)
+
+
 @query(_ZONES)
 def suspicious_zones(spark, sf_dir):
-    return op.suspicious_zones(fx(spark, sf_dir, "fx_cells"))
+    return _zones(spark, sf_dir)
 
 
-@query()
+@query(
+    f"""with recursive f as (select c.scan_id, y, x from fx_cells c join ({_THR}) t on c.scan_id = t.scan_id where heat >= ht or coef >= ct),
+  r(scan_id, y, x, c) as (select scan_id, y, x, y * 100000 + x from f union select r.scan_id, g.y, g.x, r.c from r join f g on g.scan_id = r.scan_id and abs(g.y - r.y) <= 1 and abs(g.x - r.x) <= 1)
+  select scan_id, y, x, cast(min(c) as bigint) as comp_id from r group by scan_id, y, x"""
+)
 def connected_cells(spark, sf_dir):
     return op.connected_cells(op.flagged_cells(fx(spark, sf_dir, "fx_cells")))
 
@@ -144,4 +165,4 @@ def relabel_zones_iou(spark, sf_dir):
     rows = F.array(*(F.struct(F.lit(n).alias("name"), *(F.lit(v).alias(k) for k, v in zip("xywh", box, strict=True))) for n, box in (("photo", (20, 60, 240, 300)), ("surname", (280, 90, 300, 60)), ("number", (500, 300, 280, 180)))))
     boxes = scans.select("scan_id", F.explode(rows).alias("b")).select("scan_id", "b.*")
     page = scans.select("scan_id", F.lit(800).alias("page_w"), F.lit(500).alias("page_h"))
-    return op.relabel_zones_iou(op.suspicious_zones(cells), boxes, page, side=8).select("scan_id", "number", "zone")
+    return op.relabel_zones_iou(_zones(spark, sf_dir), boxes, page, side=8).select("scan_id", "number", "zone")

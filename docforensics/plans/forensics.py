@@ -63,9 +63,10 @@ def block_stats(spark, sf_dir):
     return d.select("scan_id", "block_y", "block_x", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
+_n = lambda c, digits: f"cast(round(({c})::double, {digits}) as varchar)"
 _ELA_IN = "(select scan_id, y, x, least(diff * 15, 255) as a from fx_recompress where q_idx = 3)"
 _ELA = f"""with bl as ({_blocks_sql(_ELA_IN, "a")}), sc as (select scan_id, avg(mean) as m, stddev_pop(mean) as s from bl group by 1)
-  select scan_id, least((case when m > 1e-6 then s / m else 0 end) * 40 + avg(case when mean > m + 2 * s then 1.0 else 0.0 end) * 100, 100) as score
+  select scan_id, s, m, avg(case when mean > m + 2 * s then 1.0 else 0.0 end) as ratio, least((case when m > 1e-6 then s / m else 0 end) * 40 + avg(case when mean > m + 2 * s then 1.0 else 0.0 end) * 100, 100) as score
   from bl join sc using (scan_id) group by scan_id, m, s"""
 
 
@@ -82,7 +83,7 @@ _GHOST = f"""with px as (select scan_id, y, x, arg_min(q_idx, diff * 1000000 + q
   d as (select scan_id, q as dominant from (select scan_id, q, count(*) as n from b group by all) qualify row_number() over (partition by scan_id order by n desc, q) = 1),
   s as (select scan_id, stddev_pop(q) as std from b group by 1),
   g as (select scan_id, q_idx as best from (select scan_id, q_idx, avg(diff) as a from fx_recompress group by all) qualify row_number() over (partition by scan_id order by a, q_idx) = 1)
-  select scan_id, least(least(std * 25, 100) + (case when ql[dominant + 1] <= 70 then 15 when ql[dominant + 1] <= 80 then 8 else 0 end), 100) as score, ql[dominant + 1] as dominant_quality, ql[best + 1] as best_quality
+  select scan_id, least(least(std * 25, 100) + (case when ql[dominant + 1] <= 70 then 15 when ql[dominant + 1] <= 80 then 8 else 0 end), 100) as score, ql[dominant + 1] as dominant_quality, ql[best + 1] as best_quality, std
   from d join s using (scan_id) join g using (scan_id), (select [50, 60, 70, 75, 80, 85, 90, 95] as ql)"""
 
 
@@ -93,7 +94,7 @@ def ghost_score(spark, sf_dir):
 
 
 _NOISE = f"""with bl as ({_blocks_sql("fx_pixels", "lum")}), sc as (select scan_id, avg(std) as m, stddev_pop(std) as s from bl group by 1)
-  select scan_id, least((case when m > 1e-6 then s / m else 0 end) * 30 + avg((case when std < greatest(m - 2 * s, 0.5) then 1.0 else 0.0 end) + (case when std > m + 2.5 * s then 1.0 else 0.0 end)) * 80, 100) as score
+  select scan_id, m, s, avg(case when std < greatest(m - 2 * s, 0.5) then 1.0 else 0.0 end) as low, avg(case when std > m + 2.5 * s then 1.0 else 0.0 end) as high, least((case when m > 1e-6 then s / m else 0 end) * 30 + avg((case when std < greatest(m - 2 * s, 0.5) then 1.0 else 0.0 end) + (case when std > m + 2.5 * s then 1.0 else 0.0 end)) * 80, 100) as score
   from bl join sc using (scan_id) group by scan_id, m, s"""
 
 
@@ -128,12 +129,21 @@ def metadata_risk(spark, sf_dir):
 
 @query(
     f"""select r.scan_id, case when risk_level in ('Critical', 'High') then 'several forensic signals point to a high risk' when risk_level = 'Moderate' then 'some slight or ambiguous anomalies' else 'nothing very suspicious' end as summary,
-  case when x.scan_id % 17 = 0 then 1 else (case when contains(lower({_S}), 'photoshop') then 1 else 0 end) + (case when dt_original <> '' and dt <> '' and dt_original <> dt then 1 else 0 end) + (case when dt_original <> '' and dt_digitized <> '' and dt_original <> dt_digitized then 1 else 0 end) + (case when not (make <> '' and model <> '') and {_S} <> '' and make = '' then 1 else 0 end) + (case when orientation not in ('', '0', '1') then 1 else 0 end) + (case when gps <> '' then 1 else 0 end) end as n_details
-  from ({RISK_SQL}) r join fx_exif x on r.scan_id = x.scan_id"""
+  concat_ws('; ', case when x.scan_id % 17 = 0 then 'no tags' else nullif(concat_ws('; ', case when contains(lower({_S}), 'photoshop') then concat('editing software: ', {_S}) end,
+    case when dt_original <> '' and dt <> '' and dt_original <> dt then 'changed after the original date' end, case when dt_original <> '' and dt_digitized <> '' and dt_original <> dt_digitized then 'digitized on another date' end,
+    case when not (make <> '' and model <> '') and {_S} <> '' and make = '' then 'software without a device' end, case when orientation not in ('', '0', '1') then concat('orientation ', orientation) end, case when gps <> '' then 'position present' end), '') end,
+    concat('error level: mean ', {_n('ea', 2)}, ', variation ', {_n('case when e.m > 1e-6 then e.s / e.m else 0::double end', 3)}, ', unusual blocks ', {_n('e.ratio * 100', 1)}, ' %'), case when e.score >= 40 then 'areas of high error: possible local retouching' else 'error spread evenly' end,
+    concat('ghosts: dominant quality ', g.dominant_quality, ', deviation ', {_n('g.std', 2)}), case when g.score >= 35 then concat('quality differs between areas (best overall ', g.best_quality, ')') else 'compression fairly uniform' end,
+    concat('noise: grain ', {_n('n.m', 2)}, ', variation ', {_n('case when n.m > 1e-6 then n.s / n.m else 0::double end', 3)}, ', unusual areas ', {_n('(n.low + n.high) * 100', 1)}, ' %'),
+    case when n.low > 0.05 then 'unusually smooth areas' end, case when n.high > 0.05 then 'very noisy areas' end, case when n.score < 20 then 'grain fairly even' end) as diagnostic
+  from ({RISK_SQL}) r join fx_exif x on r.scan_id = x.scan_id join ({_ELA}) e on r.scan_id = e.scan_id join (select scan_id, avg(a) as ea from {_ELA_IN} group by scan_id) a on a.scan_id = r.scan_id join ({_GHOST}) g on r.scan_id = g.scan_id join ({_NOISE}) n on r.scan_id = n.scan_id"""
 )
 def metadata_diagnostics(spark, sf_dir):
-    d = op.metadata_diagnostics(risk(spark, sf_dir), op.exif_risk(tag_maps(spark, sf_dir)))
-    return d.select("scan_id", "summary", F.size("diagnostic").alias("n_details"))
+    """The details of all four modules as one text. Scans without tags have none of that module."""
+    pixels, diffs = fx(spark, sf_dir, "fx_pixels"), fx(spark, sf_dir, "fx_recompress")
+    modules = op.exif_risk(tag_maps(spark, sf_dir)), op.ela_score(diffs.where("q_idx = 3"), SIZE), op.ghost_score(diffs, SIZE), op.noise_score(pixels, SIZE)
+    d = op.metadata_diagnostics(op.metadata_risk(pixels, *modules), *modules)
+    return d.join(modules[0].select("scan_id"), "scan_id", "left_semi").select("scan_id", "summary", F.array_join("diagnostic", "; ").alias("diagnostic"))
 
 
 _RECT = (1, 1, 6, 6)

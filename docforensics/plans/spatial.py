@@ -52,8 +52,7 @@ def value_after_phrase(spark, sf_dir):
 @query()
 def resolve_passes(spark, sf_dir):
     d = labelled(spark, sf_dir)
-    none = op.value_after_label(d).where("false").select("scan_id", "field", "value")
-    return op.resolve_passes(op.value_after_phrase(d), op.value_after_label(d), none, none, _AS_OF())
+    return op.spatial_fields(d, _AS_OF()).select("scan_id", "field", "value", "pass")
 
 
 def _long_words(d):
@@ -87,7 +86,7 @@ def pages(spark, sf_dir):
 
 
 _REGIONS = ", ".join(f"({i}, '{t}', '{f}', {x1}::double, {y1}::double, {x2}::double, {y2}::double)" for i, (t, v) in enumerate(op.TEMPLATES.items()) for f, (x1, y1, x2, y2) in v[3].items())
-_IN = f"""select t.scan_id, t.line_no, t.word_no, t.text, g.doc_type, g.field from fx_tokens t join (select scan_id, max("left" + width) as w, max(top + height) as h from fx_tokens group by scan_id) p on t.scan_id = p.scan_id
+_IN = f"""select t.scan_id, t.line_no, t.word_no, t.text, t."left", t.conf, t."left" + t.width / 2.0::double as cx, t.top + t.height / 2.0::double as cy, g.doc_type, g.field, x1 * w as x1, x2 * w as x2, y1 * h as y1, y2 * h as y2 from fx_tokens t join (select scan_id, max("left" + width) as w, max(top + height) as h from fx_tokens group by scan_id) p on t.scan_id = p.scan_id
   join (values {_REGIONS}) g(i, doc_type, field, x1, y1, x2, y2) on t.scan_id % 6 = g.i and t."left" + t.width / 2.0::double between x1 * w and x2 * w and t.top + t.height / 2.0::double between y1 * h and y2 * h"""
 
 
@@ -96,16 +95,31 @@ def tokens_in_region(spark, sf_dir):
     return op.tokens_in_region(fx(spark, sf_dir, "fx_tokens"), pages(spark, sf_dir)).select("scan_id", "line_no", "word_no", "field")
 
 
-@query(f"select distinct scan_id, 'nationality' as field, case doc_type when 'ALB' then 'Shqiptare/Albanian' else doc_type end as value from ({_IN}) where field = 'nationality'")
+_NUMBER = " ".join(f"when '{t}' then regexp_extract(up, '\\b{p}\\b')" for t, (_, p, _, _) in op.TEMPLATES.items() if p)
+_ALONE = lambda c: f"regexp_matches(upper(joined), '(^|[^\\p{{L}}\\p{{N}}_]){c}($|[^\\p{{L}}\\p{{N}}_])')"
+_PLAIN = f"""select scan_id, doc_type, field, case field when 'sex' then case when {_ALONE('M')} or contains(upper(joined), 'M/M') then 'M' when {_ALONE('F')} then 'F' else '' end
+    when 'nationality' then case doc_type when 'ALB' then 'Shqiptare/Albanian' when 'RUS' then '' else doc_type end when 'number' then case doc_type {_NUMBER} else '' end else regexp_extract(joined, '{op.DAY}', 1) end as value
+  from (select *, regexp_replace(upper(joined), '[^A-Z0-9 ]', ' ', 'g') as up from (select scan_id, doc_type, field, string_agg(text, ' ' order by floor(cy / 12), "left", line_no, word_no) as joined from ({_IN}) where field not in ('surname', 'names') group by all))"""
+
+
+@query(f"select * from ({_PLAIN}) where value <> ''")
 def best_from_region(spark, sf_dir):
     d = op.best_from_region(op.tokens_in_region(fx(spark, sf_dir, "fx_tokens"), pages(spark, sf_dir)))
-    return d.where("field = 'nationality'").select("scan_id", "field", "value")
+    return d.where("field not in ('surname', 'names')").select("scan_id", "doc_type", "field", "value")
 
 
-@query()
+_NOISE = " or ".join(f"contains(lower(v), '{w}')" for w in op.NOISE)
+_NAMES = f"""with n as (select *, regexp_replace(text, '[^{op.LATIN}''-]', '', 'g') as v from ({_IN}) where field in ('surname', 'names')),
+  k as (select *, conf + greatest(0, 20 - abs(cy - (y1 + (y2 - y1) * 0.62::double)) / 2) + least(8, len(v)) - case when len(v) <= 2 then 8 else 0 end as points from n
+    where len(v) between 2 and 16 and not ({_NOISE}) and upper(v) not in ('ESP', 'EST', 'FIN', 'SVK', 'ALB') and (doc_type = 'RUS' or cx <= x1 + (x2 - x1) * 0.78::double)),
+  r as (select *, row_number() over (partition by scan_id, field order by points desc, len(v), line_no, word_no) as i from k)
+  select scan_id, doc_type, field, string_agg(v, ' ' order by i) as value from r where i = 1 or (i = 2 and field = 'names') group by all"""
+
+
+@query(_NAMES)
 def best_names_from_region(spark, sf_dir):
     d = op.best_from_region(op.tokens_in_region(fx(spark, sf_dir, "fx_tokens"), pages(spark, sf_dir)))
-    return d.where("field in ('surname', 'names')")
+    return d.where("field in ('surname', 'names')").select("scan_id", "doc_type", "field", "value")
 
 
 @query("select scan_id, case when scan_id % 2 = 0 then regexp_extract(number, '[0-9]{8,10}') else regexp_extract(number, '[0-9]{9}') end as number, sex, date_of_birth from fx_fields")

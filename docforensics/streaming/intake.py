@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,20 +41,46 @@ def _step(c: int, ok: bool) -> int:
 def stability(frames: DataFrame, stable_at: int = STABLE) -> DataFrame:
     """Counter after each frame of a session: up by one to 40 if the frame is good, else down by two to 0.
 
-    The counter is a composition of functions x -> min(hi, max(lo, x + add)), which compose to
-    the same form; so it is a running fold, made here over each session's ordered frames.
+    A run of frames maps a counter x to min(hi, max(lo, x + add)), and such maps compose to one of
+    the same form. So each hour of a session is composed by itself, the hours' maps are folded in
+    order, and each frame's map is applied to where its hour starts: a session is no load for one
+    task but for one row an hour. Frames without a good picture or a variance count as bad.
     """
-    ordered = frames.withColumn("ok", F.coalesce(frame_ok(), F.lit(False))).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "ok"))).alias("f"))
-
-    start = F.struct(F.lit(0).alias("c"), F.array().cast("array<int>").alias("all"))
-
-    def step(a: Column, x: Column) -> Column:
-        c = F.when(x["ok"], F.least(a["c"] + 1, F.lit(MOST))).otherwise(F.greatest(a["c"] - DOWN, F.lit(0)))
-        return F.struct(c.alias("c"), F.concat(a["all"], F.array(c)).alias("all"))
-
-    folded = ordered.select("session", F.arrays_zip("f", F.aggregate("f", start, step)["all"].alias("counter")).alias("z"))
-    rows = folded.select("session", F.explode("z").alias("z"))
-    return rows.select("session", F.col("z.f.seq").alias("seq"), F.col("z.counter").alias("counter"), (F.col("z.counter") >= stable_at).alias("stable"))
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("hour")
+    ok = F.coalesce(frame_ok(), F.lit(False)).alias("ok")
+    rows = frames.select("session", hour, "ts", "seq", ok).repartition("session", "hour").sortWithinPartitions("session", "hour", "ts", "seq")
+
+    def compose(batches):
+        at = add = lo = hi = None
+        for b in batches:
+            out = []
+            for key, good in zip(zip(b.column("session").to_pylist(), b.column("hour").to_pylist(), strict=True), b.column("ok").to_pylist(), strict=True):
+                if key != at:
+                    at, add, lo, hi = key, 0, 0, MOST
+                add, lo, hi = add + (1 if good else -DOWN), _step(lo, good), _step(hi, good)
+                out.append((add, lo, hi))
+            maps = [pa.array([m[k] for m in out], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("session", "hour", "ts", "seq")), *maps], ["session", "hour", "ts", "seq", "add", "lo", "hi"])
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    mapped = rows.mapInArrow(compose, f"session {kind['session']}, hour bigint, ts {kind['ts']}, seq {kind['seq']}, add bigint, lo bigint, hi bigint")
+    whole = mapped.groupBy("session", "hour").agg(F.max_by(F.struct("add", "lo", "hi"), F.struct("ts", "seq", F.abs("add"))).alias("m")).select("session", "hour", "m.*")
+
+    def fold(batches):
+        at, c = None, 0
+        for b in batches:
+            out = []
+            for session, add, lo, hi in zip(*(b.column(k).to_pylist() for k in ("session", "add", "lo", "hi")), strict=True):
+                if session != at or not out and at is None:
+                    at, c = session, 0
+                out.append(c)
+                c = min(hi, max(lo, c + add))
+            yield pa.RecordBatch.from_arrays([b.column("session"), b.column("hour"), pa.array(out, pa.int64())], ["session", "hour", "start"])
+
+    starts = whole.repartition("session").sortWithinPartitions("session", "hour").mapInArrow(fold, f"session {kind['session']}, hour bigint, start bigint")
+    joined = mapped.alias("f").join(starts.alias("s"), F.col("f.session").eqNullSafe(F.col("s.session")) & F.col("f.hour").eqNullSafe(F.col("s.hour")))
+    counter = F.least("f.hi", F.greatest("f.lo", F.col("s.start") + F.col("f.add"))).cast("int")
+    return joined.select("f.session", "f.seq", counter.alias("counter"), (counter >= stable_at).alias("stable"))
 
 
 STATE = T.StructType([T.StructField("counter", T.IntegerType())])

@@ -91,6 +91,36 @@ def test_lru_against_a_replay(spark):
         assert [r["hit"] for r in got] == want
 
 
+def test_rows_without_hash_or_time_stay(spark):
+    d = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "scan_id long, sha256 string")
+    assert sorted(tuple(r) for r in history.dedup_scans(d).select("scan_id", "result_of", "analysed").collect()) == [(1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True)]
+    d = spark.createDataFrame([(1, None), (2, "2024-01-01 00:00:00"), (3, "2024-01-01 00:00:00"), (4, None), (5, "2020-05-05 01:00:00")], "id long, t string").select("id", F.col("t").cast("timestamp").alias("ts"))
+    for out in (history.scan_history(d), history.scan_history(d, top=9)):
+        assert [r["id"] for r in out.orderBy("number").collect()] == [3, 2, 5, 4, 1]
+    assert history.scan_history(d.where("ts is null")).count() == 2 and history.scan_history(d.limit(0)).count() == 0
+
+
+def test_zones_of_boxes_and_of_real_scans(spark):
+    """A cell inside a component's box counts though it isn't flagged for it; Real scans have no zones."""
+    cells = [(s, y, x, 0.9 if y == x else 0.1, 0.0, 1 if y == x else 2) for s in (1, 2) for y in range(4) for x in range(4)]
+    cells = [(s, y, x, h, 0.95 if (y, x) == (0, 3) else c, comp) for s, y, x, h, c, comp in cells]
+    d = spark.createDataFrame(cells, "scan_id long, y int, x int, heat double, coef double, comp_id int")
+    out = evaluation.suspicious_zones(d, labels=spark.createDataFrame([(1, "Falsified"), (2, "Real")], "scan_id long, label string")).collect()
+    assert {(r["scan_id"], r["comp_id"], r["severity"]) for r in out} == {(1, 1, 0.95), (1, 2, 0.95)}
+
+
+def test_scores_in_many_cells(spark):
+    """Running sums over cells are those over all scores; rows without a score come last."""
+    rng = random.Random(3)
+    rows = [(rng.random(), rng.randrange(2)) for _ in range(3000)] + [(0.5, 1)] * 400 + [(None, 1)]
+    d = spark.createDataFrame(rows, "p double, t int")
+    out = {r["score"]: (r["tp"], r["called"]) for r in evaluation.by_score(d, "p", "t").collect()}
+    known = [r for r in rows if r[0] is not None]
+    for score in [s for s, _ in known[::97]] + [0.5]:
+        assert out[score] == (sum(t for p, t in known if p >= score), sum(p >= score for p, _ in known))
+    assert out[None] == (sum(t for _, t in rows), len(rows)) and evaluation.by_score(d.limit(0), "p", "t").count() == 0
+
+
 def test_history_is_numbered_without_gaps(spark):
     d = spark.range(100).select(F.col("id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 7000).alias("ts"))
     assert [r["id"] for r in history.scan_history(d).orderBy("number").collect()] == [*range(99, -1, -1)]
@@ -104,6 +134,18 @@ def test_stability_trace(spark):
     assert out[44]["counter"] == 40 and out[69]["counter"] == 0
 
 
+def test_stability_over_hours(spark):
+    """Hours composed apart give what a walk over all frames gives."""
+    rng = random.Random(6)
+    rows = [(s, i, 1_700_000_000 + i * 400, 1000.0 if rng.random() < p else None if rng.random() < 0.1 else 1.0, True) for s, p in ((1, 0.9), (2, 0.6), (3, 0.72)) for i in range(300)]
+    d = spark.createDataFrame(rows, "session long, seq long, ts long, variance double, corners_lit boolean")
+    want, c = {}, {}
+    for s, i, _, v, _ in rows:
+        c[s] = intake._step(c.get(s, 0), v == 1000.0)
+        want[s, i] = c[s]
+    assert {(r["session"], r["seq"]): r["counter"] for r in intake.stability(d).collect()} == want
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = spark.range(200).select((F.col("id") % 3).alias("session"), F.col("id").alias("seq"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("ts"), F.when(F.col("id") % 11 < 8, 900.0).otherwise(1.0).alias("variance"), F.lit(True).alias("corners_lit"), F.sha2((F.col("id") % 40).cast("string"), 256).alias("sha256"), F.lit("Fake").alias("verdict"))
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
@@ -153,6 +195,47 @@ def test_bilingual_lines(spark):
     assert second["surname"] == "HOXHA" and second["date_of_birth"] == "12.04.1990" and second["number"] == "123456789"
 
 
+def test_second_extractor(spark):
+    """Dates stand alone, labels are cut from names, a name may follow the surname."""
+    texts = {1: ["surname / given Hoxha"], 2: ["112.04.19901 01.02.2030 12.04.1990"], 3: ["Mbiemri: Hoxha", "Arta"], 4: ["Surname: HOXHA 1", "Given name: de la Arta 1"], 7: ["Mbiemri: HOXHA 1", "Emri: Arta 1"], 5: ["Gjinia: FÉMININ", "Nr. personal: j12345678a"], 6: ["Nationalité: fra", "Albanian"]}
+    d = spark.createDataFrame([(k, i, t, 0.9) for k, lines in texts.items() for i, t in enumerate(lines)], "scan_id long, line_no int, text string, conf double")
+    out = {r["scan_id"]: r for r in fields.extract_fields_regex(d, AS_OF()).collect()}
+    assert out[1]["surname"] == "Hoxha" and (out[2]["date_of_birth"], out[2]["expiration_date"]) == ("12.04.1990", "01.02.2030")
+    assert (out[3]["surname"], out[3]["names"]) == ("Hoxha Arta", None) and (out[4]["surname"], out[4]["names"]) == ("HOXHA", "Arta")
+    assert (out[7]["surname"], out[7]["names"]) == ("HOXHA", None)  # emri is found in mbiemri first, and a name like the surname goes
+    assert out[5]["sex"] == "F" and out[5]["number"] == "J12345678A" and out[6]["nationality"] == "FRA"
+
+
+@pytest.mark.parametrize(("name", "want"), [("name Given Arta", "Arta"), ("de la Arta", "Arta"), ("la", "la"), ("Arta de", "Arta de"), ("surname", "")])
+def test_clean_names(spark, name, want):
+    assert one(spark, fields.clean_name(F.lit(name))) == want
+
+
+def test_nationality_below_its_label(spark):
+    d = spark.createDataFrame([(1, 0, "Nationality"), (1, 1, "French"), (2, 0, "Nationality:"), (2, 1, ":"), (2, 2, "Spanish")], "scan_id long, line_no int, text string")
+    assert {(r["scan_id"], r["value"]) for r in fields.nationality_candidates(d).collect()} == {(1, "French")}
+
+
+@pytest.mark.parametrize(("field", "value", "want"), [("sex", "M 12", "M"), ("sex", "Gjinia: f", "F"), ("sex", "unknown", "unknown"), ("sex", "sex / féminin", "F"), ("number", "No 123456", "NO123456"), ("number", "x AB1234567", "XAB1234567"), ("number", "12345", "12345"), ("date_of_birth", "né 12.04.1990x", "12.04.1990"), ("date_of_birth", "112.04.1990", "112.04.1990"), ("surname", "surname / given Hoxha", "Hoxha"), ("surname", "gjinia", "")])
+def test_clean_read(spark, field, value, want):
+    assert one(spark, spatial.clean_read(F.lit(field), F.lit(value))) == want
+
+
+@pytest.mark.parametrize(("field", "value", "want"), [("surname", "Surname: HOXHA ARTA", "HOXHA"), ("names", "[emri Arta B Maria Anna]", "Arta Maria"), ("nationality", "nationality Shqiptare/Albanian x", "Shqiptare/Albanian"), ("nationality", "republika ESP", "ESP"), ("sex", "gjinia M/F", "M"), ("sex", "x", ""), ("number", "12-34.56", "123456"), ("number", "ab", ""), ("date_of_birth", "date 12 04 90", "12 04 90"), ("date_of_birth", "1990", ""), ("surname", "", "")])
+def test_clean_reading(spark, field, value, want):
+    assert one(spark, spatial.clean_reading(F.lit(field), F.lit(value))) == want
+
+
+@pytest.mark.parametrize(("kind", "field", "value", "want"), [("RUS", "nationality", "RESPUBLIKA", "RESPUBLIKA"), ("ESP", "nationality", "xESPx", "ESP"), ("FIN", "nationality", "Suomi 12", "Suomi"), ("ALB", "nationality", "albanian", "Shqiptare/Albanian"), ("ALB", "nationality", "x", ""), ("RUS", "number", "45 03 123456", ""), ("EST", "names", "fr eAhmetaj OJARI x", "Ahmetaj JARI"), ("SVK", "surname", "A" * 21, ""), ("RUS", "surname", "A" * 21, "A" * 21), ("ESP", "surname", "esp", ""), ("XXX", "number", "ab-1234", "AB1234")])
+def test_normalize_by_template(spark, kind, field, value, want):
+    assert one(spark, spatial.normalize_by_template(F.lit(kind), F.lit(field), F.lit(value))) == want
+
+
+def test_best_reading_is_cleaned_first(spark):
+    d = spark.createDataFrame([(1, "surname", 0, "Surname"), (1, "surname", 1, "Surname: Hoxha"), (1, "sex", 0, "?"), (1, "sex", 1, "sex f")], "scan_id long, field string, variant int, value string")
+    assert {r["field"]: r["value"] for r in spatial.best_reading(d).collect()} == {"surname": "Hoxha", "sex": "F"}
+
+
 def test_rows_are_opened_in_order(spark):
     words = [(1, 0, 0, "a", 0, 100, 8, 16, 90), (1, 0, 1, "b", 50, 112, 8, 16, 90), (1, 0, 2, "c", 90, 127, 8, 16, 90), (1, 0, 3, "d", 120, 116, 8, 16, 90)]
     d = spark.createDataFrame(words, "scan_id long, line_no int, word_no int, text string, left int, top int, width int, height int, conf int")
@@ -164,6 +247,9 @@ def test_document_types(spark):
     d = spark.createDataFrame(words, "scan_id long, text string")
     out = {r["scan_id"]: r["doc_type"] for r in spatial.detect_doc_type(d).collect()}
     assert out == {1: "ALB", 2: "FIN", 4: "ESP"}
+    words = [(1, 0, 0, "45"), (1, 0, 1, "03"), (1, 0, 2, "123456"), (2, 0, 0, "45"), (2, 1, 0, "03123456"), (3, 0, 0, "españa"), (4, 0, 0, "4503123456")]
+    out = {r["scan_id"]: (r["doc_type"], r["hits"]) for r in spatial.detect_doc_type(spark.createDataFrame(words, "scan_id long, line_no int, word_no int, text string")).collect()}
+    assert out == {1: ("RUS", 2), 3: ("ESP", 3), 4: ("RUS", 2)}
 
 
 def test_components_of_cells(spark):
