@@ -84,6 +84,12 @@ def loaded(key: str, build):
     return _LOADED[key]
 
 
+def carried(id_col: str, text_col: str, keep: tuple[str, ...]) -> tuple[list[str], list[int]]:
+    """Columns to hand to a task (id, text, what else is kept, none twice) and where the kept ones stand among them."""
+    columns = list(dict.fromkeys([id_col, text_col, *keep]))
+    return columns, [columns.index(c) for c in keep]
+
+
 def crc_of_id(id_col: str):
     """crc32 of the id as text, by which documents are held out."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import chunks
+from ._common import carried, chunks
 
 #: Classes of bytes: a symbol, a continuation of a UTF-8 character, white space.
 SYMBOLS = b"#*$%&|<>"
@@ -159,11 +159,12 @@ def quality_rules(
             longs = [m[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat")]
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in longs), pa.array(covered), pa.array(m["spans"], span), pa.array(failed), pa.array(kept)]
-            cols += [batch.column(i) for i in range(2, batch.num_columns)]
+            cols += [batch.column(i) for i in at]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}
     names = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat", "covered", "spans", "base_failed", "kept"]
     types = [kind[id_col], *["bigint"] * 7, "double", "array<struct<start:int,end:int>>", "boolean", "boolean"]
     names, types = [*names, *(f"in_{c}" for c in keep)], [*types, *(kind[c] for c in keep)]
-    return docs.select(id_col, text_col, *keep).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, types, strict=True)))
+    columns, at = carried(id_col, text_col, keep)
+    return docs.select(*columns).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, types, strict=True)))

@@ -10,17 +10,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import chunks, hot_join, removed, written
+from ._common import carried, chunks, hot_join, removed, written
 
 #: A fingerprint has four segments of 16 bits; two texts are near at 3 differing bits or fewer.
 SEGMENTS, WIDTH, BUDGET = 4, 16, 3
+#: Hashes whose bits are laid out at once.
+BITS_AT_ONCE = 1 << 15
 
 
 def fingerprints_of(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     """64-bit fingerprints: a bit is 1 if it is set in over half the hashes of the word shingles."""
-    sums = np.zeros((len(texts), 64), dtype=np.int64)
-    hashes, counts = [], np.zeros(len(texts), dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
+    sums, counts = np.zeros((len(texts), 64), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    digest, hashes = xxhash.xxh64_intdigest, []
     for i, text in enumerate(texts):
         words = text.lower().split()  # bytes: A-Z only
         if not words:
@@ -29,12 +30,15 @@ def fingerprints_of(texts: list[bytes], shingle: int = 3) -> np.ndarray:
         ends = np.cumsum([len(w) + 1 for w in words])
         starts = [0, *ends[:-1].tolist()][: max(1, len(words) - shingle + 1)]
         stops = (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
-        hashes += [digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)]
+        hashes.append(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts)))
         counts[i] = len(starts)
     if hashes:
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        full = np.flatnonzero(counts)
-        sums[full] = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(counts[full])[:-1]]), axis=0, dtype=np.int64)
+        every = np.concatenate(hashes).astype("<u8").view(np.uint8).reshape(-1, 8)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        for at in range(0, len(every), BITS_AT_ONCE):
+            own = owner[at : at + BITS_AT_ONCE]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            sums[own[first]] += np.add.reduceat(np.unpackbits(every[at : at + BITS_AT_ONCE], axis=1, bitorder="little"), first, axis=0, dtype=np.int64)
     out = np.packbits(2 * sums > counts[:, None], axis=1, bitorder="little")
     return np.ascontiguousarray(out).view("<u8").reshape(-1)
 
@@ -45,11 +49,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for batch in chunks(batches):
             fp = fingerprints_of([(x or "").encode() for x in batch.column(1).to_pylist()], shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view("<i8")), *(batch.column(i) for i in range(2, batch.num_columns))], ["id", "fp", *kept])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view("<i8")), *(batch.column(i) for i in at)], ["id", "fp", *kept])
 
     kept = [f"in_{c}" for c in keep]
+    columns, at = carried(id_col, text_col, keep)
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(id_col, text_col, *keep).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [("id", kind[id_col]), ("fp", "bigint"), *((f"in_{c}", kind[c]) for c in keep)]))
+    return docs.select(*columns).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [("id", kind[id_col]), ("fp", "bigint"), *((f"in_{c}", kind[c]) for c in keep)]))
 
 
 def _segment(fp: Column, i: int) -> Column:
