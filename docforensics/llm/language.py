@@ -141,12 +141,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             found = iter(zip([m.languages[i] for i in best], top[:, 0].tolist(), (top[:, 0] - top[:, 1] if top.shape[1] > 1 else top[:, 0]).tolist(), strict=True))
             rows = [next(found) if k else ("und", 0.0, 1.0) for k in known]
             cols = [batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] < ambiguous_below for r in rows], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*cols, *(batch.column(i) for i in at)], names)
+            yield pa.RecordBatch.from_arrays([*cols, *(batch.column(i) for i in kept)], names)
 
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}
     names = [id_col, "lang_pred", "score", "ambiguous", *(f"in_{c}" for c in keep)]
     types = [kind[id_col], "string", "double", "boolean", *(kind[c] for c in keep)]
-    columns, at = carried(id_col, text_col, keep)
+    columns, kept = carried(id_col, text_col, keep)
     return docs.select(*columns).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, types, strict=True)))
 
 

@@ -166,5 +166,5 @@ def quality_rules(
     names = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat", "covered", "spans", "base_failed", "kept"]
     types = [kind[id_col], *["bigint"] * 7, "double", "array<struct<start:int,end:int>>", "boolean", "boolean"]
     names, types = [*names, *(f"in_{c}" for c in keep)], [*types, *(kind[c] for c in keep)]
-    columns, at = carried(id_col, text_col, keep)
+    columns, carried_at = carried(id_col, text_col, keep)
     return docs.select(*columns).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in zip(names, types, strict=True)))
