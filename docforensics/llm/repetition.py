@@ -159,7 +159,7 @@ def quality_rules(
             longs = [m[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "longest_repeat")]
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             cols = [batch.column(0), *(pa.array(x, pa.int64()) for x in longs), pa.array(covered), pa.array(m["spans"], span), pa.array(failed), pa.array(kept)]
-            cols += [batch.column(i) for i in at]
+            cols += [batch.column(i) for i in carried_at]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = {f.name: f.dataType.simpleString() for f in docs.schema}
