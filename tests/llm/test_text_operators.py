@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -137,3 +139,49 @@ def test_empty(empty):
     assert repetition.quality_rules(empty).count() == 0
     assert byte_bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
     assert token_counts.token_counts(empty, PIECES).count() == 0
+
+
+def _slots(text):
+    """Slots of the n-grams of 1 to 4 bytes that end at each byte, by whole numbers."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    grams = [sum(data[i - k] << (8 * k) for k in range(n) if i >= k) for n in language.SIZES for i in range(len(data))]
+    sizes = [n for n in language.SIZES for _ in data]
+    return Counter(((g + n) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language.SLOT_BITS) for g, n in zip(grams, sizes, strict=True))
+
+
+def test_languages_against_a_loop(spark):
+    """Counts, margins and the decoding of each text, worked out one by one."""
+    rng = random.Random(11)
+    sounds = {"aa": "ba bo bi", "bb": "ku ba ki", "cc": "su sé ki", "dd": "mo bo mu"}
+    rows = [(i, " ".join("".join(rng.choice(s.split()) for _ in range(3)) for _ in range(rng.choice([2, 20]))), lang) for i in range(8) for lang, s in sounds.items()]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(d)
+    share = {}
+    for lang in sorted(sounds):
+        counts = sum((_slots(t) for _, t, x in rows if x == lang), Counter())
+        table = np.full(1 << language.SLOT_BITS, 0.5)
+        for s, n in counts.items():
+            table[s] += n
+        share[lang] = table / table.sum()
+    names = sorted(share)
+    assert model.languages == names and model.code.shape == (4, 7)
+    weights, margin = [], []
+    for b in range(7):
+        yes = np.mean([share[x] for k, x in enumerate(names) if model.code[k, b] > 0], axis=0)
+        no = np.mean([share[x] for k, x in enumerate(names) if model.code[k, b] < 0], axis=0)
+        weights.append(np.log(yes / no))
+        margin.append(((yes - no) * weights[-1]).sum() / 2)
+    trust = np.array(margin) / sum(margin)
+    got = {}
+    for r in language.predict(d, model, keep=("text",)).collect():
+        got[r["in_text"]] = r
+    for _, text, _ in rows:
+        slots = _slots(text)
+        margins = [sum(n * w[s] for s, n in slots.items()) / sum(slots.values()) / m for w, m in zip(weights, margin, strict=True)]
+        loss = [sum(t * math.log1p(math.exp(-4 * c * m)) for t, c, m in zip(trust, model.code[k], margins, strict=True)) for k in range(4)]
+        odds = [math.exp(2 * (min(loss) - x)) for x in loss]
+        odds = sorted((x / sum(odds) for x in odds), reverse=True)
+        assert got[text]["lang_pred"] == names[loss.index(min(loss))]
+        assert math.isclose(got[text]["score"], odds[0], rel_tol=1e-3)
+        if abs(odds[0] - odds[1] - 0.05) > 1e-3:
+            assert got[text]["ambiguous"] == (odds[0] - odds[1] < 0.05)
