@@ -109,17 +109,19 @@ def stratified_split(rows: DataFrame, id_col: str, class_col: str, train: float
     """train, val or test for each row, with the shares held in each class.
 
     Rows of a class are in the order of a hash of their id. A class may hold most rows, so the cut
-    is made on counts of the hash's first 12 bits, and only the cells at a cut are ranked.
+    is made on counts of the hash's first 12 bits, and ranks are taken within a cell. Rows without a
+    class are a class of their own; in a class, rows without an id come first.
     """
     h = F.crc32(F.col(id_col).cast("string").cast("binary"))
     d = rows.withColumn("_h", h).withColumn("_cell", F.shiftright("_h", 20))
     cells = d.groupBy(class_col, "_cell").agg(F.count("*").alias("_m"))
     ahead = Window.partitionBy(class_col).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(class_col, "_cell", F.coalesce(F.sum("_m").over(ahead), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy(class_col)).alias("_total"))
-    d = d.join(cells, [class_col, "_cell"])
+    cells = cells.withColumnsRenamed({class_col: "_class", "_cell": "_at"})
+    d = d.join(cells, F.col(class_col).eqNullSafe(F.col("_class")) & F.col("_cell").eqNullSafe(F.col("_at")))
     rank = F.col("_before") + F.row_number().over(Window.partitionBy(class_col, "_cell").orderBy("_h", id_col))
     part = F.when(rank <= F.round(F.col("_total") * train), "train").when(rank <= F.round(F.col("_total") * train) + F.round(F.col("_total") * val), "val").otherwise("test")
-    return d.withColumn("split", part).drop("_h", "_cell", "_before", "_total")
+    return d.withColumn("split", part).drop("_h", "_cell", "_class", "_at", "_before", "_total")
 
 
 def fit_and_score(vectors: DataFrame, vector_col: str, label_col: str, id_col: str, iterations: int = 20) -> DataFrame:

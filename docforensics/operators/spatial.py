@@ -371,13 +371,16 @@ def detect_doc_type(tokens: DataFrame, fuzzy: bool = True) -> DataFrame:
     words = tokens.select("scan_id", F.explode(F.regexp_extract_all(upper, F.lit("([A-Z0-9]{3,})"), F.lit(1))).alias("word")).distinct()
     keys = [(i, t, k) for i, (t, (ks, _, _, _)) in enumerate(TEMPLATES.items()) for k in ks]
     keys = tokens.sparkSession.createDataFrame(keys, "turn int, doc_type string, keyword string").withColumn("key", F.upper(clean_token(F.col("keyword")))).where("key <> ''")
+    pairs = words.select("word").distinct().join(F.broadcast(keys))  # every distinct word with 18 keywords
     held = F.contains("word", F.col("key")) | F.contains("key", F.col("word"))
+    vocabulary = pairs.where(held)
     if fuzzy:
-        # The ratio is at most twice the shorter length over both
-        near = 2 * F.least(F.length("word"), F.length("key")) >= 0.78 * (F.length("word") + F.length("key"))
-        held = held | ((F.length("key") >= 5) & near & (sequence_ratio(F.col("key"), F.col("word")) >= 0.78))
-    vocabulary = words.select("word").distinct().join(F.broadcast(keys))  # every distinct word with 18 keywords
-    hits = words.join(vocabulary.where(held), "word").select("scan_id", "turn", "doc_type", "keyword").distinct().groupBy("scan_id", "turn", "doc_type").agg(F.count("*").alias("hits"))
+        # The ratio is at most twice the characters that can match over both lengths: those that the other string holds too.
+        # Apart from the pairs held, so that Python sees only pairs within that bound
+        shared = F.least(*(F.length(a) - F.length(F.expr(f"translate({a}, {b}, '')")) for a, b in (("word", "key"), ("key", "word"))))
+        likely = (F.length("key") >= 5) & (2 * shared >= 0.78 * (F.length("word") + F.length("key")))
+        vocabulary = vocabulary.unionByName(pairs.where(~held & likely).where(sequence_ratio(F.col("key"), F.col("word")) >= 0.78))
+    hits = words.join(vocabulary, "word").select("scan_id", "turn", "doc_type", "keyword").distinct().groupBy("scan_id", "turn", "doc_type").agg(F.count("*").alias("hits"))
     extra = words.groupBy("scan_id").agg(
         F.max(F.col("word").rlike(ESP_SIGN)).alias("esp"), (F.max(F.contains("word", F.lit("REPUBLIKA"))) & F.max(F.col("word").rlike(ALB_SIGN))).alias("alb")
     )

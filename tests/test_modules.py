@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import OrderedDict
+from difflib import SequenceMatcher
 from struct import pack
 
 import pytest
@@ -58,6 +59,20 @@ def test_split_shares(spark):
     assert got == {(1, "train"): 700, (1, "val"): 150, (1, "test"): 150, (0, "train"): 855, (0, "val"): 183, (0, "test"): 184}
 
 
+def test_split_keeps_rows_without_class_or_id(spark):
+    d = spark.createDataFrame([(i if i % 3 else None, None if i % 2 else "a") for i in range(200)], "id long, c string")
+    got = {(r["c"], r["split"]): r["count"] for r in evaluation.stratified_split(d, "id", "c").groupBy("c", "split").count().collect()}
+    assert got == {(c, s): n for c in ("a", None) for s, n in (("train", 70), ("val", 15), ("test", 15))}
+
+
+def test_fit_and_score(spark):
+    """A class that one component tells apart is told apart; rows without a label are scored, those without a vector aren't."""
+    rows = [(i, [1.0 if i % 2 else -1.0, (i * 7 % 5) / 5], i % 2) for i in range(60)] + [(100, [1.0, 0.5], None), (101, [-1.0, 0.5], None), (102, None, 1)]
+    out = {r["id"]: r["prob_fake"] for r in evaluation.fit_and_score(spark.createDataFrame(rows, "id long, v array<float>, y int"), "v", "y", "id").collect()}
+    assert set(out) == {*range(60), 100, 101} and out[100] > 0.9 and out[101] < 0.1
+    assert all((out[i] > 0.5) == (i % 2 == 1) for i in range(60))
+
+
 @pytest.mark.parametrize(("t", "p", "want"), [(1.0, 0.3, 0.3), (2.0, 0.5, 0.5), (0.0, 0.7, 0.7)])
 def test_temperature(spark, t, p, want):
     assert one(spark, evaluation.temperature_scale(F.lit(p), t)) == pytest.approx(want)
@@ -181,6 +196,11 @@ def test_files_in_and_reports_out(spark, tmp_path):
     reports = spark.createDataFrame([(1, "Fake"), (2, "Authentic")], "scan_id long, verdict string")
     tables.write_reports(reports, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).where("verdict = 'Fake'").select("scan_id").first()[0] == 1
+    tables.write_reports(reports, str(tmp_path / "out"), "json")  # over what is there
+    assert {tuple(r) for r in spark.read.json(str(tmp_path / "out")).select("scan_id", "verdict").collect()} == {(1, "Fake"), (2, "Authentic")}
+    (tmp_path / "log.csv").write_text("epoch,accuracy,auc,loss,val_accuracy,val_auc,val_loss\n0,0.5,0.6,0.7,0.5,0.61,0.72\n1,0.6,0.7,0.5,0.6,0.73,\n")
+    log = tables.read_training_log(spark, str(tmp_path / "log.csv"))
+    assert [(r["epoch"], r["val_auc"], r["val_loss"]) for r in log.collect()] == [(0, 0.61, 0.72), (1, 0.73, None)]
     (tmp_path / "t.tsv").write_text("scan_id\tline_no\tword_no\ttext\tleft\ttop\twidth\theight\tconf\n1\t0\t0\tA\t0\t0\t8\t16\t95.5\n1\t0\t1\tB\t9\t0\t8\t16\tbad\n1\t0\t2\t \t9\t0\t8\t16\t90\n")
     assert [(r["text"], r["conf"]) for r in tables.read_ocr_tokens(spark, str(tmp_path / "t.tsv")).collect()] == [("A", 95)]
     assert tables.read_settings(None) == {"threshold": 0.54, "temperature": 1.0} and tables.read_settings("{oops")["threshold"] == 0.54
@@ -296,3 +316,23 @@ def test_candidates_of_all_lines(spark, tmp_path):
     run = lambda name: queries()[name](spark, str(tmp_path)).collect()
     assert {r["line_no"] for r in run("sex_candidates")} == {0, 2}
     assert {(r["line_no"], r["field"]) for r in run("uppercase_name_candidates")} == {(i, f) for i in (1, 3) for f in ("surname", "names")}
+
+
+def test_alike_words_against_all_pairs(spark):
+    """Words that the bound on shared characters leaves out are never alike to 0.78."""
+    rng = random.Random(3)
+    keys = sorted({k for ks, _, _, _ in spatial.TEMPLATES.values() for k in ks})
+    words = ["".join(rng.choice(k.upper() + "XO1") if rng.random() < 0.25 else c for c in k.upper()) for k in keys for _ in range(12)]
+    d = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "scan_id long, text string")
+    clean = {r["k"]: r["c"] for r in spark.createDataFrame([(k,) for k in keys], "k string").select("k", F.upper(fields.clean_token(F.col("k"))).alias("c")).collect()}
+    found = {r["scan_id"]: r["word"] for r in d.select("scan_id", F.explode(F.regexp_extract_all(F.upper(fields.normalize_text(F.col("text"))), F.lit("([A-Z0-9]{3,})"), F.lit(1))).alias("word")).collect() if " " not in words[r["scan_id"]]}
+    got = {r["scan_id"]: (r["doc_type"], r["hits"]) for r in spatial.detect_doc_type(d).collect()}
+    alike = lambda k, w: k in w or w in k or (len(k) >= 5 and SequenceMatcher(a=k, b=w).ratio() >= 0.78)
+    for i, w in found.items():
+        hits = {t: sum(bool(clean[k]) and alike(clean[k], w) for k in ks) for t, (ks, _, _, _) in spatial.TEMPLATES.items()}
+        if max(hits.values()) == 0:
+            assert i not in got or got[i][1] == 2  # a sign of a country alone
+        elif i in got:
+            assert got[i][1] >= max(hits.values())
+        else:
+            raise AssertionError((w, hits))
