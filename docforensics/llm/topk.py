@@ -15,6 +15,8 @@ RING, BLOCK = 2048, 512
 SAMPLE, PIVOTS = 2048, 16
 #: Slack for distances in floating point: bounds are widened by this share and by this much.
 SHARE, LEAST = 1e-9, 1e-3
+#: The least score of a query of which fewer than k vectors are known.
+NONE = np.iinfo(np.int64).min
 
 
 def integer_vectors(df: DataFrame, vector_col: str, scale: int = 256) -> Column:
@@ -48,18 +50,34 @@ def _distances(v: np.ndarray, extra: np.ndarray, pivots: np.ndarray, top: float)
     return np.sqrt(np.maximum(square + (extra[:, None] - more) ** 2, 0))
 
 
-def _blobs(rows: DataFrame, pivots: np.ndarray, top: int, dim: int, size: int, query: bool) -> DataFrame:
+def _inside(q: np.ndarray, least: np.ndarray, lows: np.ndarray, highs: np.ndarray, pivots: np.ndarray, top: int) -> np.ndarray:
+    """Which queries a ring may hold a vector for that scores their `least` or more, by the bounds of all pivots."""
+    reach = _reach(q, least, top)[:, None]
+    d = _distances(q, np.zeros(len(q)), pivots, top)
+    return ((d - reach <= highs) & (d + reach >= lows)).all(axis=1)
+
+
+def _reach(q: np.ndarray, least: np.ndarray, top: int) -> np.ndarray:
+    """How far a vector may be from each query to score its `least`."""
+    square = (q.astype(float) ** 2).sum(axis=1) + float(top) - 2 * least.astype(float)
+    return np.where(least == NONE, np.inf, np.sqrt(np.maximum(square, 0)) * (1 + SHARE) + LEAST)
+
+
+def _blobs(rows: DataFrame, pivots: np.ndarray, top: int, dim: int, kind: str, size: int, query: bool) -> DataFrame:
     """Rows packed into blocks of one pivot, each a stretch of the distances to it.
 
-    block, pivot, lo, hi, ids, vectors (little-endian longs); rows of a pivot lie in the order of
-    their distance, dealt out by range, so a pivot with most rows is no load for one task.
+    block, pivot, lo, hi, lows and highs (of the distances to every pivot), ids, vectors (of numpy's
+    type `kind`); rows of a pivot lie in the order of their distance, dealt out by range, so a pivot
+    with most rows is no load for one task.
     """
 
+    def distances(v):
+        return _distances(v, np.zeros(len(v)) if query else np.sqrt(top - (v**2).sum(axis=1).astype(float)), pivots, top)
+
     def mark(batches):
         for b in batches:
             v = _matrix(b.column("v"), dim)
-            extra = np.zeros(len(v)) if query else np.sqrt(top - (v**2).sum(axis=1).astype(float))
-            d = _distances(v, extra, pivots, top)
+            d = distances(v)
             near = d.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near, pa.int32()), pa.array(d[np.arange(len(v)), near])], ["id", "v", "pivot", "d"])
 
@@ -69,11 +87,14 @@ def _blobs(rows: DataFrame, pivots: np.ndarray, top: int, dim: int, size: int, q
         def block():
             d = [x for _, _, x in held]
             ids = np.array([i for i, _, _ in held], dtype="<i8").tobytes()
-            return pivot, d[0], d[-1], ids, np.stack([v for _, v, _ in held]).astype("<i8").tobytes()
+            v = np.stack([v for _, v, _ in held])
+            every = distances(v)
+            return pivot, d[0], d[-1], every.min(axis=0).tolist(), every.max(axis=0).tolist(), ids, v.astype(kind).tobytes()
 
         def out(rows):
-            kinds = (pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["pivot", "lo", "hi", "ids", "vectors"])
+            many = pa.list_(pa.float64())
+            kinds = (pa.int32(), pa.float64(), pa.float64(), many, many, pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["pivot", "lo", "hi", "lows", "highs", "ids", "vectors"])
 
         for b in batches:
             v, rows = _matrix(b.column("v"), dim), []
@@ -90,7 +111,7 @@ def _blobs(rows: DataFrame, pivots: np.ndarray, top: int, dim: int, size: int, q
     marked = rows.select("id", "v").mapInArrow(mark, "id bigint, v array<bigint>, pivot int, d double")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = marked.repartitionByRange(tasks, "pivot", "d", "id").sortWithinPartitions("pivot", "d", "id")
-    packed = dealt.mapInArrow(gather, "pivot int, lo double, hi double, ids binary, vectors binary")
+    packed = dealt.mapInArrow(gather, "pivot int, lo double, hi double, lows array<double>, highs array<double>, ids binary, vectors binary")
     return packed.withColumn("block", F.monotonically_increasing_id())
 
 
@@ -100,7 +121,7 @@ def _best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: i
         score = (q.astype(float) @ v.T.astype(float)).astype(np.int64)
     else:
         score = q @ v.T
-    score[q_ids[:, None] == ids[None, :]] = np.iinfo(np.int64).min
+    score[q_ids[:, None] == ids[None, :]] = NONE
     out = []
     for row in score:
         at = np.lexsort((ids, -row))[:k] if len(row) <= k else None
@@ -108,7 +129,7 @@ def _best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: i
             edge = np.partition(row, len(row) - k)[len(row) - k]
             at = np.flatnonzero(row >= edge)
             at = at[np.lexsort((ids[at], -row[at]))][:k]
-        out.append((at[row[at] > np.iinfo(np.int64).min], row))
+        out.append((at[row[at] > NONE], row))
     return [(ids[at], row[at]) for at, row in out]
 
 
@@ -119,13 +140,15 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     distance. Candidates lie around the nearest of a few pivots in rings sorted by distance; queries
     are gathered in blocks in the same way. A block first looks into the ring nearest to it,
     which bounds how far each query's k-th best can be. By the triangle inequality only rings whose
-    distances to their pivot come within that bound of the query's are looked into after that.
+    distances to every pivot come within that bound of the block's are looked into after that, and
+    there only for the queries whose own bounds reach the ring.
 
     Pivots are picked from a sample of 2048 vectors; every vector is indexed, and results are exact.
     Output: query_id, rank (from 1), vec_id, score; ties to the smaller vec_id; fewer rows where
     there are fewer candidates. Candidates with the query's own id are left out. Vectors or
     components that are null or not finite, and null ids, take no part; neither do vectors of
-    another length than most. Repeated rows count each. Empty input: no rows.
+    another length than most. Repeated rows count each. Empty input: no rows. An inner product
+    beyond a long is an error.
     """
 
     def valid(df: DataFrame) -> DataFrame:
@@ -140,13 +163,16 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     dim = lengths[0]["n"]
     rows, asked = (x.where(F.size("v") == dim) for x in (rows, asked))
     norm = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x)
-    top = rows.agg(F.max(norm)).first()[0]
+    widest = F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v")))
+    top, most = rows.agg(F.max(norm), F.max(widest)).first()
+    most = max(most, asked.agg(F.max(widest)).first()[0] or 0)
+    kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
     pivots = _pivots(rows)
-    rings = written(_blobs(rows, pivots, top, dim, RING, False).withColumnRenamed("block", "ring"), "rings")
-    blocks = written(_blobs(asked, pivots, top, dim, BLOCK, True), "query-blocks")
+    rings = written(_blobs(rows, pivots, top, dim, kind, RING, False).withColumnRenamed("block", "ring"), "rings")
+    blocks = written(_blobs(asked, pivots, top, dim, kind, BLOCK, True), "query-blocks")
 
     def unpack(ids: pa.Scalar, data: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(data.as_py(), "<i8").reshape(-1, dim)
+        return np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(data.as_py(), kind).reshape(-1, dim).astype(np.int64)
 
     # The ring nearest to each block, among those of its pivot, else of any
     near = F.abs(F.col("r.lo") + F.col("r.hi") - F.col("b.lo") - F.col("b.hi"))
@@ -156,29 +182,29 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     seeded = blocks.select("block", "ids", "vectors").join(first, "block").join(rings.select("ring", F.col("ids").alias("r_ids"), F.col("vectors").alias("r_vectors")), "ring", "left")
 
     def bound(batches):
-        """For each block and pivot, the distances within which the k best of its queries lie."""
+        """For each block the distances to each pivot within which the k best of its queries lie, and their least scores."""
         for b in batches:
             out = []
             for i in range(b.num_rows):
                 ids, q = unpack(b.column("ids")[i], b.column("vectors")[i])
-                least = np.full(len(ids), -np.inf)
+                least = np.full(len(ids), NONE)
                 if b.column("r_ids")[i].is_valid:
                     r_ids, v = unpack(b.column("r_ids")[i], b.column("r_vectors")[i])
-                    found = _best(q, ids, v, r_ids, k)
-                    least = np.array([s[k - 1] if len(s) == k else -np.inf for _, s in found])
-                reach = np.sqrt(np.maximum((q**2).sum(axis=1) + float(top) - 2 * least, 0))
-                reach = reach * (1 + SHARE) + LEAST
+                    least = np.array([s[k - 1] if len(s) == k else NONE for _, s in _best(q, ids, v, r_ids, k)])
+                reach = _reach(q, least, top)[:, None]
                 d = _distances(q, np.zeros(len(q)), pivots, top)
-                lows = np.array([x if np.isfinite(x) else -(1 << 62) for x in least]).astype("<i8").tobytes()
-                for p in range(len(pivots)):
-                    out.append((b.column("block")[i].as_py(), p, float((d[:, p] - reach).min()), float((d[:, p] + reach).max()), lows))
-            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["block", "pivot", "from", "to", "least"])
-
-    reach = written(seeded.mapInArrow(bound, "block bigint, pivot int, `from` double, `to` double, least binary"), "bounds")
-    inside = (F.col("r.pivot") == F.col("p.pivot")) & (F.col("r.lo") <= F.col("p.to")) & (F.col("r.hi") >= F.col("p.from"))
-    pairs = reach.alias("p").join(meta.alias("r"), inside).select("p.block", "p.least", "r.ring")
-    pairs = pairs.join(blocks.select("block", "ids", "vectors"), "block").join(rings.select("ring", F.col("ids").alias("r_ids"), F.col("vectors").alias("r_vectors")), "ring")
+                out.append((b.column("block")[i].as_py(), (d - reach).min(axis=0).tolist(), (d + reach).max(axis=0).tolist(), least.astype("<i8").tobytes()))
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["block", "from", "to", "least"])
+
+    reach = written(seeded.mapInArrow(bound, "block bigint, `from` array<double>, `to` array<double>, least binary"), "bounds")
+    # Block and ring by the ring's own pivot first, then by all others
+    spans = reach.select("block", "least", "from", "to", F.posexplode(F.arrays_zip("from", "to")).alias("pivot", "own")).alias("p")
+    meta = rings.select("ring", "pivot", "lo", "hi", "lows", "highs").alias("r")
+    inside = (F.col("r.pivot") == F.col("p.pivot")) & (F.col("lo") <= F.col("own.to")) & (F.col("hi") >= F.col("own.from"))
+    all_inside = F.forall(F.arrays_zip("from", "to", "lows", "highs"), lambda x: (x["lows"] <= x["to"]) & (x["highs"] >= x["from"]))
+    pairs = spans.join(meta, inside).where(all_inside).select("block", "least", "ring")
+    pairs = pairs.join(blocks.select("block", "ids", "vectors"), "block").join(rings.select("ring", "lows", "highs", F.col("ids").alias("r_ids"), F.col("vectors").alias("r_vectors")), "ring")
 
     def look(batches):
         for b in batches:
@@ -187,7 +213,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
                 ids, q = unpack(b.column("ids")[i], b.column("vectors")[i])
                 r_ids, v = unpack(b.column("r_ids")[i], b.column("r_vectors")[i])
                 least = np.frombuffer(b.column("least")[i].as_py(), "<i8")
-                for j, (found, score) in enumerate(_best(q, ids, v, r_ids, k)):
+                reached = np.flatnonzero(_inside(q, least, np.array(b.column("lows")[i].as_py()), np.array(b.column("highs")[i].as_py()), pivots, top))
+                for j, (found, score) in zip(reached.tolist(), _best(q[reached], ids[reached], v, r_ids, k), strict=True):
                     keep = score >= least[j]
                     for c, x in zip(cols, ([b.column("block")[i].as_py()] * keep.sum(), [j] * keep.sum(), [ids[j]] * keep.sum(), found[keep], score[keep]), strict=True):
                         c.extend(x)

@@ -37,3 +37,36 @@ def test_few_and_none(spark):
     none = spark.createDataFrame([], schema)
     assert topk.exact_top_k(none, none).count() == 0
     assert topk.exact_top_k(few, none).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["clusters", "one cloud"])
+def test_bounds_of_rings(kind):
+    """A ring with a vector of the least score or more is never left out; with clusters most others are."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 300, (6, 8)) if kind == "clusters" else np.zeros((6, 8))
+    v = np.floor(np.repeat(centres, 50, axis=0) + rng.normal(0, 10, (300, 8))).astype(np.int64)
+    top = int((v**2).sum(axis=1).max())
+    pivots, extra = v[::50].astype(float), np.sqrt(top - (v**2).sum(axis=1).astype(float))
+    d = topk._distances(v, extra, pivots, top)
+    score = v @ v.T
+    least = np.sort(score, axis=1)[:, -5]
+    left_out = 0
+    for ring in range(6):
+        at = slice(50 * ring, 50 * ring + 50)
+        got = topk._inside(v, least, d[at].min(axis=0), d[at].max(axis=0), pivots, top)
+        assert got[(score[:, at] >= least[:, None]).any(axis=1)].all()
+        assert topk._inside(v, np.full(300, topk.NONE), d[at].min(axis=0), d[at].max(axis=0), pivots, top).all()
+        left_out += (~got).sum()
+    if kind == "clusters":
+        assert left_out > 0.5 * 6 * 300
+
+
+def test_wide_components(spark):
+    """Components beyond 16 and 32 bits are kept whole."""
+    for size in (1e3, 1e7):
+        rows = [(i, [size * (i + 1) / 6, -3.0 * i, 1.0]) for i in range(6)]
+        d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        ints = [np.floor(256 * np.array(v)).astype(np.int64) for _, v in rows]
+        want = sorted(((-int(ints[0] @ ints[i]), i) for i in range(1, 6)))[:2]
+        got = topk.exact_top_k(d, d.where("vec_id = 0"), 2).orderBy("rank").collect()
+        assert [(-r["score"], r["vec_id"]) for r in got] == want
