@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, licenses, mixing, packing, repetition, sharding, simhash, token_counts, topk
+from . import byte_bpe, clustering, language, licenses, mixing, packing, repetition, sharding, simhash, token_counts, topk
+from ._common import written
 
 
 def vocabulary(name: str) -> str:
@@ -68,6 +69,17 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = clustering.lloyd(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    assigned = written(assigned, "assigned")
+    total = assigned.agg(F.sum("distance").alias("inertia"))
+    inertia = assigned.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    clusters = centroids.select("cluster", digest.alias("centroid_sha256")).join(inertia, "cluster").join(F.broadcast(total))
+    # 40 rows, one for each cluster
+    return assigned.join(F.broadcast(clusters), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES = {
     "op1_context_mixing": op1_context_mixing,
     "op2_histogram_shards": op2_histogram_shards,
@@ -79,8 +91,43 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_top_k": op10_top_k,
+    "op13_lloyd": op13_lloyd,
 }
 
+
+def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds as one list of common table expressions, two for each round."""
+    nearest = """
+        select vec_id, v, c.cluster, d from (
+            select v.vec_id, v.v, c.cluster, cast(list_sum(list_transform(list_zip(v.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) as d
+            from v, {model} c
+        ) c qualify row_number() over (partition by vec_id order by d, cluster) = 1"""
+    parts = [f"""
+        v as materialized (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        m0 as materialized (
+            select cast(row_number() over (order by h) - 1 as int) as cluster, v as c
+            from (select sha256('2:' || vec_id) as h, v from v order by h limit {k})
+        )"""]
+    for i in range(1, rounds + 1):
+        parts.append(f"a{i} as materialized ({nearest.format(model=f'm{i - 1}')})")
+        parts.append(f"""m{i} as materialized (
+            select m.cluster, coalesce(new.c, m.c) as c from m{i - 1} m left join (
+                select cluster, list(x order by place) as c from (
+                    select cluster, place, cast((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as bigint) as x
+                    from (select cluster, unnest(v) as x, generate_subscripts(v, 1) as place from a{i}) group by cluster, place
+                ) group by cluster
+            ) new on m.cluster = new.cluster
+        )""")
+    parts.append(f"a as materialized ({nearest.format(model=f'm{rounds}')})")
+    return f"""with {", ".join(parts)}
+        select a.vec_id, a.cluster, a.d as distance, cast(sum(a.d) over (partition by a.cluster) as bigint) as cluster_inertia,
+               cast(sum(a.d) over () as bigint) as inertia, sha256(array_to_string(m.c, ',')) as centroid_sha256
+        from a join m{rounds} m on a.cluster = m.cluster"""
+
+
 #: The others aren't expressible in SQL, or too slow on whole tables; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op10_top_k": """
@@ -98,4 +145,5 @@ ORACLE_SQL: dict[str, str] = {
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
         from s qualify rank <= 5
     """,
+    "op13_lloyd": _lloyd_sql(),
 }
