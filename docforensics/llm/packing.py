@@ -29,11 +29,11 @@ def byte_bpe(data: bytes):
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
-def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, rest_first: bool = False) -> DataFrame:
     """Documents as token ids with end_id after each, cut into pieces of max_tokens and a shorter rest.
 
-    Output for each piece: id, start, length, ids_crc32 (of little-endian 32-bit ids), doc_tokens
-    and, if asked for, ids. Null text counts as empty: one piece of the end id. Strings of special
+    The rest is the last piece, or the first one. Output for each piece: id, start, length,
+    ids_crc32 (of little-endian 32-bit ids), doc_tokens and, if asked for, ids. Null text counts as empty: one piece of the end id. Strings of special
     tokens in a text become those tokens, the library's default.
     """
     key, data = shipped(docs.sparkSession, tokenizer)
@@ -46,8 +46,9 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int
             for doc, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 ids = np.concatenate([encoder.encode_to_numpy(text or "", allowed_special="all").astype("<u4"), end])
                 n = len(ids)
-                for at in range(0, n, max_tokens):
-                    part = ids[at : at + max_tokens]
+                starts = [0, *range(n % max_tokens or max_tokens, n, max_tokens)] if rest_first else range(0, n, max_tokens)
+                for at, end_at in zip(starts, [*starts[1:], n], strict=True):
+                    part = ids[at:end_at]
                     out["doc"].append(doc.as_py())
                     out["start"].append(at)
                     out["length"].append(len(part))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, clustering, language, licenses, mixing, packing, repetition, sharding, simhash, token_counts, topk
+from . import best_fit, byte_bpe, clustering, language, licenses, mixing, packing, repetition, sharding, simhash, token_counts, topk
 from ._common import written
 
 
@@ -69,6 +69,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.best_fit(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def op13_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, centroids = clustering.lloyd(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     assigned = written(assigned, "assigned")
@@ -91,6 +95,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_top_k": op10_top_k,
+    "op12_best_fit": op12_best_fit,
     "op13_lloyd": op13_lloyd,
 }
 
