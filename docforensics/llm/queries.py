@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, byte_bpe, clustering, language, licenses, mixing, packing, repetition, sharding, simhash, token_counts, topk
+from . import best_fit, byte_bpe, clustering, collocations, language, licenses, mixing, packing, repetition, sharding, simhash, token_counts, topk
 from ._common import written
 
 
@@ -69,6 +69,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.best_fit(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_top_k": op10_top_k,
+    "op11_collocations": op11_collocations,
     "op12_best_fit": op12_best_fit,
     "op13_lloyd": op13_lloyd,
 }
@@ -150,5 +155,29 @@ ORACLE_SQL: dict[str, str] = {
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
         from s qualify rank <= 5
     """,
+    "op11_collocations": r"""
+        with pieces as (
+            select lang, unnest(regexp_split_to_array(t, '[.,;:!?\n-\r]')) as p
+            from (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+        ),
+        words as (select lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') as w from pieces),
+        totals as (select lang, cast(sum(len(w)) as bigint) as n from words group by lang),
+        grams as (select lang, unnest(flatten(list_transform(range(1, 5), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) as w from words),
+        f as materialized (select lang, w, count(*) as f from grams group by lang, w having count(*) >= 30),
+        longer as (
+            select lang, w, max(f) as most from (
+                select lang, f, unnest(flatten(list_transform(range(2, len(w)), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) as w from f
+            ) group by lang, w
+        ),
+        own as (select f.lang, f.w, f.f as a from f left join longer g on f.lang = g.lang and f.w = g.w where len(f.w) >= 2 and (g.most is null or 100 * g.most < 80 * f.f)),
+        cuts as (select lang, w, a, unnest(range(1, len(w))) as k from own),
+        scored as (
+            select c.lang, c.w, c.a, c.k, x.f as l, y.f as r, cast((2000000 * cast(c.a as hugeint)) // (x.f + y.f) as bigint) as score
+            from cuts c join f x on c.lang = x.lang and x.w = c.w[1:c.k] join f y on c.lang = y.lang and y.w = c.w[c.k + 1:]
+        ),
+        best as (select lang, array_to_string(w, ' ') as phrase, a, l, r, score from scored qualify row_number() over (partition by lang, w order by score, k) = 1)
+        select best.lang, cast(row_number() over (partition by best.lang order by score desc, a desc, phrase) as int) as rank, phrase, a, l, r, n, score
+        from best join totals on best.lang = totals.lang qualify rank <= 2000
+    """,
     "op13_lloyd": _lloyd_sql(),
 }
