@@ -34,6 +34,44 @@ _CARD_TEXTS = "case scan_id % 4 " + " ".join(f"when {layout} then array({', '.jo
 _CARD_BASE = """select scan_id, sex, upper(surname) as s, concat(upper(substr(names, 1, 1)), lower(substr(names, 2, 3)), 'x') as f, concat('AB', cast(1000000 + scan_id as varchar(12))) as n,
   concat(substr(date_of_birth, 1, 2), '.', substr(date_of_birth, 4, 2), '.', substr(date_of_birth, 7, 4)) as d, concat(substr(expiration_date, 7, 4), '-', substr(expiration_date, 4, 2), '-', substr(expiration_date, 1, 2)) as e from fx_fields"""
 
+#: Cards of six types by scan_id % 6, of 1000 x 700 px, in four forms: read by their template; the same with a number in
+#: the Russian form at the foot; with neither name in its region; and with the header where it tells no type.
+#: The last two have labels and values at the left. e: expiry as dd.mm.yyyy, n: a number of the type, nine or ten digits for ALB.
+CARD_TYPES = ("RUS", "ALB", "ESP", "EST", "FIN", "SVK")
+CARD_HEADERS = ("", "ALBANIA", "IDENTIDAD", "VABARIIK", "SUOMI", "SLOVENSKA")
+_TYPED_BASE = """select scan_id, cast(scan_id % 6 as int) as t, cast(floor(scan_id / 6) as int) % 4 as form, sex, s, f, d, concat(substr(e, 9, 2), '.', substr(e, 6, 2), '.', substr(e, 1, 4)) as e,
+  case cast(scan_id % 6 as int) when 1 then cast((case when scan_id % 12 = 1 then 100000000 else 1000000000 end) + scan_id as varchar(12)) when 2 then concat('ABC', cast(100000 + scan_id % 900000 as varchar(12)))
+  when 3 then concat('AB', cast(1000000 + scan_id % 9000000 as varchar(12))) when 4 then cast(100000000 + scan_id as varchar(12)) when 5 then concat('AB', cast(100000 + scan_id % 900000 as varchar(12))) else 'AB1234567' end as n from fx_card_base"""
+
+
+def _typed_words() -> str:
+    """(type, form, line, word, centre, text or the name of a column) of each word."""
+    from .operators.spatial import TEMPLATES
+
+    column = {"surname": "s", "names": "f", "date_of_birth": "d", "expiration_date": "e", "number": "n"}
+    below = (("Surname", "s"), ("Given", "f"), ("Sex", "sex"), ("Number", "n"), ("Birth", "d"), ("Expiry", "e"))
+    rows = []
+    for t, kind in enumerate(CARD_TYPES):
+        for form in range(4):
+            words = [(300, 660 if form == 3 else 40, CARD_HEADERS[t])] if t else []
+            if t == 0 and form < 3:  # the number at the right: in one word or in three
+                words += [(950, 105, "4503123456")] if form == 1 else [(950, 105 + 40 * i, x) for i, x in enumerate(("45", "03", "123456"))]
+            if form == 1 and t:
+                words.append((500, 690, "4503123456"))
+            if form < 2:
+                for field, (x1, y1, x2, y2) in TEMPLATES[kind][3].items():
+                    words.append((round(1000 * (x1 + 0.3 * (x2 - x1))), round(700 * (y1 + 0.62 * (y2 - y1))), column.get(field, "sex" if field == "sex" else "XXX")))
+            else:
+                words += [w for i, (label, c) in enumerate(below) for w in ((60, 300 + 50 * i, label), (200, 300 + 50 * i, c))]
+            rows += [f"({t}, {form}, {i}, {x}, {y}, '{text}')" for i, (x, y, text) in enumerate(words)]
+    return "(values " + ", ".join(rows) + ") k(kt, kf, line_no, cx, cy, key)"
+
+
+def _typed_tokens(left: str) -> str:
+    text = "case k.key when 's' then b.s when 'f' then b.f when 'd' then b.d when 'e' then b.e when 'n' then b.n when 'sex' then b.sex else k.key end"
+    return f"select scan_id, line_no, 0 as word_no, text, cast(cx - 4 * length(text) as int) as {left}, cast(cy - 8 as int) as top, cast(8 * length(text) as int) as width, 16 as height, 90 as conf from (select b.scan_id, k.line_no, k.cx, k.cy, {text} as text from fx_typed_base b join {_typed_words()} on b.t = k.kt and b.form = k.kf)"
+
+
 #: name: (tables and inputs, Spark SQL, DuckDB SQL; None if the same text serves both)
 FIXTURES: dict[str, tuple[tuple[str, ...], str, str | None]] = {
     "fx_mrz_base": (("customer",), _MRZ_BASE, None),
@@ -76,6 +114,8 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str, str | None]] = {
         "select scan_id, line_no, word_no, text, cast(8*(sum(length(text)+1) over (partition by scan_id, line_no order by word_no) - length(text) - 1) as int) as left, cast(20*line_no + word_no*3%7 as int) as top, cast(8*length(text) as int) as width, 16 as height, 90 as conf from fx_card_words",
         'select scan_id, line_no, word_no, text, cast(8*(sum(length(text)+1) over (partition by scan_id, line_no order by word_no) - length(text) - 1) as int) as "left", cast(20*line_no + word_no*3%7 as int) as top, cast(8*length(text) as int) as width, 16 as height, 90 as conf from fx_card_words',
     ),
+    "fx_typed_base": (("fx_card_base",), _TYPED_BASE, None),
+    "fx_typed_tokens": (("fx_typed_base",), _typed_tokens("left"), _typed_tokens('"left"')),
     "fx_lines": (
         ("documents",),
         "select doc_id scan_id, pos line_no, trim(line) text, pos*20 y, (doc_id*7 + pos*13) % 50 * 1.0D x, ((doc_id + pos) % 100) / 100.0D conf from documents lateral view posexplode(split(text,'\\n')) t as pos,line where trim(line)<>''",

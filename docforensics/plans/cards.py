@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import fx
+from ..fixtures import CARD_TYPES, fx
 from ..operators import fields, spatial
 from .mrz import _AS_OF
 from .registry import query
@@ -143,7 +143,81 @@ def resolve_passes_cards(spark, sf_dir):
     return spatial.spatial_fields(rows(spark, sf_dir), _AS_OF()).select("scan_id", "field", "value", "pass")
 
 
-@query("select scan_id, 'ALB' as doc_type from fx_card_base where scan_id % 4 <> 1")
+@query("select scan_id, 'ALB' as doc_type from fx_card_base where scan_id % 4 in (0, 2)")
 def detect_doc_type_cards(spark, sf_dir):
-    """ALB alone is a part of a keyword."""
+    """The first layout has words of its country at the top, the third one in the right tenth of its words' extent."""
     return spatial.detect_doc_type(fx(spark, sf_dir, "fx_card_tokens")).select("scan_id", "doc_type")
+
+
+def typed(spark, sf_dir):
+    """Words of cards of six types, and their pages."""
+    d = fx(spark, sf_dir, "fx_typed_tokens")
+    return d, d.select("scan_id").distinct().select("scan_id", F.lit(1000).alias("w"), F.lit(700).alias("h"), F.lit(500).alias("original_w"), F.lit(350).alias("original_h"))
+
+
+_TYPE = "case t " + " ".join(f"when {i} then '{t}'" for i, t in enumerate(CARD_TYPES)) + " end"
+
+
+@query(f"select scan_id, {_TYPE} as doc_type from fx_typed_base where form < 3")
+def detect_doc_type_typed(spark, sf_dir):
+    """Six types; a number in the Russian form at the foot of a page is no sign, nor is a header outside the areas."""
+    return spatial.detect_doc_type(*typed(spark, sf_dir)).select("scan_id", "doc_type")
+
+
+_NATION = "case t when 1 then 'Shqiptare/Albanian' else " + _TYPE + " end"
+_READ = {"surname": "s", "names": "f", "sex": "sex", "date_of_birth": "d", "expiration_date": "e", "number": "n", "nationality": _NATION}
+_BY_TEMPLATE = " union all ".join(
+    f"select scan_id, {_TYPE} as doc_type, '{k}' as field, {v} as value from fx_typed_base where form < 2" + ("" if all(k in spatial.TEMPLATES[t][3] for t in CARD_TYPES) else " and t <> 0") for k, v in _READ.items()
+)
+
+
+@query(_BY_TEMPLATE)
+def template_fields_typed(spark, sf_dir):
+    d, pages = typed(spark, sf_dir)
+    return spatial.template_fields(d, pages.join(spatial.detect_doc_type(d, pages).select("scan_id", "doc_type"), "scan_id"))
+
+
+# Of the generic way: the row of the value (label and value, 50 px apart), its box in half the size
+_ROWS = (("surname", "s"), ("names", "f"), ("sex", "sex"), ("number", "n"), ("date_of_birth", "d"), ("expiration_date", "e"))
+_LABELS = (7, 5, 3, 6, 5, 6)
+_GENERIC = " union all ".join(
+    f"select scan_id, cast(null as varchar) as doc_type, 'generic' as method, '{k}' as field, {v} as value, 2 as pass, {(60 - 4 * n) // 2} as x, {(300 + 50 * i - 8) // 2} as y, cast(floor((200 + 4 * len({v}) - {60 - 4 * n}) * 0.5) as int) as w, 18 as h from fx_typed_base where form >= 2 and len({v}) >= 2"
+    for i, ((k, v), n) in enumerate(zip(_ROWS, _LABELS, strict=True))
+)
+_SEX = "select scan_id, cast(null as varchar) as doc_type, 'generic' as method, 'sex' as field, sex as value, 2 as pass, null::int as x, null::int as y, null::int as w, null::int as h from fx_typed_base where form >= 2"
+
+
+@query(f"select scan_id, doc_type, 'template' as method, field, value, 0 as pass, null::int as x, null::int as y, null::int as w, null::int as h from ({_BY_TEMPLATE}) union all {_GENERIC} union all {_SEX}")
+def spatial_fields_typed(spark, sf_dir):
+    """Both routes: typed cards by their template; those without names there, and untyped ones, by labels, with boxes in the upload's pixels."""
+    d, pages = typed(spark, sf_dir)
+    return spatial.spatial_fields(d, _AS_OF(), pages).select("scan_id", "doc_type", "method", "field", "value", "pass", "x", "y", "w", "h")
+
+
+_ALL_FIELDS = ("surname", "names", "number", "sex", "nationality", "date_of_birth", "expiration_date")
+_WORDS = f"""select scan_id, field, line_no * 100 + word_no as n, text from fx_card_words, (values {", ".join(f"('{k}')" for k in _ALL_FIELDS)}) k(field) where (line_no * 7 + word_no * 31 + scan_id) % 100 >= 25"""
+_PLAIN, _LETTERS, _NATIONS = "regexp_replace(text, '[^A-Za-z0-9]', '', 'g')", f"regexp_replace(text, '[^{spatial.LATIN}''-]', '', 'g')", f"regexp_replace(text, '[^{spatial.LATIN}/]', '', 'g')"
+_FIRST = "select scan_id, field, {value} as value from w where field = '{field}' and {where} qualify row_number() over (partition by scan_id order by {order}n) = 1"
+
+
+@query(
+    f"with w as ({_WORDS}), "
+    + "named as (select scan_id, field, v, row_number() over (partition by scan_id order by abs(len(v) - 6), n) as i from (select *, "
+    + f"{_LETTERS} as v from w where field = 'names') where len(v) >= 2), "
+    + "dated as (select scan_id, field, regexp_extract(string_agg(text, ' ' order by n), '[0-9]{2}[.\-/ ][0-9]{2}[.\-/ ][0-9]{2,4}') as value from w where field in ('date_of_birth', 'expiration_date') group by all) "
+    + " union all ".join(
+        (
+            "(" + _FIRST.format(value="case when contains(upper(text), 'M') then 'M' else 'F' end", field="sex", where="upper(text) in ('M', 'F', 'M/M')", order="") + ")",
+            "(" + _FIRST.format(value=f"upper({_PLAIN})", field="number", where=f"len({_PLAIN}) >= 6 and regexp_matches({_PLAIN}, '[0-9]')", order=f"len({_PLAIN}) desc, ") + ")",
+            "(" + _FIRST.format(value=_LETTERS, field="surname", where=f"len({_LETTERS}) >= 2", order=f"abs(len({_LETTERS}) - 7), ") + ")",
+            "(" + _FIRST.format(value=_NATIONS, field="nationality", where=f"len({_NATIONS}) >= 3", order="") + ")",
+            "select scan_id, field, string_agg(v, ' ' order by i) as value from named where i <= 2 group by all",
+            "select * from dated where value <> ''",
+        )
+    )
+)
+def pick_from_words(spark, sf_dir):
+    """Every field chosen from all words of a card, some of them too faint to count."""
+    d = fx(spark, sf_dir, "fx_card_words").withColumn("field", F.explode(F.array(*map(F.lit, _ALL_FIELDS))))
+    faint = (F.col("line_no") * 7 + F.col("word_no") * 31 + F.col("scan_id")) % 100
+    return spatial.pick_from_words(d.select("scan_id", "field", (F.col("line_no") * 100 + F.col("word_no")).alias("n"), "text", faint.alias("conf")))

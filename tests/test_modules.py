@@ -262,14 +262,55 @@ def test_rows_are_opened_in_order(spark):
     assert {r["text"]: r["row_key"] for r in spatial.group_token_rows(d).collect()} == {"a": 100, "b": 100, "c": 127, "d": 127 if abs(100 - 116) > 15 else 100}
 
 
+TOKEN = "scan_id long, line_no int, word_no int, text string, left int, top int, width int, height int, conf int"
+PAGE = "scan_id long, w int, h int"
+
+
+def at(scan, i, text, cx, cy):
+    return (scan, i, 0, text, cx - 4 * len(text), cy - 8, 8 * len(text), 16, 90)
+
+
 def test_document_types(spark):
-    words = [(1, "REPUBLIKA"), (1, "ALBANIA"), (2, "SUOMI"), (2, "FINLANO"), (3, "nothing"), (4, "IDENTIDAD")]
+    words = [(1, "REPUBLIKA"), (1, "ALBANIA"), (2, "SUOMI"), (2, "FINLANO"), (3, "nothing"), (4, "IDENTIDAD"), (5, "4503123456")]
     d = spark.createDataFrame(words, "scan_id long, text string")
     out = {r["scan_id"]: r["doc_type"] for r in spatial.detect_doc_type(d).collect()}
     assert out == {1: "ALB", 2: "FIN", 4: "ESP"}
-    words = [(1, 0, 0, "45"), (1, 0, 1, "03"), (1, 0, 2, "123456"), (2, 0, 0, "45"), (2, 1, 0, "03123456"), (3, 0, 0, "españa"), (4, 0, 0, "4503123456")]
-    out = {r["scan_id"]: (r["doc_type"], r["hits"]) for r in spatial.detect_doc_type(spark.createDataFrame(words, "scan_id long, line_no int, word_no int, text string")).collect()}
-    assert out == {1: ("RUS", 2), 3: ("ESP", 3), 4: ("RUS", 2)}
+
+
+def test_document_types_by_area(spark):
+    """A number in the Russian form counts in the right tenth of a page alone, and keywords at the top, at the right or at the top left."""
+    words = [
+        *(at(1, i, x, 400, 40 + 30 * i) for i, x in enumerate(("SUOMI", "FINLAND", "123456789"))),  # nine digits at the top
+        *(at(2, i, x, 500, y) for i, (x, y) in enumerate((("ALBANIA", 60), ("4503123456", 300)))),  # ten digits in the middle
+        *(at(3, i, x, 940, 100 + 60 * i) for i, x in enumerate(("45", "03", "123456"))), at(3, 9, "SUOMI", 500, 60),
+        at(4, 0, "SUOMI", 500, 139), at(5, 0, "SUOMI", 500, 140), at(6, 0, "SUOMI", 399, 243), at(7, 0, "SUOMI", 399, 244), at(8, 0, "SUOMI", 900, 600), at(9, 0, "SUOMI", 899, 600),
+        at(10, 0, "45", 940, 100), at(10, 1, "X", 940, 140), at(10, 2, "03123456", 940, 180),  # a word between the digits
+        at(11, 0, "45 03 123456", 940, 100), at(12, 0, "españa", 100, 20), at(13, 0, "SUOMI", 500, 60), (14, 0, 0, None, 5, 5, 5, 5, 90),
+    ]
+    d = spark.createDataFrame(words, TOKEN)
+    pages = spark.createDataFrame([(i, 1000, 700) for i in range(1, 15) if i != 13], PAGE)
+    out = {r["scan_id"]: (r["doc_type"], r["hits"]) for r in spatial.detect_doc_type(d, pages).collect()}
+    assert out == {1: ("FIN", 2), 2: ("ALB", 1), 3: ("RUS", 2), 4: ("FIN", 1), 6: ("FIN", 1), 8: ("FIN", 1), 11: ("RUS", 2), 12: ("ESP", 3)}
+
+
+def test_words_in_order_of_routes(spark):
+    """A typed card whose template gives no name goes the generic way as a whole; readings fill in what a region's words don't give."""
+    names = [at(1, 0, "SUOMI", 500, 40), at(1, 1, "VIRTANEN", 400, 140), at(1, 2, "xx", 380, 290), at(1, 3, "123456789", 560, 290)]
+    bare = [at(2, 0, "SUOMI", 500, 40), at(2, 1, "Surname", 60, 400), at(2, 2, "VIRTANEN", 200, 400), at(2, 3, "123456789", 560, 290)]
+    d = spark.createDataFrame([*names, *bare], TOKEN)
+    pages = spark.createDataFrame([(1, 1000, 700), (2, 1000, 700)], PAGE)
+    readings = spark.createDataFrame([(1, "names", 0, ":"), (1, "names", 1, "Given name Liisa"), (1, "sex", 0, "sex F"), (1, "expiration_date", 0, ""), (1, "expiration_date", 1, "01.02.2030"), (1, "surname", 0, "Other")], "scan_id long, field string, variant int, value string")
+    out = {(r["scan_id"], r["field"]): (r["value"], r["method"], r["pass"]) for r in spatial.spatial_fields(d, F.to_date(F.lit("2024-06-01")), pages, readings).collect()}
+    assert {k[1]: v for k, v in out.items() if k[0] == 1} == {"surname": ("VIRTANEN", "template", 0), "names": ("Liisa", "template", 0), "sex": ("F", "template", 0), "number": ("123456789", "template", 0)}
+    assert out[2, "surname"] == ("VIRTANEN", "generic", 2) and {v[1] for k, v in out.items() if k[0] == 2} == {"generic"}
+
+
+def test_choice_from_words_comes_first(spark):
+    """The word nearest to seven letters, uncleaned, unless a reading scores more."""
+    words = spark.createDataFrame([(1, "surname", 0, "Ab", 90), (1, "surname", 1, "Hoxhaj", 90), (1, "surname", 2, "Hoxhajxy", 90), (1, "surname", 3, "Perfect", 10), (2, "sex", 0, "m/m", 50), (3, "number", 0, "ab-12 34", 50), (3, "number", 1, "xy12345", 50)], "scan_id long, field string, n int, text string, conf int")
+    assert {r["scan_id"]: r["value"] for r in spatial.pick_from_words(words).collect()} == {1: "Hoxhaj", 2: "M", 3: "XY12345"}
+    readings = spark.createDataFrame([(1, "surname", 0, "Krasni"), (4, "surname", 0, "Alone")], "scan_id long, field string, variant int, value string")
+    assert {r["scan_id"]: r["value"] for r in spatial.best_reading(readings, words).collect()} == {1: "Hoxhaj", 2: "M", 3: "XY12345", 4: "Alone"}
 
 
 def test_components_of_cells(spark):
