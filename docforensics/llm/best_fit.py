@@ -16,6 +16,8 @@ from .packing import pieces
 #: Rows of one range in a sweep, and ranges at most; a range's gaps are held in memory.
 RANGE, RANGES = 1 << 15, 1 << 12
 GAP, DOC = 0, 1
+#: Sequences are opened where a round places less than one in so many pieces.
+FEW = 8
 STATE = "kind int, key bigint, size int, part int, rank int, sequence bigint, offset int"
 
 
@@ -94,7 +96,7 @@ def best_fit(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: in
     (sequences with room) are dealt out by ranges of size; each range is swept from large to small, a
     piece taking the smallest gap that holds it. Pieces left over take gaps left over in larger
     ranges, the smallest first, by their ranks: a run of pieces and a run of gaps are matched as a
-    whole, as many pieces in each gap as surely fit. If nothing was placed, the largest pieces open
+    whole, as many pieces in each gap as surely fit. If few were placed, the largest pieces open
     sequences: those over half a sequence, else as many as the rest needs at the least. Counts of each
     range (4096 at most) are all that passes through the driver.
 
@@ -117,44 +119,53 @@ def best_fit(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: in
             over(doc).alias("docs"), F.max(F.when(doc, F.col("size"))).alias("largest"), over(gap).alias("gaps"), F.min(F.when(gap, F.col("size"))).alias("smallest"),
             F.sum(F.when(doc, F.col("size"))).alias("tokens"), over(doc & (F.col("size") * 2 > max_tokens)).alias("big"), F.min(F.when(doc, F.col("size"))).alias("least"),
             over((F.col("kind") == DOC) & ~doc).alias("placed"), over(F.col("kind") == GAP).alias("open"),
-        ).orderBy("part").collect()
+        ).collect()
+        found.sort(key=lambda r: r["part"])
         runs = _matched([(r["part"], r["docs"], r["largest"], r["gaps"], r["smallest"]) for r in found])
         total = sum(r["docs"] for r in found)
         opened: list[tuple[int, int]] = []
-        if total and not runs and not any(r["placed"] for r in found):
-            left = sum(r["big"] for r in found) or -(-sum(r["tokens"] or 0 for r in found) // max_tokens)
+        taken = {r["part"]: 0 for r in found}
+        for part, at, n, *_ in runs:
+            taken[part] = at + n
+        opens = 0
+        if total > FEW * (sum(r["placed"] for r in found) + sum(n for _, _, n, *_ in runs)):
+            tokens = sum(r["tokens"] or 0 for r in found) - sum(taken[r["part"]] * (r["largest"] or 0) for r in found)
+            opens = left = sum(max(0, r["big"] - taken[r["part"]]) for r in found) or -(-tokens // max_tokens)
             for r in found:
-                opened.append((r["part"], min(left, r["docs"])))
-                left -= opened[-1][1]
+                n = max(0, min(left, r["docs"] - taken[r["part"]]))
+                opened.append((r["part"], taken[r["part"]] + n))
+                left -= n
+            opens -= left
         least = min((r["least"] for r in found if r["least"]), default=max_tokens)
 
         # As many rows as there are ranges, twice that at most
         by_run = F.broadcast(spark.createDataFrame(runs, "part int, first int, n int, gap_part int, top int, each int"))
         firsts = F.broadcast(spark.createDataFrame(opened, "part int, opens int"))
+        ends = F.broadcast(spark.createDataFrame([*taken.items()], "part int, taken int"))
         unplaced = swept.where(doc).select("key", "size", "part", "rank")
         matched = unplaced.join(by_run, "part").where("rank >= first and rank < first + n")
-        matched = matched.select("key", "size", "part", "rank", "gap_part", (F.col("top") - F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("int").alias("gap_rank"))
-        gaps = swept.where(gap).select(F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), F.col("key").alias("sequence"), F.col("size").alias("room"))
-        before = Window.partitionBy("sequence").orderBy("part", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        took = matched.join(gaps, ["gap_part", "gap_rank"]).withColumn("used", F.sum("size").over(before).cast("int"))
-        took = took.select("key", "size", "part", "rank", "sequence", (max_tokens - F.col("room") + F.col("used") - F.col("size")).alias("offset"), (F.col("room") - F.col("used")).alias("left"))
-        taken = by_run.groupBy("part").agg(F.max(F.col("first") + F.col("n")).alias("taken"))
-        rest = unplaced.join(F.broadcast(taken), "part", "left").join(firsts, "part", "left").where("rank >= coalesce(taken, 0)")
-        opens = F.col("rank") < F.coalesce("opens", F.lit(0))
-        rest = rest.select(F.lit(DOC).alias("kind"), "key", "size", F.when(opens, F.col("key")).alias("sequence"), F.when(opens, 0).alias("offset"))
-        now = swept.where((F.col("kind") == DOC) & ~doc).select("kind", "key", "size", "sequence", "offset")
-        now = now.unionByName(took.select(F.lit(DOC).alias("kind"), "key", "size", "sequence", "offset")).unionByName(rest)
-        # Gaps: those of the sweep less what they took, and those of pieces that open sequences
-        after = took.groupBy("sequence").agg(F.min("left").alias("left"))
-        gaps = swept.where(F.col("kind") == GAP).select(F.col("key").alias("sequence"), "size").join(after, "sequence", "left").select("sequence", F.coalesce("left", "size").alias("size"))
-        gaps = gaps.unionByName(rest.where("sequence is not null").select("sequence", (max_tokens - F.col("size")).alias("size"))).where(F.col("size") >= least)
-        gaps = gaps.select(F.lit(GAP).alias("kind"), F.col("sequence").alias("key"), "size", F.lit(None).cast("bigint").alias("sequence"), F.lit(None).cast("int").alias("offset"))
-        result = written(now.unionByName(gaps), "round")
+        gap_rank = F.col("top") - F.floor((F.col("rank") - F.col("first")) / F.col("each"))
+        matched = matched.select(F.lit(DOC).alias("kind"), "key", "size", "gap_part", gap_rank.cast("int").alias("gap_rank"), "part", "rank")
+        offered = swept.where(gap).select(F.lit(GAP).alias("kind"), "key", "size", F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), "part", "rank")
+        # A gap and what it takes: one exchange, by a key of few rows
+        by_gap = Window.partitionBy("gap_part", "gap_rank").orderBy("kind", "part", "rank")
+        used = F.sum(F.when(F.col("kind") == DOC, F.col("size")).otherwise(0))
+        took = matched.unionByName(offered).select("kind", "key", "size", F.first("key").over(by_gap).alias("gap"), F.first("size").over(by_gap).alias("room"), used.over(by_gap.rowsBetween(Window.unboundedPreceding, 0)).alias("used"), used.over(by_gap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("full"))
+        is_doc = F.col("kind") == DOC
+        took = took.select("kind", "key", F.when(is_doc, F.col("size")).otherwise(F.col("room") - F.col("full")).cast("int").alias("size"), F.when(is_doc, F.col("gap")).alias("sequence"), F.when(is_doc, max_tokens - F.col("room") + F.col("used") - F.col("size")).cast("int").alias("offset"))
+        rest = unplaced.join(ends, "part").join(firsts, "part", "left").where("rank >= taken")
+        begins = F.col("rank") < F.coalesce("opens", F.lit(0))
+        rest = rest.select(F.lit(DOC).alias("kind"), "key", "size", F.when(begins, F.col("key")).alias("sequence"), F.when(begins, 0).alias("offset"))
+        none = F.lit(None).cast("bigint").alias("sequence"), F.lit(None).cast("int").alias("offset")
+        new = rest.where("sequence is not null").select(F.lit(GAP).alias("kind"), F.col("sequence").alias("key"), (max_tokens - F.col("size")).alias("size"), *none)
+        kept = swept.where(~doc & ~gap).select("kind", "key", "size", "sequence", "offset")  # placed in the sweep, or gaps that wait
+        now = took.unionByName(rest).unionByName(new).unionByName(kept).where((F.col("kind") == DOC) | (F.col("size") >= least))
+        result = written(now, "round")
         removed(swept)
         placed.append(result.where(f"kind = {DOC} and sequence is not null").select("key", "sequence", "offset"))
         state = result.where(f"kind = {GAP} or sequence is null").select("kind", "key", "size")
-        left = total - sum(r[2] for r in runs) - sum(n for _, n in opened)
-        count, waits = left + sum(r["open"] for r in found) + sum(n for _, n in opened), left > 0
+        left = total - sum(n for _, _, n, *_ in runs) - opens
+        count, waits = left + sum(r["open"] for r in found) + opens, left > 0
     extra = ("ids",) if with_ids else ()
     size_of = F.lit(max_tokens).cast("bigint")
     number = F.when(F.col("start") == 0, 0).otherwise(F.ceil(F.col("start") / size_of))
