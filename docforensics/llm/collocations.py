@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ._common import chunks, hot_join, removed, written
 
-#: Bits of the filter that leaves out words and pairs that are too rare for a phrase.
+#: Bits of the filter that leaves out runs of words that are too rare for a phrase.
 FILTER = 27
 #: Bytes as they part the text: 0 in a word, 1 between words, 2 between pieces.
 KIND = np.zeros(256, dtype=np.uint8)
@@ -52,41 +52,68 @@ def _words(batch: pa.RecordBatch) -> tuple[list, pa.Array, np.ndarray, np.ndarra
     return langs.dictionary.to_pylist(), coded.dictionary, coded.indices.to_numpy().astype(np.int64), langs.indices.to_numpy()[doc].astype(np.int64), follows
 
 
-def _hashes(langs: list, distinct: pa.Array, word: np.ndarray, lang: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word in its language, and of each pair of it and the next (0 where none follows)."""
+def _runs(words: tuple, table: np.ndarray | None, order: int):
+    """For k = 1 up to order: (hashes of the runs of k words that begin at each word, whether there is such a run and all runs in it are common).
+
+    A run of k words is looked at where the two runs of k - 1 words in it are common by the table;
+    without a table all of one and two words are.
+    """
+    langs, distinct, word, lang, follows = words
     salt = np.array([xxhash.xxh64_intdigest(x) for x in langs], dtype=np.uint64)
     of = np.array([xxhash.xxh64_intdigest(x) for x in distinct.to_pylist()], dtype=np.uint64)
     single = (of[word] ^ salt[lang]) * MIX
-    pair = np.zeros(len(word), dtype=np.uint64)
-    pair[:-1] = ((single[:-1] ^ (single[:-1] >> np.uint64(29))) * MIX + single[1:]) * MIX
-    return single, np.where(follows, pair, np.uint64(0))
-
-
-def _common(texts: DataFrame, least: int):
-    """Bits (a broadcast of one size) of the hashes of words and pairs of words that occur `least` times or more.
-
-    Other hashes may share a bit, which costs work later on but changes no count.
+    h, there = single, np.ones(len(word), dtype=bool)
+    yield h, there
+    for k in range(2, order + 1):
+        if table is not None:
+            there = there.copy()
+            at = np.flatnonzero(there)
+            there[at] = _is_common(h[at], table)
+        longer = np.zeros(len(word), dtype=bool)
+        longer[:-1] = there[:-1] & there[1:] & follows[:-1]  # the run at the next word is within its piece
+        last = np.zeros(len(word), dtype=np.uint64)
+        last[: len(word) - k + 1] = single[k - 1 :]
+        h, there = ((h ^ (h >> np.uint64(29))) * MIX + last) * MIX, longer
+        yield h, there
+
+
+def _is_common(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    bit = h >> np.uint64(65 - (64 * len(table)).bit_length())
+    return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _common(texts: DataFrame, least: int, order: int):
+    """Bits (a broadcast of one size) of the hashes of runs of up to `order` words that occur `least` times or more.
+
+    Other hashes may share a bit, which costs work later on but changes no count. A pass for each
+    length but the first: only runs whose own runs are common are counted, so ever fewer.
     """
-
-    def count(batches):
-        for b in chunks(batches):
-            single, pair = _hashes(*(w := _words(b)))
-            for h in (single, pair[w[4]]):
-                key, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
-
-    counted = texts.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    # One row for each 64 bits of the filter: 16 MB at most, whatever the number of words
-    bit = F.shiftrightunsigned("h", 64 - FILTER)
-    rows = counted.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER}) & 63 as int))")).alias("bits"))
+    context = texts.sparkSession.sparkContext
     table = np.zeros(1 << (FILTER - 6), dtype=np.int64)
-    found = rows.toArrow()
-    table[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-    return texts.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    bits = None
+    for k in range(2, order + 1):
+
+        def count(batches, bits=bits, k=k):
+            have = None if bits is None else bits.value
+            for b in chunks(batches):
+                words = _words(b)
+                for i, (h, there) in enumerate(_runs(words, have, k) if len(words[2]) else (), 1):
+                    if i == k or k == 2:
+                        key, n = np.unique(h[there], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+
+        counted = texts.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        # One row for each 64 bits of the filter: 16 MB at most, whatever the number of words
+        place = F.shiftrightunsigned("h", 64 - FILTER)
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER}) & 63 as int))")
+        found = counted.groupBy(F.shiftright(place, 6).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        table[found.column("at").to_numpy()] |= found.column("bits").to_numpy()
+        bits = context.broadcast(table.copy().view(np.uint64))
+    return bits
 
 
 def _windows(texts: DataFrame, bits, order: int) -> DataFrame:
-    """lang, w1 to w<order>, n: counts of the longest window at each word, padded with '' beyond the piece and from a rare pair on.
+    """lang, w1 to w<order>, n: counts of the longest window at each word, padded with '' beyond the piece and where a rare run would follow.
 
     A rare word is '' as well: it counts as a word and nothing else.
     """
@@ -94,34 +121,27 @@ def _windows(texts: DataFrame, bits, order: int) -> DataFrame:
 
     def count(batches):
         table = bits.value
-
-        def common(h):
-            bit = h >> np.uint64(64 - FILTER)
-            return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
-
         for b in chunks(batches):
-            langs, distinct, word, lang, follows = _words(b)
+            langs, distinct, word, lang, follows = words = _words(b)
             if not len(word):
                 continue
-            single, pair = _hashes(langs, distinct, word, lang, follows)
             pad = len(distinct)
             window = np.full((len(word), order), pad)
-            window[:, 0] = np.where(common(single), word, pad)
-            goes_on = follows & common(pair)
-            held = window[:, 0] != pad
-            for i in range(1, order):
-                held = held.copy()
-                held[len(word) - i :] = False
-                held[: len(word) - i] &= goes_on[i - 1 : len(word) - 1]
-                window[: len(word) - i, i] = np.where(held[: len(word) - i], word[i:], pad)
+            for i, (h, there) in enumerate(_runs(words, table, order)):
+                at = np.flatnonzero(there)
+                at = at[_is_common(h[at], table)]
+                window[at, i] = word[at + i]
             rows = np.column_stack([lang, window])
-            by = np.lexsort(rows.T[::-1])
-            rows = rows[by]
-            first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
-            n = np.diff(np.append(first, len(rows)))
-            lookup = pa.concat_arrays([distinct.cast(pa.string()), pa.array([""])])
-            columns = [pa.array(langs, pa.string()).take(pa.array(rows[first, 0]))] + [lookup.take(pa.array(rows[first, i + 1])) for i in range(order)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], ["lang", *names, "n"])
+            single = rows[:, 2] == pad  # most windows: one word at most
+            for some in (rows[single][:, :2], rows[~single]):
+                by = np.lexsort(some.T[::-1])
+                some = some[by]
+                first = np.flatnonzero(np.append(np.ones(min(1, len(some)), bool), (some[1:] != some[:-1]).any(axis=1)))
+                n = np.diff(np.append(first, len(some)))
+                lookup = pa.concat_arrays([distinct.cast(pa.string()), pa.array([""])])
+                columns = [pa.array(langs, pa.string()).take(pa.array(some[first, 0]))]
+                columns += [lookup.take(pa.array(some[first, i + 1] if i + 1 < some.shape[1] else np.full(len(first), pad))) for i in range(order)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], ["lang", *names, "n"])
 
     counted = texts.mapInArrow(count, "lang string, " + ", ".join(f"{w} string" for w in names) + ", n bigint")
     return counted.groupBy("lang", *names).agg(F.sum("n").alias("n"))
@@ -131,12 +151,12 @@ def phrase_counts(docs: DataFrame, least: int = 30, order: int = 4, lang_col: st
     """lang, words (array), f: how often each run of up to `order` words occurs, if it is `least` or more; words is empty for all words of a language.
 
     Only windows of `order` words are counted, padded where a piece ends; a rollup sums them by ever
-    shorter prefixes, which are the shorter phrases. A phrase is no more common than its words and
-    pairs, so windows are cut at rare ones, which a filter of fixed size tells.
+    shorter prefixes, which are the shorter phrases. A phrase is no more common than the runs of words
+    in it, so windows are cut at rare ones, which a filter of fixed size tells.
     """
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     names = [f"w{i + 1}" for i in range(order)]
-    tops = _windows(texts, _common(texts, least), order)
+    tops = _windows(texts, _common(texts, least, order), order)
     summed = tops.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("gid")).where("lang is not null")
     # grouping_id has a bit for each column that is summed over: the last column kept must be a word
     kept = F.lit(False)
@@ -187,10 +207,13 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, order: int =
     best = scored.groupBy("lang", "words", "a").agg(F.min_by(F.struct("l", "r", "score"), F.struct("score", "k")).alias("b"))
     best = best.select("lang", F.array_join("words", " ").alias("phrase"), "a", "b.*")
 
-    # First of each cell, so that the last window has `top` rows of each cell at most
+    # The first of ever fewer cells, so that no window spans more than some 16 times `top` rows
     order_by = (F.desc("score"), F.desc("a"), "phrase")
-    cell = F.pmod(F.xxhash64("phrase"), F.lit(max(1, total // (16 * top))))
-    first = best.withColumn("i", F.row_number().over(Window.partitionBy("lang", cell).orderBy(*order_by))).where(F.col("i") <= top)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order_by))).where(F.col("rank") <= top)
+    cells = max(16, total // (16 * top))
+    while cells:
+        cell = F.pmod(F.xxhash64("phrase"), F.lit(cells))
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", cell).orderBy(*order_by))).where(F.col("rank") <= top)
+        cells = 0 if cells == 1 else max(1, cells // 16)
+    ranked = best
     n = counts.where(size == 0).select("lang", F.col("f").alias("n"))
     return ranked.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
