@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+from .ranges import running
+
 #: Threshold of the label; it holds for the raw probability.
 THRESHOLD = 0.54
 
@@ -53,41 +54,33 @@ def classification_report(scored: DataFrame, truth: str, predicted: str) -> Data
     return rows.union(each.agg(F.lit("weighted avg"), *(r4(F.sum(F.col(k) * F.col("support")) / F.sum("support"), k) for k in measures), F.sum("support")))
 
 
-#: Cells of scores between which running sums are carried.
-CELLS = 256
 
 
-def by_score(scored: DataFrame, prob: str, truth: str) -> DataFrame:
-    """Positives and rows at each score and at or above it.
+def by_score(scored: DataFrame, prob: str, truth: str, ranges: int | None = None) -> DataFrame:
+    """Positives and rows at each score and at or above it; rows without a score come last.
 
-    Rows are added up by distinct score first. Sums are carried between cells, of which there are
-    CELLS at most, and then run inside each cell: no window spans all scores. Cells are cut at
-    approximate percentiles, so that they hold about as many scores each wherever scores lie.
+    Rows are added up by distinct score once. Their sums run in ranges of scores that a sample cuts, as
+    many as there are shuffle partitions, and are carried from range to range.
     """
-    at = scored.groupBy(F.col(prob).alias("score")).agg(F.sum(F.col(truth).cast("bigint")).alias("pos"), F.count("*").alias("n"))
-    cuts = at.agg(F.percentile_approx("score", [k / CELLS for k in range(1, CELLS)], 10_000).alias("c")).first()["c"] or []
-    inner = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    # The number of cuts at or below the score; without a score, below all
-    at = at.withColumn("_cell", F.when(F.col("score").isNull(), -1).otherwise(F.size(F.filter(inner, lambda c: c <= F.col("score")))))
-    sums = at.groupBy("_cell").agg(F.sum("pos").alias("_p"), F.sum("n").alias("_m"))
-    above = Window.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_cell", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_m").over(above), F.lit(0)).alias("_m"))
-    down = Window.partitionBy("_cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = at.join(F.broadcast(sums), "_cell").withColumn("tp", F.col("_p") + F.sum("pos").over(down)).withColumn("called", F.col("_m") + F.sum("n").over(down))
-    return run.drop("_cell", "_p", "_m")
+    at = scored.groupBy(F.col(prob).alias("score")).agg(F.coalesce(F.sum(F.col(truth).cast("bigint")), F.lit(0)).alias("pos"), F.count("*").alias("n"))
+    return running(at, [], [F.desc_nulls_last("score")], {"tp": F.col("pos"), "called": F.col("n")}, ranges)
 
 
 def best_threshold(scored: DataFrame, prob: str, truth: str) -> DataFrame:
-    """The score at which calling it and all above positive gives the greatest F1; ties to the greatest score."""
+    """The score at which calling it and all above positive gives the greatest F1; ties to the greatest score.
+
+    Rows without a score are never called and so no threshold, but their positives count as missed.
+    Without any score there is no row.
+    """
     d = by_score(scored, prob, truth)
     total = d.agg(F.sum("pos").alias("total"))
-    d = d.crossJoin(F.broadcast(total))  # one row
+    d = d.where("score is not null").crossJoin(F.broadcast(total))  # one row
     f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("called") + F.col("total"))).otherwise(0.0)
     return d.select(F.col("score").alias("threshold"), F.round(f1, 6).alias("best_f1")).orderBy(F.desc("best_f1"), F.desc("threshold")).limit(1)
 
 
 def roc_auc(scored: DataFrame, prob: str, truth: str) -> DataFrame:
-    """Area by ranks, ties at their mean rank."""
+    """Area by ranks, ties at their mean rank; rows without a score tie below all others."""
     d = by_score(scored, prob, truth)
     # Rows below plus half of those that tie, for each positive
     total = d.agg(F.sum("n").alias("rows"), F.sum("pos").alias("positives"))
@@ -194,31 +187,56 @@ def suspicious_zones(cells: DataFrame, top: int = 5, labels: DataFrame | None =
     return kept.select("scan_id", "number", "comp_id", zone.alias("zone"), "severity", "x", "y", F.col("bw").alias("width"), F.col("bh").alias("height"))
 
 
+def cell_runs(cells: DataFrame) -> DataFrame:
+    """scan_id, y, x, x2: the cells of each row that follow each other without a gap, from x to x2."""
+    d = cells.select("scan_id", "y", "x").distinct()
+    along = F.row_number().over(Window.partitionBy("scan_id", "y").orderBy("x"))
+    return d.withColumn("_g", F.col("x") - along).groupBy("scan_id", "y", "_g").agg(F.min("x").alias("x"), F.max("x").alias("x2")).drop("_g")
+
+
+def _meeting(runs: DataFrame) -> DataFrame:
+    """scan_id, u, v: runs of neighbouring rows that touch, also at corners, as (y, x) of their starts; enough of them that all touching runs are connected.
+
+    Runs of a row are apart, so of two that touch, one is the last of its row that touches the other. A run
+    therefore meets the last run of the row below and above that starts by its end: a running
+    maximum over the starts and ends of both rows, with no pairs of runs.
+    """
+    me = F.struct("y", "x")
+    events = [
+        runs.select("scan_id", (F.col("y") - side).alias("pair"), F.lit(side).alias("side"), me.alias("run"), F.col("x").alias("a"), F.col("x2").alias("b"), F.explode(F.array(F.struct(F.col("x").alias("at"), F.lit(0).alias("asks")), F.struct((F.col("x2") + 1).alias("at"), F.lit(1).alias("asks")))).alias("e"))
+        for side in (0, 1)
+    ]
+    d = events[0].unionByName(events[1]).select("scan_id", "pair", "side", "run", "a", "b", "e.*")
+    so_far = Window.partitionBy("scan_id", "pair").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = {side: F.last(F.when((F.col("side") == side) & (F.col("asks") == 0), F.struct("run", "b")), ignorenulls=True).over(so_far) for side in (0, 1)}
+    d = d.select("scan_id", "run", "a", "asks", F.when(F.col("side") == 0, last[1]).otherwise(last[0]).alias("other")).where("asks = 1 and other.b >= a - 1")
+    return d.select("scan_id", F.greatest("run", "other.run").alias("u"), F.least("run", "other.run").alias("v"))
+
+
 def connected_cells(cells: DataFrame) -> DataFrame:
-    """comp_id for each cell given: the smallest cell number (y x 100000 + x) that a chain of 8-neighbours reaches.
+    """comp_id (y, x) for each cell given: the first cell, by row and column, that a chain of 8-neighbours reaches; each cell once.
 
-    Labels spread to neighbours, then each cell takes the label of the cell that its own label
-    names, until none changes; each round is cut off by a checkpoint in the shared folder.
+    Cells are joined to runs along x first. Runs that touch are edges of a graph, and its components
+    are found by stars: all neighbours of a run are linked to the smallest of them, first the larger
+    and then the smaller ones, until nothing changes; each round is cut off by a checkpoint.
     """
-    spark = cells.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    label = cells.select("scan_id", "y", "x", (F.col("y").cast("bigint") * 100000 + F.col("x")).alias("comp_id")).checkpoint()
-    around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+    runs = cut(cell_runs(cells))
+    edges = cut(_meeting(runs).distinct())
+    state = None
     while True:
-        sent = label.select("scan_id", F.explode(around).alias("d"), "y", "x", "comp_id").select("scan_id", (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), "comp_id")
-        least = sent.groupBy("scan_id", "y", "x").agg(F.min("comp_id").alias("m"))
-        near = label.join(least, ["scan_id", "y", "x"]).select("scan_id", "y", "x", "comp_id", "m").checkpoint()
-        named = near.select("scan_id", (F.col("y").cast("bigint") * 100000 + F.col("x")).alias("m"), F.col("m").alias("further")).distinct()
-        after = near.join(named, ["scan_id", "m"]).select("scan_id", "y", "x", F.col("further").alias("comp_id"), (F.col("further") < F.col("comp_id")).alias("moved")).checkpoint()
-        label = after.drop("moved")
-        if not after.where("moved").limit(1).count():
-            return label
+        both = edges.unionByName(edges.select("scan_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("scan_id", "u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.join(least, ["scan_id", "u"]).where("v > u").select("scan_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.where("u > v")
+        least = down.groupBy("scan_id", "u").agg(F.min("v").alias("m"))
+        small = down.join(least, ["scan_id", "u"]).select("scan_id", F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        edges = cut(small.select("scan_id", "e.*").where("u > v").distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("scan_id", "u", "v").cast("decimal(38, 0)"))).first()
+        if now == state:
+            break
+        state = now
+    named = runs.withColumn("u", F.struct("y", "x")).join(edges, ["scan_id", "u"], "left").select("scan_id", "y", F.explode(F.sequence("x", "x2")).alias("x"), F.coalesce("v", "u").alias("comp_id"))
+    return named
 
 
 def relabel_zones_iou(zones: DataFrame, boxes: DataFrame, page: DataFrame, side: int = 384) -> DataFrame:

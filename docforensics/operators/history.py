@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Stretches of time in which the log of scans is numbered.
-STRETCHES = 1 << 14
+from .lineage import cut
+from .ranges import numbered, running
 
 
 def content_hash(content: Column) -> Column:
@@ -30,7 +31,7 @@ def recent_results(log: DataFrame, key: str, ts: str, n: int = 32) -> DataFrame:
     return log.groupBy(key).agg(F.max(ts).alias("last_used")).orderBy(F.desc("last_used"), key).limit(n)
 
 
-def lru_hit_audit(log: DataFrame, session: list[str], key: str, order: list[str], capacity: int) -> DataFrame:
+def lru_hit_audit(log: DataFrame, session: list[str], key: str, order: list[str], capacity: int, ranges: int | None = None) -> DataFrame:
     """hit for each request of a session: its key was used before, and fewer than `capacity` other keys since.
 
     A request counts as the newest use of its key until the next one. Between two uses of a key
@@ -38,44 +39,39 @@ def lru_hit_audit(log: DataFrame, session: list[str], key: str, order: list[str]
     before p: all positions from p + 1 to i - 1, less those whose previous use is after p. Those
     are pairs of uses that lie inside (p, i), so counting them is counting inversions: every use
     is put into one block of each power of two of the order of i, and counted there by the order
-    of p. The work is n log n for a session of n requests, with no pairs of requests.
+    of p. The work is n log n for a session of n requests, with no pairs of requests. Positions and
+    counts run over ranges of the rows, so a session may hold most of them; uses of one key
+    follow each other in a window of their own.
     """
-    s = Window.partitionBy(*session)
-    d = log.withColumn("_i", F.row_number().over(s.orderBy(*order)))
+    one = F.lit(1).cast("bigint")
+    d = running(log, session, [F.col(c) for c in order], {"_i": one}, ranges)
     d = d.withColumn("_p", F.lag("_i").over(Window.partitionBy(*session, key).orderBy("_i")))
+    d = cut(d)
     again = d.where("_p is not null").select(*session, F.col("_i").alias("i"), F.col("_p").alias("p"))
     # Pairs inside (p, i): of those with an earlier i, the ones with a later p. A pair of uses meets an
     # earlier one in the one level where its block is the right half and the other's is the left half.
     longest = again.agg(F.max("i")).first()[0] or 0
     levels = F.array(*map(F.lit, range(max(1, int(longest).bit_length()))))
     put = again.select("*", F.explode(levels).alias("level")).withColumn("block", F.expr("i >> (level + 1)")).withColumn("right", F.expr("(i >> level) & 1") == 1)
-    later = Window.partitionBy(*session, "level", "block").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
-    put = put.withColumn("n", F.sum(F.when(F.col("right"), 0).otherwise(1)).over(later))
-    inside = put.where("right").groupBy(*session, "i").agg(F.sum(F.coalesce("n", F.lit(0))).alias("_inside")).withColumnRenamed("i", "_i")
-    out = d.join(inside, [*session, "_i"], "left")
+    put = running(put, [*session, "level", "block"], [F.desc("p")], {"n": F.when(F.col("right"), 0).otherwise(1).cast("bigint")}, ranges)
+    inside = put.where("right").groupBy(*session, "i").agg(F.sum("n").alias("_inside"))
+    same = reduce(lambda a, b: a & b, (F.col(f"d.{c}").eqNullSafe(F.col(f"x.{c}")) for c in session), F.col("d._i") == F.col("x.i"))
+    out = d.alias("d").join(inside.alias("x"), same, "left").select("d.*", "x._inside")
     others = F.col("_i") - F.col("_p") - 1 - F.coalesce("_inside", F.lit(0))
     return out.withColumn("hit", F.col("_p").isNotNull() & (others < capacity)).drop("_p", "_inside").withColumnRenamed("_i", "position")
 
 
-def scan_history(log: DataFrame, top: int | None = None) -> DataFrame:
+def scan_history(log: DataFrame, top: int | None = None, ranges: int | None = None) -> DataFrame:
     """Newest first, numbered from 1; rows without a time come last. With `top`, only so many.
 
-    Without it, numbers come from counts by stretches of time and then by rank inside a stretch. A
-    stretch is a share of the whole span, so it is bounded by how the rows lie in time and not by
-    the calendar; no window spans all rows.
+    Without it, rows are dealt by ranges of (time, id) that a sample cuts and numbered by the counts of
+    the ranges before: one time far from the others, or most rows at one time or at none, makes no
+    range larger. Rows of equal time and id stand in any order.
     """
     order = [F.desc_nulls_last("ts"), F.desc("id")]
     if top:
         return log.orderBy(*order).limit(top).withColumn("number", F.row_number().over(Window.orderBy(*order)))
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = log.agg(F.min(micros).alias("a"), F.max(micros).alias("b")).first()
-    first, width = span["a"] or 0, max(1, ((span["b"] or 0) - (span["a"] or 0)) // STRETCHES + 1)
-    d = log.withColumn("_part", F.coalesce(F.floor((micros - F.lit(first)) / width), F.lit(-1)))
-    counted = d.groupBy("_part").agg(F.count("*").alias("_m"))  # STRETCHES + 1 rows at most
-    newer = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.select("_part", F.coalesce(F.sum("_m").over(newer), F.lit(0)).alias("_newer"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return d.join(F.broadcast(counted), "_part").withColumn("number", F.col("_newer") + own).drop("_part", "_newer")
+    return numbered(log, order, "number", ranges)
 
 
 def search_history(log: DataFrame, column: str, text: str) -> DataFrame:

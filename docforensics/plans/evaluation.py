@@ -64,6 +64,30 @@ def best_threshold(spark, sf_dir):
     return op.best_threshold(fx(spark, sf_dir, "fx_scores"), "prob_fake", "is_fake")
 
 
+_UNSCORED = "(select scan_id, case when scan_id % 7 <> 0 then prob_fake end as prob_fake, is_fake from fx_scores)"
+
+
+@query(
+    f"""with s as {_UNSCORED}, t as (select distinct prob_fake as threshold from s where prob_fake is not null),
+  c as (select threshold, (select count(*) from s where prob_fake >= threshold) as called, (select count(*) from s where prob_fake >= threshold and is_fake = 1) as tp, (select count(*) from s where is_fake = 1) as total from t)
+  select threshold, round(2 * tp / (called + total), 6) as best_f1 from c order by best_f1 desc, threshold desc limit 1"""
+)
+def best_threshold_unscored(spark, sf_dir):
+    """Every seventh row has no score: it is never called."""
+    d = fx(spark, sf_dir, "fx_scores").withColumn("prob_fake", F.when(F.col("scan_id") % 7 != 0, F.col("prob_fake")))
+    return op.best_threshold(d, "prob_fake", "is_fake")
+
+
+@query(
+    f"""with r as (select is_fake, rank() over (order by prob_fake nulls first) + (count(*) over (partition by prob_fake) - 1) / 2.0::double as k from {_UNSCORED})
+  select round((sum(k) filter (is_fake = 1) - p * (p + 1) / 2) / (p * (n - p)), 6) as auc from r, (select count(*) filter (is_fake = 1) as p, count(*) as n from fx_scores) group by p, n"""
+)
+def roc_auc_unscored(spark, sf_dir):
+    """Rows without a score tie below all others."""
+    d = fx(spark, sf_dir, "fx_scores").withColumn("prob_fake", F.when(F.col("scan_id") % 7 != 0, F.col("prob_fake")))
+    return op.roc_auc(d, "prob_fake", "is_fake")
+
+
 @query(
     """with r as (select is_fake, rank() over (order by prob_fake) + (count(*) over (partition by prob_fake) - 1) / 2.0::double as k from fx_scores)
   select round((sum(k) filter (is_fake = 1) - p * (p + 1) / 2) / (p * (n - p)), 6) as auc from r, (select count(*) filter (is_fake = 1) as p, count(*) as n from fx_scores) group by p, n"""
@@ -139,10 +163,11 @@ def suspicious_zones(spark, sf_dir):
 @query(
     f"""with recursive f as (select c.scan_id, y, x from fx_cells c join ({_THR}) t on c.scan_id = t.scan_id where heat >= ht or coef >= ct),
   r(scan_id, y, x, c) as (select scan_id, y, x, y * 100000 + x from f union select r.scan_id, g.y, g.x, r.c from r join f g on g.scan_id = r.scan_id and abs(g.y - r.y) <= 1 and abs(g.x - r.x) <= 1)
-  select scan_id, y, x, cast(min(c) as bigint) as comp_id from r group by scan_id, y, x"""
+  select scan_id, y, x, cast(min(c) // 100000 as int) as comp_y, cast(min(c) % 100000 as int) as comp_x from r group by scan_id, y, x"""
 )
 def connected_cells(spark, sf_dir):
-    return op.connected_cells(op.flagged_cells(fx(spark, sf_dir, "fx_cells")))
+    d = op.connected_cells(op.flagged_cells(fx(spark, sf_dir, "fx_cells")))
+    return d.select("scan_id", "y", "x", F.col("comp_id.y").alias("comp_y"), F.col("comp_id.x").alias("comp_x"))
 
 
 @query(f"select scan_id, y, x, {_zone('((x + 0.5) / 8)', '((y + 0.5) / 8)')} as zone from fx_cells")

@@ -59,6 +59,27 @@ def scan_history(spark, sf_dir):
     return op.scan_history(fx(spark, sf_dir, "fx_log")).select("id", F.col("number").cast("bigint").alias("number"), "filename")
 
 
+_ODD = "(select id, filename, case when id % 50 = 0 then null when id % 997 = 1 then timestamp '1970-01-01 00:00:00' when id % 3 = 0 then timestamp '2024-01-01 00:00:00' else ts end as ts from fx_log)"
+
+
+@query(f"select id, cast(row_number() over (order by ts desc nulls last, id desc) as bigint) as number from {_ODD}")
+def scan_history_odd_times(spark, sf_dir):
+    """Some rows without a time, some far from all others, a third at one time."""
+    ts = F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 997 == 1, F.expr("timestamp '1970-01-01 00:00:00'")).when(F.col("id") % 3 == 0, F.expr("timestamp '2024-01-01 00:00:00'")).otherwise(F.col("ts"))
+    return op.scan_history(fx(spark, sf_dir, "fx_log").withColumn("ts", ts)).select("id", F.col("number").cast("bigint").alias("number"))
+
+
+@query(
+    """with d as (select event_id, user_id, row_number() over (order by ts, event_id) as i from events where event_id % 5 = 0),
+  p as (select *, lag(i) over (partition by user_id order by i) as p from d)
+  select event_id, p is not null and (select count(distinct b.user_id) from d b where b.i > p.p and b.i < p.i) < 64 as hit from p"""
+)
+def lru_hit_audit_one_session(spark, sf_dir):
+    """All requests of some kinds as one session: no task holds it."""
+    d = fx(spark, sf_dir, "events").where("event_id % 5 = 0").select("event_id", "user_id", "ts", F.lit("all").alias("session"))
+    return op.lru_hit_audit(d, ["session"], "user_id", ["ts", "event_id"], 64).select("event_id", "hit")
+
+
 @query("select page_id, url from pages where contains(lower(url), 'example.org/en')")
 def search_history(spark, sf_dir):
     return op.search_history(fx(spark, sf_dir, "pages"), "url", "Example.org/EN").select("page_id", "url")

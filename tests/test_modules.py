@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docforensics.fixtures import fx
 from docforensics.operators import checks, evaluation, fields, forensics, fusion, history, spatial, typography
+from docforensics.operators.ranges import in_ranges, running
 from docforensics.plans.registry import queries
 from docforensics.sources import tables
 from docforensics.streaming import intake
@@ -315,8 +316,8 @@ def test_choice_from_words_comes_first(spark):
 
 def test_components_of_cells(spark):
     cells = [(1, 0, 0), (1, 1, 1), (1, 2, 2), (1, 5, 5), (1, 5, 6), (2, 0, 0)]
-    out = {(r["scan_id"], r["y"], r["x"]): r["comp_id"] for r in evaluation.connected_cells(spark.createDataFrame(cells, "scan_id long, y int, x int")).collect()}
-    assert out == {(1, 0, 0): 0, (1, 1, 1): 0, (1, 2, 2): 0, (1, 5, 5): 500005, (1, 5, 6): 500005, (2, 0, 0): 0}
+    out = {(r["scan_id"], r["y"], r["x"]): tuple(r["comp_id"]) for r in evaluation.connected_cells(spark.createDataFrame(cells, "scan_id long, y int, x int")).collect()}
+    assert out == {(1, 0, 0): (0, 0), (1, 1, 1): (0, 0), (1, 2, 2): (0, 0), (1, 5, 5): (5, 5), (1, 5, 6): (5, 5), (2, 0, 0): (0, 0)}
 
 
 def test_few_glyphs(spark):
@@ -347,7 +348,75 @@ def test_connected_cells_follow_long_paths(spark):
     cells = [(1, 0, x) for x in range(384)] + [(2, y, 5) for y in range(384)] + [(2, 9, 9)]
     out = evaluation.connected_cells(spark.createDataFrame(cells, "scan_id long, y int, x int")).collect()
     assert len(out) == len(cells)
-    assert {(r["scan_id"], r["comp_id"]) for r in out} == {(1, 0), (2, 5), (2, 900009)}
+    assert {(r["scan_id"], *r["comp_id"]) for r in out} == {(1, 0, 0), (2, 0, 5), (2, 9, 9)}
+
+
+def test_components_of_random_cells(spark):
+    """Scans of random cells, one of them far to the right, against a flood fill; repeated cells count once."""
+    rng = random.Random(8)
+    cells = {(s, rng.randrange(30), rng.randrange(30) + (100_000 if s == 3 else 0)) for s, n in ((1, 250), (2, 420), (3, 330)) for _ in range(n)} | {(4, 0, 100_000), (4, 1, 0), (4, 0, 99_999)}
+    want, seen = {}, set()
+    for cell in sorted(cells):
+        if cell not in seen:
+            stack = [cell]
+            seen.add(cell)
+            while stack:
+                s, y, x = stack.pop()
+                want[s, y, x] = cell[1:]
+                for c in ((s, y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)):
+                    if c in cells and c not in seen:
+                        seen.add(c)
+                        stack.append(c)
+    d = spark.createDataFrame([*cells, *list(cells)[:20]], "scan_id long, y int, x int")
+    out = [((r["scan_id"], r["y"], r["x"]), tuple(r["comp_id"])) for r in evaluation.connected_cells(d).collect()]
+    assert len(out) == len(cells) and dict(out) == want
+
+
+@pytest.mark.parametrize("n", [1, 7])
+def test_running_sums_over_ranges(spark, n):
+    """Most rows in one group, small groups, null groups and equal keys, in one and in many ranges."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["a"] * 8 + ["b", "c", None]), rng.randrange(40), rng.randrange(9), i) for i in range(600)]
+    d = spark.createDataFrame(rows, "g string, t int, v long, i long")
+    for inclusive in (True, False):
+        want, total = {}, {}
+        for g, t, v, i in sorted(rows, key=lambda r: (r[1], r[3])):
+            before = total.get(g, (0, 0))
+            total[g] = (before[0] + v, before[1] + 1)
+            want[i] = total[g] if inclusive else before
+        out = running(d, ["g"], [F.col("t"), F.col("i")], {"s": F.col("v"), "k": F.lit(1).cast("bigint")}, n, inclusive)
+        assert {r["i"]: (r["s"], r["k"]) for r in out.collect()} == want
+    assert [r["k"] for r in running(d, [], [F.col("i")], {"k": F.lit(1).cast("bigint")}, n).orderBy("i").collect()] == [*range(1, 601)]
+    assert running(d.limit(0), ["g"], [F.col("i")], {"k": F.lit(1).cast("bigint")}, n).count() == 0
+
+
+def test_history_with_an_outlier(spark):
+    """One row of 1970 doesn't put all others into one range."""
+    d = spark.range(4000).select("id", F.timestamp_seconds(F.when(F.col("id") == 7, 0).otherwise(1_700_000_000 + F.col("id"))).alias("ts"))
+    sizes = [r["count"] for r in in_ranges(d, [F.desc_nulls_last("ts"), F.desc("id")], 8).groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
+    assert [r["id"] for r in history.scan_history(d, ranges=8).orderBy("number").collect()] == [*(i for i in range(3999, -1, -1) if i != 7), 7]
+
+
+def test_one_session_over_ranges(spark):
+    rng = random.Random(1)
+    keys = [rng.randrange(25) for _ in range(400)]
+    cache, want = OrderedDict(), []
+    for k in keys:
+        want.append(k in cache)
+        cache[k] = True
+        cache.move_to_end(k)
+        if len(cache) > 8:
+            cache.popitem(last=False)
+    d = spark.createDataFrame([(None, i, k) for i, k in enumerate(keys)] + [("t", 1000 + i, 1) for i in range(3)], "s string, i long, k long")
+    got = history.lru_hit_audit(d, ["s"], "k", ["i"], 8, ranges=6).orderBy("i").collect()
+    assert [r["hit"] for r in got] == [*want, False, True, True]
+
+
+def test_threshold_without_scores(spark):
+    d = spark.createDataFrame([(None, 1), (0.9, 1), (0.5, 0), (None, 1), (None, 1)], "p double, t int")
+    assert tuple(evaluation.best_threshold(d, "p", "t").first()) == (0.9, 0.4)
+    assert evaluation.best_threshold(d.where("p is null"), "p", "t").count() == 0
 
 
 def test_candidates_of_all_lines(spark, tmp_path):
