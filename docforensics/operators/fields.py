@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checks import visual_date
 from .mrz import bound
 
-#: Latin letters with marks and what is left without the marks (a documented part of NFKD).
-MARKED = "àáâãäåāăąçćčďèéêëēęěģìíîïīķľļñńňòóôõöőřśšşťùúûüůűūýÿźžżÀÁÂÃÄÅĀĂĄÇĆČĎÈÉÊËĒĘĚĢÌÍÎÏĪĶĽĻÑŃŇÒÓÔÕÖŐŘŚŠŞŤÙÚÛÜŮŰŪÝŸŹŽŻ"
-PLAIN = "aaaaaaaaacccdeeeeeeegiiiiikllnnnoooooorssstuuuuuuuyyzzzAAAAAAAAACCCDEEEEEEEGIIIIIKLLNNNOOOOOORSSSTUUUUUUUYYZZZ"
+
+
+def _without_marks(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+def _ranges(points: list[int]) -> str:
+    """Code points as ranges of a regular expression's class."""
+    starts = [x for x in points if x - 1 not in set(points)]
+    ends = [x for x in points if x + 1 not in set(points)]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in zip(starts, ends, strict=True))
+
+
+#: Characters of the basic plane that decompose, marks left out, into one other character, and what each becomes.
+_ONE = {c: d for c in map(chr, (*range(0xA0, 0xD800), *range(0xF900, 0x10000))) if len(d := _without_marks(c)) == 1 and d != c}
+MARKED, PLAIN = "".join(_ONE), "".join(_ONE.values())
+#: Latin letters and ligatures that become several.
+SEVERAL = {c: d for c in map(chr, (*range(0xC0, 0x250), *range(0xFB00, 0xFB07))) if len(d := _without_marks(c)) > 1}
+#: Combining marks.
+MARKS = f"[{_ranges([i for i in range(0x300, 0x1F000) if unicodedata.combining(chr(i))])}]"
 #: Labels of each field in several languages, as regular expressions on normalised text.
 LABELS = {
     "surname": r"(?:nom|surname|last\s*name|mbiemri)",
@@ -41,8 +60,19 @@ NAME_LEADS = ("surname", "name", "given", "first", "last", "mbiemri", "emri")
 TITLE = "^[A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]{2,}( [A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ]{2,}){0,2}$"
 
 
+def without_marks(c: Column) -> Column:
+    """Text by its compatibility decomposition without combining marks, whether letters and marks are one character or several.
+
+    Of characters that become several only Latin letters and ligatures are taken apart; Hangul
+    syllables and characters beyond the basic plane stay.
+    """
+    for a, b in SEVERAL.items():
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.regexp_replace(F.translate(c, MARKED, PLAIN), MARKS, "")
+
+
 def normalize_text(c: Column) -> Column:
-    return F.trim(F.lower(F.translate(F.coalesce(c, F.lit("")), MARKED, PLAIN)))
+    return F.trim(F.lower(without_marks(F.coalesce(c, F.lit("")))))
 
 
 def clean_token(c: Column) -> Column:

@@ -36,26 +36,100 @@ def intake_status(scans: DataFrame) -> DataFrame:
     return scans.withColumn("status", status)
 
 
+#: Pixels at a time on the way from an image to rows or tiles.
+BAND = 1 << 18
+
+
+def _images(spark: SparkSession, path: str) -> DataFrame:
+    d = spark.read.format("image").option("dropInvalid", True).load(path)
+    return d.select(F.xxhash64("image.origin").alias("scan_id"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+
+
+def _rgb(data, channels: int):
+    """Red, green and blue (numbers, last axis) of stored bytes (blue, green, red and alpha, or grey); alpha is laid over white."""
+    import numpy as np
+
+    a = np.asarray(data, dtype=float)
+    rgb = a[..., [2, 1, 0]] if channels >= 3 else np.repeat(a, 3, axis=-1)
+    if channels == 4:
+        share = a[..., 3:] / 255
+        rgb = rgb * share + 255 * (1 - share)
+    return rgb
+
+
 def read_image_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """scan_id, y, x, r, g, b, lum for each pixel of JPEG, PNG and BMP files; alpha is laid over white; other files are left out."""
+    """scan_id, y, x, r, g, b, lum for each pixel of JPEG, PNG and BMP files; alpha is laid over white; other files are left out.
+
+    A row for each pixel is for small images; read_image_tiles and tile_block_stats do without.
+    """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    d = spark.read.format("image").option("dropInvalid", True).load(path).select(F.xxhash64("image.origin").alias("scan_id"), "image.*")
+    def pixels(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                scan, height, width, n = (b.column(k)[i].as_py() for k in range(4))
+                a = np.frombuffer(b.column(4)[i].as_buffer(), dtype=np.uint8).reshape(height, width, n)
+                step = max(1, BAND // max(1, width))
+                for top in range(0, height, step):
+                    rgb = _rgb(a[top : top + step], n)
+                    y, x = (k.ravel().astype(np.int32) for k in np.indices(rgb.shape[:2]))
+                    r, g, blue = (rgb[..., k].ravel() for k in range(3))
+                    columns = [pa.array(np.full(len(y), scan)), pa.array(y + np.int32(top)), pa.array(x), pa.array(r), pa.array(g), pa.array(blue), pa.array(0.299 * r + 0.587 * g + 0.114 * blue)]
+                    yield pa.RecordBatch.from_arrays(columns, ["scan_id", "y", "x", "r", "g", "b", "lum"])
 
-    def pixels(frames):
-        for frame in frames:
-            for row in frame.itertuples():
-                a = np.frombuffer(row.data, dtype=np.uint8).reshape(row.height, row.width, row.nChannels).astype(float)
-                rgb = a[..., [2, 1, 0]] if row.nChannels >= 3 else np.repeat(a, 3, axis=2)  # stored as BGR
-                if row.nChannels == 4:
-                    share = a[..., 3:] / 255
-                    rgb = rgb * share + 255 * (1 - share)
-                y, x = np.indices(a.shape[:2])
-                r, g, b = (rgb[..., i].ravel() for i in range(3))
-                yield pd.DataFrame({"scan_id": row.scan_id, "y": y.ravel(), "x": x.ravel(), "r": r, "g": g, "b": b, "lum": 0.299 * r + 0.587 * g + 0.114 * b})
+    return _images(spark, path).mapInArrow(pixels, "scan_id long, y int, x int, r double, g double, b double, lum double")
 
-    return d.select("scan_id", "height", "width", "nChannels", "data").mapInPandas(pixels, "scan_id long, y int, x int, r double, g double, b double, lum double")
+
+def read_image_tiles(spark: SparkSession, path: str, tile: int = 256) -> DataFrame:
+    """Images cut into tiles: scan_id, top, left, height, width (of the tile), page_h, page_w, channels, data (its stored bytes).
+
+    An image passes through a task band by band, so beside its own bytes only one band is held.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def tiles(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                scan, height, width, n = (b.column(k)[i].as_py() for k in range(4))
+                a = np.frombuffer(b.column(4)[i].as_buffer(), dtype=np.uint8).reshape(height, width, n)
+                for top in range(0, height, tile):
+                    band = a[top : top + tile]
+                    lefts = [*range(0, width, tile)]
+                    cuts = [band[:, at : at + tile] for at in lefts]
+                    same = lambda v: pa.array([v] * len(cuts), pa.int32())  # noqa: B023, E731
+                    columns = [pa.array([scan] * len(cuts), pa.int64()), same(top), pa.array(lefts, pa.int32()), same(len(band)), pa.array([c.shape[1] for c in cuts], pa.int32()), same(height), same(width), same(n), pa.array([c.tobytes() for c in cuts], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["scan_id", "top", "left", "height", "width", "page_h", "page_w", "channels", "data"])
+
+    return _images(spark, path).mapInArrow(tiles, "scan_id long, top int, left int, height int, width int, page_h int, page_w int, channels int, data binary")
+
+
+def tile_block_stats(tiles: DataFrame, size: int) -> DataFrame:
+    """block_stats of the luminance from tiles: scan_id, block_y, block_x, mean, std; sides of tiles are multiples of `size`.
+
+    Blocks are added up inside a task, a tile at a time; a row for each block is all that comes out.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def blocks(batches):
+        for b in batches:
+            for scan, top, left, height, width, page_h, page_w, n, data in zip(*(b.column(k) for k in ("scan_id", "top", "left", "height", "width", "page_h", "page_w", "channels", "data")), strict=True):
+                scan, top, left, height, width, page_h, page_w, n = (v.as_py() for v in (scan, top, left, height, width, page_h, page_w, n))
+                if top % size or left % size:
+                    raise ValueError("blocks don't fit into tiles")
+                # Blocks that start before extent - size, the last full one left out
+                down, across = min(height // size, -(-(page_h - size - top) // size)), min(width // size, -(-(page_w - size - left) // size))
+                if down <= 0 or across <= 0:
+                    continue
+                rgb = _rgb(np.frombuffer(data.as_buffer(), dtype=np.uint8).reshape(height, width, n)[: down * size, : across * size], n)
+                lum = (0.299 * rgb[..., 0] + 0.587 * rgb[..., 1] + 0.114 * rgb[..., 2]).reshape(down, size, across, size)
+                y, x = np.indices((down, across))
+                columns = [pa.array(np.full(down * across, scan)), pa.array((y.ravel() + top // size).astype(np.int32)), pa.array((x.ravel() + left // size).astype(np.int32)), pa.array(lum.mean(axis=(1, 3)).ravel()), pa.array(lum.std(axis=(1, 3)).ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["scan_id", "block_y", "block_x", "mean", "std"])
+
+    return tiles.mapInArrow(blocks, "scan_id long, block_y int, block_x int, mean double, std double")
 
 
 def clean_tokens(raw: DataFrame) -> DataFrame:
@@ -90,6 +164,15 @@ def read_settings(text: str | None) -> dict[str, float]:
     return {"threshold": float(found.get("threshold_used", 0.54)), "temperature": float(found.get("temperature", 1.0))}
 
 
-def write_reports(reports: DataFrame, path: str, form: str = "parquet") -> None:
-    """One report for each scan, in a folder for each verdict."""
-    reports.write.mode("overwrite").partitionBy("verdict").format(form).save(path)
+def write_reports(reports: DataFrame, path: str, form: str = "parquet", batch: int = 0) -> None:
+    """One report for each scan, in a folder for each batch and in it for each verdict.
+
+    Only the batch's own folder is written over: other batches stay, and the same batch written again
+    leaves what it left the first time.
+    """
+    reports.write.mode("overwrite").partitionBy("verdict").format(form).save(f"{path.rstrip('/')}/batch={batch}")
+
+
+def stream_reports(reports: DataFrame, path: str, checkpoint: str, form: str = "parquet"):
+    """A stream of reports into the same folders, by the stream's own batches; a batch that is run again after a failure changes nothing."""
+    return reports.writeStream.foreachBatch(lambda d, batch: write_reports(d, path, form, batch)).option("checkpointLocation", checkpoint)

@@ -17,6 +17,40 @@ def intake_dedup(uploads: DataFrame, ts: str = "received_at", retention: str = "
     return uploads.withWatermark(ts, retention).dropDuplicatesWithinWatermark(["sha256"])
 
 
+def intake_answers(uploads: DataFrame, key: str = "scan_id", ts: str = "received_at", retention: str = "1 hour") -> DataFrame:
+    """Every upload of a stream with the first of equal content (result_of) and whether it is that one itself (analysed).
+
+    A content's first upload is remembered for the retention time after it, by the uploads' own times;
+    an equal one that comes later than that is analysed anew. Uploads later than the watermark, which
+    lags by the retention time, are dropped. Uploads without a hash equal no other. Columns: key, sha256, ts, result_of, analysed.
+    """
+    kind = {f.name: f.dataType for f in uploads.schema}
+    keep = pd.Timedelta(retention)
+    late = uploads.withWatermark(ts, retention).select(key, "sha256", ts)
+    out = T.StructType([T.StructField(key, kind[key]), T.StructField("sha256", T.StringType()), T.StructField(ts, kind[ts]), T.StructField("result_of", kind[key]), T.StructField("analysed", T.BooleanType())])
+    held = T.StructType([T.StructField("result_of", kind[key]), T.StructField("until", T.LongType())])
+
+    def answer(sha, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, until = state.get if state.exists else (None, None)
+        rows = pd.concat([*batches]).sort_values([ts, key])
+        result, own = [], []
+        for i, at in zip(rows[key], rows[ts], strict=True):
+            new = until is None or at.value > until
+            if new:
+                first, until = i, (at + keep).value
+            result.append(first)
+            own.append(new)
+        state.update((first, until))
+        state.setTimeoutTimestamp(max(until // 1_000_000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({key: rows[key], "sha256": sha[0], ts: rows[ts], "result_of": result, "analysed": own})
+
+    known = late.where("sha256 is not null").groupBy("sha256").applyInPandasWithState(answer, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+    return known.unionByName(late.where("sha256 is null").select(key, "sha256", ts, F.col(key).alias("result_of"), F.lit(True).alias("analysed")))
+
+
 def verdict_windows(log: DataFrame, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts by window and verdict; rows later than the watermark are dropped from streams."""
     d = log.withWatermark("ts", late) if log.isStreaming else log
@@ -83,21 +117,34 @@ def stability(frames: DataFrame, stable_at: int = STABLE) -> DataFrame:
     return joined.select("f.session", "f.seq", counter.alias("counter"), (counter >= stable_at).alias("stable"))
 
 
-STATE = T.StructType([T.StructField("counter", T.IntegerType())])
+STATE = T.StructType([T.StructField("counter", T.IntegerType()), T.StructField("last", T.LongType())])
 OUTPUT = T.StructType([T.StructField("session", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("counter", T.IntegerType()), T.StructField("stable", T.BooleanType())])
 
 
-def stream_stability(frames: DataFrame, stable_at: int = STABLE) -> DataFrame:
-    """The same counter over a stream, kept as state for each session; frames of a batch are taken in the order of time."""
+def stream_stability(frames: DataFrame, stable_at: int = STABLE, idle: str = "30 minutes", late: str = "1 minute") -> DataFrame:
+    """The same counter over a stream, kept as state for each session; frames of a batch are taken in the order of time.
+
+    A session without a frame for the idle time leaves the state; if it comes back, it starts from 0.
+    Frames later than the watermark, which lags by `late`, are dropped.
+    """
+    rest = pd.Timedelta(idle)
 
     def update(key, batches, state: GroupState):
-        c = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        c, last = state.get if state.exists else (0, None)
         rows = pd.concat([*batches]).sort_values(["ts", "seq"])
         out = []
-        for seq, variance, lit in zip(rows["seq"], rows["variance"], rows["corners_lit"], strict=True):
-            c = _step(c, bool(variance > 600 and lit))
+        for seq, at, variance, lit in zip(rows["seq"], rows["ts"], rows["variance"], rows["corners_lit"], strict=True):
+            if last is not None and at.value > last + rest.value:
+                c = 0
+            last = at.value if last is None else max(last, at.value)
+            c = _step(c, bool(pd.notna(variance) and variance > 600 and pd.notna(lit) and lit))
             out.append((key[0], seq, c, c >= stable_at))
-        state.update((c,))
+        state.update((c, last))
+        state.setTimeoutTimestamp(max((last + rest.value) // 1_000_000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["session", "seq", "counter", "stable"])
 
-    return frames.groupBy("session").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    d = frames.withWatermark("ts", late).select("session", "seq", "ts", "variance", "corners_lit")
+    return d.groupBy("session").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -176,6 +176,66 @@ def test_streams_equal_batches(spark, tmp_path):
     assert run(lambda d: intake.verdict_windows(d, "1 minute"), "windows", "update") == sorted(map(tuple, intake.verdict_windows(rows, "1 minute").collect()))
 
 
+def _fed(spark, tmp_path, name, f, parts):
+    """What a stream over these tables, a batch each, gives, and the rows that its state holds at the end."""
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{tmp_path}/{name}-{i}")
+    folder = tmp_path / name
+    folder.mkdir()
+    query = f(spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(str(folder))).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}-at").start()
+    try:
+        for i in range(len(parts)):
+            file = next((tmp_path / f"{name}-{i}").glob("part-*"))
+            file.rename(folder / f"{i}.parquet")
+            query.processAllAvailable()
+        return spark.table(name).collect(), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        query.stop()
+
+
+def test_copies_are_answered_with_the_first_result(spark, tmp_path):
+    """Within the retention time a stream gives what the table gives; after it contents leave the state and are analysed anew."""
+    start = 1_700_000_000
+    kind = "scan_id long, sha256 string, t long"
+    table = lambda rows: spark.createDataFrame(rows, kind).select("scan_id", "sha256", F.timestamp_seconds("t").alias("received_at"))
+    soon = [(i, f"h{i % 7}" if i % 10 else None, start + i) for i in range(60)]
+    again = [(100 + i, f"h{i % 9}", start + 600 + i) for i in range(20)]
+    days = [(200, "h1", start + 90_000), (201, "x", start + 90_001)]
+    last = [(300, "x", start + 180_000), (301, "y", start + 180_001)]
+    out, left = _fed(spark, tmp_path, "answers", intake.intake_answers, [table(x) for x in (soon, again, days, last)])
+    got = {r["scan_id"]: (r["result_of"], r["analysed"]) for r in out}
+    want = {r["scan_id"]: (r["result_of"], r["analysed"]) for r in history.dedup_scans(table(soon + again)).collect()}
+    assert {i: v for i, v in got.items() if i < 200} == want
+    assert {i: v for i, v in got.items() if i >= 200} == {200: (200, True), 201: (201, True), 300: (300, True), 301: (301, True)}
+    assert left <= 2  # x and y
+
+
+def test_idle_sessions_leave_the_state(spark, tmp_path):
+    start = 1_700_000_000
+    table = lambda rows: spark.createDataFrame(rows, "session long, seq long, t long, variance double, corners_lit boolean").select("session", "seq", F.timestamp_seconds("t").alias("ts"), "variance", "corners_lit")
+    good = lambda session, seq, t: (session, seq, t, 900.0, True)
+    parts = [[good(s, i, start + i) for s in range(20) for i in range(4)], [good(3, 4, start + 5), (3, 5, start + 6, None, None)], [good(99, 0, start + 40_000)], [good(3, 6, start + 80_000), good(3, 7, start + 7)]]
+    out, left = _fed(spark, tmp_path, "idle", intake.stream_stability, [table(x) for x in parts])
+    counters = {(r["session"], r["seq"]): r["counter"] for r in out}
+    assert counters[3, 4] == 5 and counters[3, 5] == 3 and counters[3, 6] == 1 and counters[99, 0] == 1
+    assert (3, 7) not in counters and left <= 2  # a late frame; 3 and 99 at most
+
+
+def test_batches_of_reports_stay(spark, tmp_path):
+    """A second batch leaves the first; the same batch again changes nothing; a stream's batches do the same."""
+    put = lambda rows: spark.createDataFrame(rows, "scan_id long, verdict string")
+    read = lambda p: sorted(tuple(r) for r in spark.read.parquet(str(p)).select("scan_id", "verdict").collect())
+    first, second = [(1, "Fake"), (2, "Authentic")], [(3, "Fake")]
+    for batch, rows in ((1, first), (2, second), (1, first)):
+        tables.write_reports(put(rows), str(tmp_path / "out"), batch=batch)
+    assert read(tmp_path / "out") == sorted(first + second)
+    for i, rows in enumerate((first, second)):
+        put(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = tables.stream_reports(spark.readStream.schema("scan_id long, verdict string").parquet(str(tmp_path / "in")), str(tmp_path / "live"), str(tmp_path / "at")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert read(tmp_path / "live") == sorted(first + second * i)
+
+
 def _png(path, width, height, pixels):
     chunk = lambda kind, data: pack(">I", len(data)) + kind + data + pack(">I", zlib.crc32(kind + data))
     raw = b"".join(b"\0" + bytes(v for p in pixels[y * width : (y + 1) * width] for v in p) for y in range(height))
@@ -207,6 +267,23 @@ def test_files_in_and_reports_out(spark, tmp_path):
     assert tables.read_settings(None) == {"threshold": 0.54, "temperature": 1.0} and tables.read_settings("{oops")["threshold"] == 0.54
 
 
+def test_tiles_give_the_same_blocks(spark, tmp_path):
+    rng = random.Random(4)
+    for name, width, height in (("a", 150, 97), ("b", 64, 64), ("c", 9, 200), ("d", 129, 65)):
+        _png(tmp_path / f"{name}.png", width, height, [tuple(rng.randrange(256) for _ in range(3)) for _ in range(width * height)])
+    for size in (8, 16):
+        want = {(r["scan_id"], r["block_y"], r["block_x"]): (r["mean"], r["std"]) for r in forensics.block_stats(tables.read_image_pixels(spark, str(tmp_path)), size).collect()}
+        got = {(r["scan_id"], r["block_y"], r["block_x"]): (r["mean"], r["std"]) for r in tables.tile_block_stats(tables.read_image_tiles(spark, str(tmp_path), 32), size).collect()}
+        assert set(got) == set(want) and all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], want[k], strict=True))
+    with pytest.raises(Exception, match="don't fit"):
+        tables.tile_block_stats(tables.read_image_tiles(spark, str(tmp_path), 20), 16).count()
+
+
+def test_marks_of_their_own(spark):
+    for text, want in (("e\u0301", "e"), ("É", "e"), ("Ångström", "angstrom"), ("\ufb01n", "fin"), ("ｆｕｌｌ", "full"), ("o\u0308\u0323", "o"), ("ß", "ß"), ("ø", "ø"), (None, "")):
+        assert one(spark, fields.normalize_text(F.lit(text))) == want
+
+
 def test_bilingual_lines(spark):
     lines = [(1, 0, "Mbiemri/Surname", 0.0, 0.0, 0.9), (1, 1, "HOXHA", 0.0, 20.0, 0.9), (1, 2, "Emri/Given name", 0.0, 40.0, 0.9), (1, 3, "Arta", 0.0, 60.0, 0.8), (1, 4, "Shtetesia/Nationality: Shqiptare", 0.0, 80.0, 0.9), (1, 5, "12.04.1990", 0.0, 100.0, 0.9), (1, 6, "01.01.2030", 0.0, 120.0, 0.9), (1, 7, "Nr 123456789", 0.0, 140.0, 0.9)]
     d = spark.createDataFrame(lines, "scan_id long, line_no int, text string, x double, y double, conf double")
