@@ -13,6 +13,8 @@ from ._common import chunks, hot_join, removed, written
 
 #: Bits of the filter that leaves out runs of words that are too rare for a phrase.
 FILTER = 27
+#: Bytes of text at a time: a word takes some 200 bytes of arrays.
+CHUNK = 1 << 20
 #: Bytes as they part the text: 0 in a word, 1 between words, 2 between pieces.
 KIND = np.zeros(256, dtype=np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -95,7 +97,7 @@ def _common(texts: DataFrame, least: int, order: int):
 
         def count(batches, bits=bits, k=k):
             have = None if bits is None else bits.value
-            for b in chunks(batches):
+            for b in chunks(batches, most=CHUNK):
                 words = _words(b)
                 for i, (h, there) in enumerate(_runs(words, have, k) if len(words[2]) else (), 1):
                     if i == k or k == 2:
@@ -108,6 +110,8 @@ def _common(texts: DataFrame, least: int, order: int):
         bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER}) & 63 as int))")
         found = counted.groupBy(F.shiftright(place, 6).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
         table[found.column("at").to_numpy()] |= found.column("bits").to_numpy()
+        if bits is not None:
+            bits.destroy()  # its job is done
         bits = context.broadcast(table.copy().view(np.uint64))
     return bits
 
@@ -121,7 +125,7 @@ def _windows(texts: DataFrame, bits, order: int) -> DataFrame:
 
     def count(batches):
         table = bits.value
-        for b in chunks(batches):
+        for b in chunks(batches, most=CHUNK):
             langs, distinct, word, lang, follows = words = _words(b)
             if not len(word):
                 continue

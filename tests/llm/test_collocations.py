@@ -61,8 +61,7 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
 
 
 def test_small_cells_and_chunks(spark, monkeypatch):
-    chunks = module.chunks
-    monkeypatch.setattr(module, "chunks", lambda batches: chunks(batches, most=200))
+    monkeypatch.setattr(module, "CHUNK", 200)
     rows = made()
     out = collocations(spark.createDataFrame(rows, SCHEMA), least=2, top=1).collect()
     assert sorted((r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in out) == loop(rows, 2, 1)
