@@ -10,8 +10,19 @@ def _unit(c: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 4)
 
 
+#: Weights of modules with a zone and without one, and the least scores of the verdicts.
+STRUCTURAL = {True: {"mrz": 0.40, "fields": 0.40, "font": 0.20}, False: {"fields": 0.55, "font": 0.30, "mrz": 0.15}}
+GLOBAL = {True: {"visual": 0.50, "structural": 0.30, "metadata": 0.20}, False: {"visual": 0.55, "structural": 0.25, "metadata": 0.20}}
+VERDICTS = (("Authentic", 0.75), ("Suspicious", 0.50))
+
+
+def _weighted(found: Column, weights: dict[bool, dict[str, float]], **parts: Column) -> Column:
+    with_zone, without = (sum((parts[k] * w for k, w in weights[f].items()), F.lit(0.0)) for f in (True, False))
+    return _unit(F.when(found, with_zone).otherwise(without))
+
+
 def structural_score(mrz_found: Column, mrz: Column, fields: Column, font: Column) -> Column:
-    return _unit(F.when(mrz_found, mrz * 0.40 + fields * 0.40 + font * 0.20).otherwise(fields * 0.55 + font * 0.30 + mrz * 0.15))
+    return _weighted(mrz_found, STRUCTURAL, mrz=mrz, fields=fields, font=font)
 
 
 def visual_score(label: Column, confidence: Column) -> Column:
@@ -19,12 +30,14 @@ def visual_score(label: Column, confidence: Column) -> Column:
 
 
 def global_score(mrz_found: Column, visual: Column, structural: Column, metadata_risk: Column) -> Column:
-    meta = 1.0 - metadata_risk
-    return _unit(F.when(mrz_found, visual * 0.50 + structural * 0.30 + meta * 0.20).otherwise(visual * 0.55 + structural * 0.25 + meta * 0.20))
+    return _weighted(mrz_found, GLOBAL, visual=visual, structural=structural, metadata=1.0 - metadata_risk)
 
 
 def verdict(score: Column) -> Column:
-    return F.when(score >= 0.75, "Authentic").when(score >= 0.50, "Suspicious").otherwise("Fake")
+    out = F.lit("Fake")
+    for name, least in reversed(VERDICTS):
+        out = F.when(score >= least, name).otherwise(out)
+    return out
 
 
 def assemble_report(scans: DataFrame, ocr: DataFrame, fields: DataFrame, font: DataFrame, model: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from . import cards, evaluation, fields, forensics, history, mrz, reports, spatial  # noqa: F401
+    from . import cards, evaluation, fields, forensics, history, jobs, mrz, reports, spatial  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from ..fixtures import fx
 from ..operators import checks as op
 from ..operators import fusion
 from ..operators import mrz as zones
+from ..operators.lineage import cut
 from . import evaluation, forensics, mrz
 from .mrz import _AS_OF, _mrz_date_sql, _parse_sql, _TD3
 from .registry import query
@@ -94,8 +95,8 @@ _SUM = " + ".join(f"cast({c} as int)" for c in (*op.COHERENCE, *op.LOGIC))
 _MRZ_MODE = f"select c.scan_id, round((1 + {_SUM}) / 13.0::double, 4) as score from ({_COHERENCE}) c join ({_logic(_RECORDS, _mrz_date_sql)}) l on c.scan_id = l.scan_id"
 
 
-def mrz_mode(spark, sf_dir):
-    r = records(spark, sf_dir)
+def mrz_mode(spark, sf_dir, r=None):
+    r = records(spark, sf_dir) if r is None else r
     return op.mrz_mode_score(op.mrz_coherence(fx(spark, sf_dir, "fx_fields"), r, _AS_OF()), op.logical_consistency(r, _AS_OF(), True))
 
 
@@ -171,10 +172,10 @@ def verdict(spark, sf_dir):
 
 def full_report(spark, sf_dir):
     """Every zone's scan with the scores of the modules that have something for it."""
-    r = records(spark, sf_dir)
+    r = cut(records(spark, sf_dir))  # zones are read once
     ocr = r.select("scan_id", F.col("ocr_score").alias("score"), F.lit(True).alias("mrz_found"))
     model = evaluation.scores(spark, sf_dir).select("scan_id", "label", "confidence")
-    return fusion.assemble_report(r, ocr, mrz_mode(spark, sf_dir), forensics.font_score(spark, sf_dir), model, forensics.risk(spark, sf_dir))
+    return fusion.assemble_report(r, ocr, mrz_mode(spark, sf_dir, r), forensics.font_score(spark, sf_dir), model, forensics.risk(spark, sf_dir))
 
 
 _REPORT = f"""select scan_id, g as global_score, round(g * 100, 2) as global_score_display, case when g >= 0.75 then 'Authentic' when g >= 0.50 then 'Suspicious' else 'Fake' end as verdict, s as structural_score from (

@@ -7,6 +7,7 @@ from struct import pack
 import pytest
 from pyspark.sql import functions as F
 
+from docforensics import jobs
 from docforensics.fixtures import fx
 from docforensics.operators import checks, evaluation, fields, forensics, fusion, history, spatial, typography
 from docforensics.operators.ranges import in_ranges, running
@@ -490,6 +491,23 @@ def test_one_session_over_ranges(spark):
     assert [r["hit"] for r in got] == [*want, False, True, True]
 
 
+def test_jobs_over_small_tables(spark):
+    """Jobs that give several tables, and zones of cells without components."""
+    scored = spark.createDataFrame([(0.9, 1), (0.8, 1), (0.6, 0), (0.2, 0)], "prob_fake double, is_fake int")
+    out = jobs.model_evaluation(scored)
+    assert out["auc"].first()[0] == 1.0 and tuple(out["threshold"].first()) == (0.8, 1.0) and {r["name"]: r["support"] for r in out["report"].collect()}["accuracy"] == 4
+    log = spark.createDataFrame([(1, "a", "Fake", 1.0, "TD3", 5), (2, "a", "Fake", 3.0, "TD3", 6)], "id long, filename string, verdict string, score double, mrz_type string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    out = jobs.history_analytics(log)
+    assert [r["id"] for r in out["history"].orderBy("number").collect()] == [2, 1] and {r["image_id"] for r in out["replay"].collect()} == {2}
+    assert out["summary"].where("verdict = 'Fake' and mrz_type = 'TD3'").first()["mean_score"] == 2.0 and out["days"].where("day is null").first()["n"] == 2
+    cells = [(1, y, x, 0.9 if (y < 2 and x < 2) or (y > 7 and x > 7) else 0.1, 0.0) for y in range(10) for x in range(10)]
+    zones = jobs.suspicious_zone_ranking(spark.createDataFrame(cells, "scan_id long, y int, x int, heat double, coef double")).collect()
+    assert [(r["number"], tuple(r["comp_id"]), r["width"]) for r in sorted(zones, key=lambda r: r["number"])] == [(1, (0, 0), 2), (2, (8, 8), 2)]
+    uploads = spark.createDataFrame([(1, ".png", 5, "a"), (2, ".exe", 5, "a"), (3, ".jpg", 5, "a"), (4, ".jpg", 0, None)], "scan_id long, ext string, length long, sha256 string")
+    accepted, rejected = jobs.intake(uploads)
+    assert {(r["scan_id"], r["result_of"]) for r in accepted.collect()} == {(1, 1), (3, 1)} and {(r["scan_id"], r["status"]) for r in rejected.collect()} == {(2, 400), (4, 400)}
+
+
 def test_threshold_without_scores(spark):
     d = spark.createDataFrame([(None, 1), (0.9, 1), (0.5, 0), (None, 1), (None, 1)], "p double, t int")
     assert tuple(evaluation.best_threshold(d, "p", "t").first()) == (0.9, 0.4)
