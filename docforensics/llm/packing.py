@@ -120,19 +120,20 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int =
     Null text: the end id alone. Null ids, repeated rows and equal ids are pieces like any others.
     Empty input: no rows. Other columns are not read.
     """
-    cut = written(pieces(docs, tokenizer, max_tokens, end_id, id_col, text_col, with_ids), "pieces")
+    cut = written(pieces(docs, tokenizer, max_tokens, end_id, id_col, text_col, with_ids).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     plan = layout(histogram, max_tokens)
     per_cell = max(64, sum(histogram.values()) // 4096)
     salts = F.element_at(F.array(*(F.lit(-(-histogram.get(i + 1, 1) // per_cell)) for i in range(max_tokens))), F.col("length").cast("int"))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), salts))
+    # By the row's own key, so that equal rows are dealt to all cells
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("_row"), salts))
     counted = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ranked = salted.withColumn("n", F.row_number().over(Window.partitionBy("length", "salt").orderBy(id_col, "start", "ids_crc32")))
+    ranked = salted.withColumn("n", F.row_number().over(Window.partitionBy("length", "salt").orderBy(id_col, "start", "_row")))
     # max_tokens + 4096 rows at most
     ranked = ranked.join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("n") - 1)
-    names = cut.columns
+    names = [c for c in cut.columns if c != "_row"]
 
     def place(batches):
         big = np.int64(1) << 40
@@ -146,5 +147,5 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 1024, end_id: int =
             keep = [b.column(k) for k in names]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id bigint, offset bigint"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name in names) + ", sequence_id bigint, offset bigint"
     return ranked.select(*names, "rank").mapInArrow(place, schema)

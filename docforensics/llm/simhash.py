@@ -103,6 +103,10 @@ def _links_in_bucket(key: int, own: np.ndarray, other: np.ndarray) -> list[tuple
     return out
 
 
+#: Fingerprints that look up one key in one task, about.
+CROWD = 4096
+
+
 def near_links(fps: DataFrame, bucket: int = 1024) -> DataFrame:
     """Links (a, b) between distinct fingerprints so that two are joined by a path exactly if they
     are joined by pairs of at most 3 differing bits.
@@ -110,7 +114,7 @@ def near_links(fps: DataFrame, bucket: int = 1024) -> DataFrame:
     Pigeonring: of four segments in a ring, some chain starts with no difference, and its sums stay
     within 1, 2 and 3. So a pair shares a segment, and the next one but for one bit; those 32 bits
     are the key, looked up as it is and with one bit set. Keys of up to `bucket` fingerprints are
-    compared inside a task. Larger ones take an exact way without pairs: near fingerprints meet
+    compared inside a task, in parts where very many others look a key up. Larger ones take an exact way without pairs: near fingerprints meet
     at a point one bit from one and two from the other, so each sends itself to the points around
     it, and each point links what it got.
     """
@@ -120,28 +124,35 @@ def near_links(fps: DataFrame, bucket: int = 1024) -> DataFrame:
         keys += [F.when(second.bitwiseAND(1 << p) == 0, F.struct(_key(i, _segment(F.col("fp"), i), second + (1 << p)), F.lit(False).alias("own"))) for p in range(WIDTH)]
     sent = fps.select("fp", F.explode(F.array_compact(F.array(*keys))).alias("k")).select("fp", "k.key", "k.own")
     owners = fps.select(F.explode(F.array(*(k.getField("key") for k in keys[:SEGMENTS]))).alias("key")).groupBy("key").count()
+    owners = written(owners, "owners")
     hot = written(owners.where(F.col("count") > bucket).select("key"), "hot-keys")
+    # Keys with few owners that very many others are sent to, one bit away. Those come from 16 keys, so one of
+    # these has a 16th of them as its owners: only such keys are looked at
+    many_owners = owners.where(F.col("count") > CROWD // WIDTH)
+    sends = many_owners.select(F.explode(F.array_compact(F.array(*(F.when(F.col("key").bitwiseAND(1 << p) == 0, F.col("key") + (1 << p)) for p in range(WIDTH))))).alias("key"), "count")
+    crowd = written(sends.groupBy("key").agg(F.sum("count").alias("n")).where(F.col("n") > CROWD).select("key", F.ceil(F.col("n") / CROWD).cast("int").alias("parts")), "crowded-keys")
 
     def link(batches):
         key, own, other, out = None, [], [], []
 
         def flush():
             if key is not None and own and len(own) + sum(map(len, other)) > 1:
-                out.extend(_links_in_bucket(key, np.array(own, dtype=np.uint64), np.concatenate([*other, np.empty(0, np.uint64)])))
+                out.extend(_links_in_bucket(key[0], np.array(own, dtype=np.uint64), np.concatenate([*other, np.empty(0, np.uint64)])))
 
         for b in batches:
-            k = b.column("key").to_numpy()
+            k, salt = b.column("key").to_numpy(), b.column("salt").to_numpy()
             fp = b.column("fp").to_numpy().view(np.uint64)
             mine = b.column("own").to_numpy(zero_copy_only=False)
-            cut = np.flatnonzero(np.diff(k)) + 1
+            cut = np.flatnonzero((np.diff(k) != 0) | (np.diff(salt) != 0)) + 1
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(k)], strict=True):
-                if e - s == 1 and k[s] != key and e < len(k):  # alone
+                at = int(k[s]), int(salt[s])
+                if e - s == 1 and at != key and e < len(k):  # alone
                     flush()
                     key, own, other = None, [], []
                     continue
-                if k[s] != key:
+                if at != key:
                     flush()
-                    key, own, other = int(k[s]), [], []
+                    key, own, other = at, [], []
                 own += fp[s:e][mine[s:e]].tolist()  # they come first
                 if own:
                     other.append(fp[s:e][~mine[s:e]])
@@ -154,8 +165,11 @@ def near_links(fps: DataFrame, bucket: int = 1024) -> DataFrame:
         flush()
         yield _pairs(out)
 
-    usual = sent.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", F.desc("own"))
-    few = usual.select("key", "own", "fp").mapInArrow(link, "a bigint, b bigint")
+    # Others of a crowded key are dealt to its parts, and its owners (no more than a bucket) go to each part
+    parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("own"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")))
+    usual = sent.join(hot, "key", "left_anti").join(crowd, "key", "left").select("key", "own", "fp", F.explode(parts).alias("salt"))
+    usual = usual.repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("own"))
+    few = usual.mapInArrow(link, "a bigint, b bigint")
 
     # The way for large keys, over the 32 bits besides the key's.
     members = sent.join(hot, "key", "left_semi")

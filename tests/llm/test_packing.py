@@ -57,5 +57,22 @@ def test_plan_places_the_whole_histogram():
     assert len(layout({}, 100)["length"]) == 0
 
 
+def test_equal_rows_are_dealt_to_many_cells(spark, monkeypatch):
+    """Rows that are equal in everything, null ids included, are ranked in more than one cell."""
+    from docforensics.llm import packing
+
+    kept = {}
+    written = packing.written
+    monkeypatch.setattr(packing, "written", lambda d, n: kept.setdefault(n, written(d, n)))
+    d = spark.createDataFrame([(None, "the same")] * 4000, "doc_id long, text string")
+    out = pack(d, FILE, max_tokens=64)
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert kept["pieces"].select("_row").distinct().count() == 4000
+    rows = out.collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) == 4000
+    cells = kept["pieces"].selectExpr("pmod(xxhash64(_row), 63) as c").groupBy("c").count().collect()
+    assert len(cells) == 63 and max(r["count"] for r in cells) < 200
+
+
 def test_empty(empty):
     assert pack(empty, FILE).count() == 0

@@ -91,3 +91,39 @@ def test_long_chain(spark):
 
 def test_empty(empty):
     assert simhash.simhash_components(empty).count() == 0
+
+
+def test_few_owners_of_a_crowded_key(spark, monkeypatch):
+    """Very many fingerprints one bit from a key with one owner: they are dealt to parts, and no link is lost."""
+    monkeypatch.setattr(simhash, "CROWD", 64)
+    kept = {}
+    written = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda d, n: kept.setdefault(n, written(d, n)))
+    rng = random.Random(7)
+    owner = rng.getrandbits(64) | 1 << 16  # a bit of the second segment that the others lack
+    fps = {owner}
+    for i in range(900):
+        x = (owner & 0xFFFFFFFF) ^ (1 << 16) | rng.getrandbits(32) << 32
+        if i % 30 == 0:
+            x = owner ^ (1 << 16) ^ (1 << rng.randrange(32, 64)) ^ (1 << rng.randrange(32, 64))
+        fps.add(x)
+    d = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    links = {(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.near_links(d).collect()}
+    assert all(bin(a ^ b).count("1") <= 3 for a, b in links)
+    crowd = {r["key"]: r["parts"] for r in kept["crowded-keys"].collect()}
+    key = ((owner >> 0) & 0xFFFF) << 16 | ((owner >> 16) & 0xFFFF)
+    assert crowd[key] >= 900 // 64
+    parent = {x: x for x in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    groups = _brute(fps)
+    by_root = {}
+    for x in fps:
+        by_root.setdefault(find(x), set()).add(groups[x])
+    assert all(len(g) == 1 for g in by_root.values()) and len(by_root) == len(set(groups.values()))
