@@ -13,6 +13,8 @@ from ._common import chunks, hot_join, removed, written
 
 #: Bits of the filter that leaves out runs of words that are too rare for a phrase.
 FILTER = 27
+#: Bits of a hash by which runs are counted for the filter.
+KEPT = 40
 #: Bytes of text at a time: a word takes some 200 bytes of arrays.
 CHUNK = 1 << 20
 #: Bytes as they part the text: 0 in a word, 1 between words, 2 between pieces.
@@ -101,13 +103,13 @@ def _common(texts: DataFrame, least: int, order: int):
                 words = _words(b)
                 for i, (h, there) in enumerate(_runs(words, have, k) if len(words[2]) else (), 1):
                     if i == k or k == 2:
-                        key, n = np.unique(h[there], return_counts=True)
+                        key, n = np.unique(h[there] >> np.uint64(64 - KEPT), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
         counted = texts.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         # One row for each 64 bits of the filter: 16 MB at most, whatever the number of words
-        place = F.shiftrightunsigned("h", 64 - FILTER)
-        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER}) & 63 as int))")
+        place = F.shiftrightunsigned("h", KEPT - FILTER)
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {KEPT - FILTER}) & 63 as int))")
         found = counted.groupBy(F.shiftright(place, 6).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
         table[found.column("at").to_numpy()] |= found.column("bits").to_numpy()
         if bits is not None:
