@@ -121,7 +121,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     Output: id, lang_pred (a learned language, `und` for a null text or one without a letter, or
     if no language was learned), score (0 to 1: the decoded share of the language), ambiguous
     (the second nearest codeword is less than ambiguous_below behind), and the columns in `keep`
-    as in_<name>. Ties go to the language that comes first. One row for each row, no shuffle.
+    as in_<name>. Ties go to the language that comes first. One row for each row, no shuffle;
+    repeated rows and null ids stay. Empty input: no rows. Other columns, whatever their names, are
+    not read. A text of more than 50,000 bytes is summed by its distinct n-grams, which differs in rounding alone.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 65536 x bits, whatever the corpus
 

@@ -240,7 +240,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Output: id, fp (signed long), component_id, and the columns in `keep` as in_<name>; other
     columns are not read. Repeated rows stay. A null id takes no part as smallest; a component of
-    null ids alone has a null component_id. Empty input: no rows.
+    null ids alone has a null component_id. Empty input: no rows. A very long text is held whole by
+    one task, its shingles' bits are added up in blocks.
     """
     marked = written(fingerprints(docs, id_col, text_col, shingle, keep), "fingerprints")
     least = written(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")

@@ -82,7 +82,8 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     Spaces become the vocabulary's mark, with one more in front; nothing else is normalised. No
     piece holds a mark after another character, so a text is cut before each run of marks, and
     the parts are independent. Output: id, n_chars, n_tokens, score. Null and empty texts have no
-    tokens. One row for each row, nothing is shuffled; null ids and copies stay.
+    tokens. One row for each row, nothing is shuffled; null ids and repeated rows stay. Empty input: no
+    rows. Other columns, whatever their names, are not read. A very long text is held whole by one task.
     """
     key, data = shipped(docs.sparkSession, model)
 
