@@ -204,7 +204,7 @@ _FIRST = "select scan_id, field, {value} as value from w where field = '{field}'
     f"with w as ({_WORDS}), "
     + "named as (select scan_id, field, v, row_number() over (partition by scan_id order by abs(len(v) - 6), n) as i from (select *, "
     + f"{_LETTERS} as v from w where field = 'names') where len(v) >= 2), "
-    + "dated as (select scan_id, field, regexp_extract(string_agg(text, ' ' order by n), '[0-9]{2}[.\-/ ][0-9]{2}[.\-/ ][0-9]{2,4}') as value from w where field in ('date_of_birth', 'expiration_date') group by all) "
+    + r"dated as (select scan_id, field, regexp_extract(string_agg(text, ' ' order by n), '[0-9]{2}[.\-/ ][0-9]{2}[.\-/ ][0-9]{2,4}') as value from w where field in ('date_of_birth', 'expiration_date') group by all) "
     + " union all ".join(
         (
             "(" + _FIRST.format(value="case when contains(upper(text), 'M') then 'M' else 'F' end", field="sex", where="upper(text) in ('M', 'F', 'M/M')", order="") + ")",
