@@ -222,4 +222,4 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, order: int =
         cells = 0 if cells == 1 else max(1, cells // 16)
     ranked = best
     n = counts.where(size == 0).select("lang", F.col("f").alias("n"))
-    return ranked.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(n, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -176,7 +176,7 @@ ORACLE_SQL: dict[str, str] = {
             from cuts c join f x on c.lang = x.lang and x.w = c.w[1:c.k] join f y on c.lang = y.lang and y.w = c.w[c.k + 1:]
         ),
         best as (select lang, array_to_string(w, ' ') as phrase, a, l, r, score from scored qualify row_number() over (partition by lang, w order by score, k) = 1)
-        select best.lang, cast(row_number() over (partition by best.lang order by score desc, a desc, phrase) as int) as rank, phrase, a, l, r, n, score
+        select best.lang, cast(row_number() over (partition by best.lang order by score desc, a desc, phrase) as bigint) as rank, phrase, a, l, r, n, score
         from best join totals on best.lang = totals.lang qualify rank <= 2000
     """,
     "op13_lloyd": _lloyd_sql(),
