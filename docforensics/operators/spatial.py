@@ -238,7 +238,7 @@ def spatial_fields(tokens: DataFrame, as_of: Column, pages: DataFrame | None = N
     gives neither surname nor names they go the generic way as well, which then alone counts.
     readings and words: see template_fields. Scans without a page have no type.
 
-    Words are numbered in rows once and cut off there; all passes work on them as they are laid out, by scan.
+    Words are numbered in rows once and cut off there; each pass deals them out by scan once.
     """
     if pages is None:
         return _generic_fields(tokens, as_of)
@@ -259,7 +259,7 @@ def spatial_fields(tokens: DataFrame, as_of: Column, pages: DataFrame | None = N
 
 
 def _generic_fields(tokens: DataFrame, as_of: Column) -> DataFrame:
-    rows = cut(numbered_rows(tokens if "row_key" in tokens.columns else group_token_rows(tokens)))
+    rows = cut(numbered_rows(tokens if "row_key" in tokens.columns else group_token_rows(tokens))).repartition("scan_id")  # each pass deals them out once
     fields = resolve_passes(value_after_phrase(rows), value_after_label(rows), regex_values(rows, as_of), upper_values(rows))
     return fields.join(field_bbox(rows, fields.select("scan_id", "field", "value")), ["scan_id", "field"], "left").select("scan_id", "field", "value", "pass", "x", "y", "w", "h")
 
