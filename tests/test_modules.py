@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 from collections import OrderedDict
 from difflib import SequenceMatcher
@@ -541,3 +542,30 @@ def test_alike_words_against_all_pairs(spark):
             assert got[i][1] >= max(hits.values())
         else:
             raise AssertionError((w, hits))
+
+
+@pytest.mark.parametrize(("table", "fixture", "key"), [("customer", "fx_mrz", "c_custkey"), ("documents", "fx_lines", "doc_id"), ("orders", "fx_dated_lines", "o_orderkey")])
+def test_rows_of_one_file_are_dealt_by_scan(spark, tmp_path, table, fixture, key):
+    """One exchange, by scan, also where the file is of one part."""
+    columns = {"customer": "c_nationkey bigint, c_mktsegment string", "documents": "text string", "orders": "o_custkey bigint"}[table]
+    row = {"customer": (1, "BUILDING"), "documents": ("one\ntwo",), "orders": (1,)}[table]
+    spark.createDataFrame([(i, *row) for i in range(100)], f"{key} bigint, {columns}").coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))
+    d = fx(spark, str(tmp_path), fixture)
+    assert d.rdd.getNumPartitions() >= 4
+    assert d.select("scan_id").distinct().count() == 100
+
+
+def test_shares_of_halves_are_decimals(spark):
+    """0.70 of 45 rows is 31.5, which rounds up; as a double it is a little less."""
+    d = spark.range(45).select("id", F.lit(1).alias("c"))
+    out = {r["split"]: r["count"] for r in evaluation.stratified_split(d, "id", "c").groupBy("split").count().collect()}
+    assert out == {"train": 32, "val": 7, "test": 6}
+
+
+def test_marks_go_fast_and_whole(spark):
+    """The bounded class takes the same characters as all ranges of combining marks, and ligatures come apart."""
+    marks = [chr(i) for i in range(0x300, 0x1F000) if unicodedata.combining(chr(i))]
+    texts = ["plain", "ǄﬃĲ", "été", *("a" + m for m in marks)]
+    out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fields.without_marks(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [r["v"] for r in out] == ["plain", "DZffiIJ", "ete", *("a" for _ in marks)]
+    assert fields.MARKS.startswith("[\\x{300}-\\x{1F000}&&")
