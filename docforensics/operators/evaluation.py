@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +115,8 @@ def stratified_split(rows: DataFrame, id_col: str, class_col: str, train: float
     cells = cells.withColumnsRenamed({class_col: "_class", "_cell": "_at"})
     d = d.join(cells, F.col(class_col).eqNullSafe(F.col("_class")) & F.col("_cell").eqNullSafe(F.col("_at")))
     rank = F.col("_before") + F.row_number().over(Window.partitionBy(class_col, "_cell").orderBy("_h", id_col))
-    part = F.when(rank <= F.round(F.col("_total") * train), "train").when(rank <= F.round(F.col("_total") * train) + F.round(F.col("_total") * val), "val").otherwise("test")
+    share = lambda x: F.round(F.col("_total") * F.lit(Decimal(str(x))))
+    part = F.when(rank <= share(train), "train").when(rank <= share(train) + share(val), "val").otherwise("test")
     return d.withColumn("split", part).drop("_h", "_cell", "_class", "_at", "_before", "_total")
 
 
