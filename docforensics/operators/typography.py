@@ -39,8 +39,11 @@ def _gaps(glyphs: DataFrame, by: str) -> DataFrame:
 
 
 def glyph_line_alignment(glyphs: DataFrame) -> DataFrame:
-    """Lines part where a gap exceeds five medians; their mean deviation must stay below 0.08 of the strip. Above ten glyphs only."""
-    order = Window.partitionBy("scan_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    """Lines part where a gap exceeds five medians; their mean deviation must stay below 0.08 of the strip. Above ten glyphs only.
+
+    Glyphs of one height are of one line, whichever of them the gap is counted at.
+    """
+    order = Window.partitionBy("scan_id").orderBy("v").rangeBetween(Window.unboundedPreceding, 0)
     d = _gaps(glyphs, "cy").withColumn("line", F.sum(F.coalesce((F.col("gap") > 5 * F.col("median")).cast("int"), F.lit(0))).over(order))
     line = d.groupBy("scan_id", "n", "strip_h", "line").agg(F.stddev_pop("v").alias("s"), F.count("*").alias("m"))
     scan = line.groupBy("scan_id", "n", "strip_h").agg(F.avg(F.when(F.col("m") > 1, F.col("s"))).alias("s"))

@@ -212,6 +212,6 @@ FONT_SQL = f"""select u.scan_id, u.n >= 5 as enough_components, case when u.n >=
   from ({_UNIFORM}) u join ({_ALIGN}) a on u.scan_id = a.scan_id join ({_SPACE}) p on u.scan_id = p.scan_id"""
 
 
-@query(FONT_SQL)
+@query(FONT_SQL.replace("order by cy rows unbounded preceding", "order by cy range unbounded preceding"))  # glyphs of one height are of one line
 def font_score(spark, sf_dir):
     return ty.font_score(strip(spark, sf_dir)).select("scan_id", "enough_components", "score")

@@ -12,7 +12,7 @@ from docforensics import jobs
 from docforensics.fixtures import fx
 from docforensics.operators import checks, evaluation, fields, forensics, fusion, history, spatial, typography
 from docforensics.operators.ranges import in_ranges, running
-from docforensics.plans.registry import queries
+from docforensics.plans.registry import SQL, queries
 from docforensics.sources import tables
 from docforensics.streaming import intake
 
@@ -569,3 +569,35 @@ def test_marks_go_fast_and_whole(spark):
     out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fields.without_marks(F.col("t")).alias("v")).orderBy("i").collect()
     assert [r["v"] for r in out] == ["plain", "DZffiIJ", "ete", *("a" for _ in marks)]
     assert fields.MARKS.startswith("[\\x{300}-\\x{1F000}&&")
+
+
+def test_glyphs_of_one_height_are_of_one_line(spark):
+    """The gap is counted at one of the two glyphs at 100; both lie below it, in whatever order they come."""
+    tops = [0] * 7 + [1, 2, 3, 4] + [100, 100]
+    d = spark.createDataFrame([(1, t - 5, 10 * i, t + 5, 10 * i + 6, 40.0, float(t), 10.0 * i + 3, 160) for i, t in enumerate(tops)], "scan_id int, top int, left int, bottom int, right int, area double, cy double, cx double, strip_h int")
+    order = "order by cy range unbounded preceding"
+    queries()
+    assert order in SQL["font_score"] and "order by cy rows" not in SQL["font_score"]
+    assert "RangeFrame, unboundedpreceding" in typography.glyph_line_alignment(d)._jdf.queryExecution().analyzed().toString()
+    assert typography.glyph_line_alignment(d).first()["horizontal_alignment"]
+
+
+def test_upper_case_lines_against_their_sql(spark, tmp_path):
+    """Lines beyond ASCII, labels alone, and other white space, in both engines."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["ÜBER ÅSE", "NOM", "NAME PETER", "ABC\tDEF", "STRASSE", "STRAßE", "FAMILYSURNAME", "ИВАН", "A-B C", "A B C D E", "PRÉNOM ANNA", "Anna", "X1", "漢字", "GIVEN NAME", "ﬁ"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r[0], r[2]) for r in queries()["uppercase_name_candidates"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {(r[0], r[2]) for r in con.execute(SQL["uppercase_name_candidates"]).fetchall()} == got
+    assert {i for i, _ in got} == {0, 2, 3, 4, 7, 8, 10, 13}
+
+
+def test_given_rows_leave_no_copy_of_all_words(spark, monkeypatch):
+    """Where rows are given only the chosen values are kept on disk, not the words."""
+    kept = []
+    monkeypatch.setattr(spatial, "cut", lambda d: kept.append(d.columns) or d)
+    d = spark.createDataFrame([(1, 0, i, t, 100 * i, 0, 80, 16, 90, 0) for i, t in enumerate(("Surname", "MARTIN"))], "scan_id int, line_no int, word_no int, text string, left int, top int, width int, height int, conf int, row_key int")
+    out = spatial.spatial_fields(d, AS_OF()).collect()
+    assert [(r["field"], r["value"], r["pass"]) for r in out] == [("surname", "MARTIN", 2)] and kept == [["scan_id", "field", "value", "pass"]]
