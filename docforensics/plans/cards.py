@@ -140,7 +140,7 @@ _PASSES = (
 @query(_table("field, value, pass", *_PASSES))
 def resolve_passes_cards(spark, sf_dir):
     """All four passes: a date with slashes is taken by its label and then isn't plausible."""
-    return spatial.spatial_fields(rows(spark, sf_dir), _AS_OF()).select("scan_id", "field", "value", "pass")
+    return spatial.spatial_fields(fx(spark, sf_dir, "fx_card_tokens"), _AS_OF()).select("scan_id", "field", "value", "pass")
 
 
 @query("select scan_id, 'ALB' as doc_type from fx_card_base where scan_id % 4 in (0, 2)")

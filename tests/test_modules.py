@@ -601,3 +601,16 @@ def test_given_rows_leave_no_copy_of_all_words(spark, monkeypatch):
     d = spark.createDataFrame([(1, 0, i, t, 100 * i, 0, 80, 16, 90, 0) for i, t in enumerate(("Surname", "MARTIN"))], "scan_id int, line_no int, word_no int, text string, left int, top int, width int, height int, conf int, row_key int")
     out = spatial.spatial_fields(d, AS_OF()).collect()
     assert [(r["field"], r["value"], r["pass"]) for r in out] == [("surname", "MARTIN", 2)] and kept == [["scan_id", "field", "value", "pass"]]
+
+
+@pytest.mark.parametrize("find", [spatial.value_after_label, spatial.value_after_phrase])
+def test_words_are_exchanged_once(spark, find):
+    """Labels find their row's words without a join of all rows."""
+    d = spark.createDataFrame([(1, 0, 0, "Nom", 0, 0, 80, 0)], "scan_id int, line_no int, word_no int, text string, left int, top int, width int, row_key int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = find(d)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(scan_id") <= 2  # words, and the values found
