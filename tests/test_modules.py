@@ -614,3 +614,37 @@ def test_words_are_exchanged_once(spark, find):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(scan_id") <= 2  # words, and the values found
+
+
+def _odd_lines(spark):
+    texts = [
+        ["Mbiemri/Surname", "HOXHA", "Emri/Given name: Arta", "Nationality", "shqiptare", "12.04.1990 01/01/2030 1999-99-99", "Nr 123456789 AB1234567"],
+        [None, "Sex: F / M", "nationalité: FRANÇAISE", "Albanian", "ÉLODIE-ANNE", "Date of birth 12.04.1990", ""],
+        ["surname name given", "name", "surname", "12.04.1890", "sexe\rféminin"], ["plain words of a page"], [None],
+    ]
+    rows = [(k, 2 * i, t, 0.0, 20.0 * i * (1 + k), 0.5 + i / 100) for k, lines in enumerate(texts) for i, t in enumerate(lines)]
+    return spark.createDataFrame(rows, "scan_id long, line_no int, text string, x double, y double, conf double")
+
+
+def test_all_candidates_are_those_of_each_kind(spark):
+    d = _odd_lines(spark)
+    each = (fields.label_candidates(d), fields.anchor_candidates(d), fields.date_candidates(d, AS_OF()), fields.docnum_candidates(d), fields.sex_candidates(d), fields.nationality_candidates(d), fields.uppercase_name_candidates(d))
+    want = [tuple(r) for found in each for r in found.select("scan_id", "field", "value", "score", "step", "seq").collect()]
+    got = [tuple(r) for r in fields.all_candidates(d, AS_OF()).select("scan_id", "field", "value", "score", "step", "seq").collect()]
+    assert {r[4] for r in want} == set(range(1, 9)) and sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize(("name", "most"), [("rank_candidates", 1), ("first_name_fallback", 2), ("field_mining", 3)])
+def test_lines_are_read_once_for_all_candidates(spark, name, most):
+    """Once for the candidates, once for missing names and once for the second extractor."""
+    d = _odd_lines(spark)
+    ranked = lambda: fields.rank_candidates(fields.all_candidates(d, AS_OF()), AS_OF())
+    out = {"rank_candidates": ranked, "first_name_fallback": lambda: fields.first_name_fallback(fields.wide(ranked()), d), "field_mining": lambda: fields.field_mining(d, AS_OF())}[name]()
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().length() == most
+
+
+def test_missing_names(spark):
+    """A line of title case after the surname's, else the surest; a scan without lines keeps its row."""
+    d = spark.createDataFrame([(1, 0, "HOXHA", 0.9), (1, 1, "Arta", 0.1), (1, 2, "Zana", 0.9), (2, 0, "Hoxha", 0.9), (2, 1, "Arta", 0.5), (3, 0, "HOXHA", 0.9), (3, 1, "Arta", 0.9)], "scan_id long, line_no int, text string, conf double")
+    f = spark.createDataFrame([(1, "Hoxha", None), (2, "Kola", None), (3, "Hoxha", "Hoxha"), (4, "Kola", None), (5, None, None)], "scan_id long, surname string, names string")
+    assert {r["scan_id"]: r["names"] for r in fields.first_name_fallback(f, d).collect()} == {1: "Arta", 2: "Hoxha", 3: None, 4: None, 5: None}
