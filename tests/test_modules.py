@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 import zlib
 from collections import OrderedDict
@@ -582,6 +583,22 @@ def test_glyphs_of_one_height_are_of_one_line(spark):
     assert typography.glyph_line_alignment(d).first()["horizontal_alignment"]
 
 
+def test_boxes_against_their_sql(spark, tmp_path):
+    """Letters whose upper case is several letters: both engines find a value in the same row; the job holds ß and SS to be the same."""
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["gro mut xyz\nGroßmutxyz", "gross mut xyz\nGroßmutxyz", "of ice ab\nofﬁceab", "office ab\nofﬁceab\nofﬃceab", "#######ß", "Straßenbahn", "a\nÉCOLEabcd", "jǰǰǰǰǰǰǰ\nJ J J"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in queries()["field_bbox"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert set(con.execute(SQL["field_bbox"]).fetchall()) == got
+    assert {(r[0], r[2]) for r in got if r[0] < 2} == {(0, 0), (1, 20)} and 4 not in {r[0] for r in got}
+    latin = re.compile("[A-Z0-9À-ÖØ-öø-ÿ]")
+    assert set(spatial.SEVERAL) == {c for c in map(chr, range(0x110000)) if len(c.upper()) > 1 and latin.search(c.upper())}
+    words = spark.createDataFrame([(1, 0, 0, "AB12ß456", 0, 0, 64, 0)], "scan_id int, line_no int, word_no int, text string, left int, top int, width int, row_key int")
+    assert spatial.field_bbox(words, spark.createDataFrame([(1, "number", "AB12SS456")], "scan_id int, field string, value string")).count() == 1
+
+
 def test_upper_case_lines_against_their_sql(spark, tmp_path):
     """Lines beyond ASCII, labels alone, and other white space, in both engines."""
     duckdb = pytest.importorskip("duckdb")
