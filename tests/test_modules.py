@@ -665,3 +665,54 @@ def test_missing_names(spark):
     d = spark.createDataFrame([(1, 0, "HOXHA", 0.9), (1, 1, "Arta", 0.1), (1, 2, "Zana", 0.9), (2, 0, "Hoxha", 0.9), (2, 1, "Arta", 0.5), (3, 0, "HOXHA", 0.9), (3, 1, "Arta", 0.9)], "scan_id long, line_no int, text string, conf double")
     f = spark.createDataFrame([(1, "Hoxha", None), (2, "Kola", None), (3, "Hoxha", "Hoxha"), (4, "Kola", None), (5, None, None)], "scan_id long, surname string, names string")
     assert {r["scan_id"]: r["names"] for r in fields.first_name_fallback(f, d).collect()} == {1: "Arta", 2: "Hoxha", 3: None, 4: None, 5: None}
+
+
+def _odd_words(spark):
+    """Pages of labels, values and odd words: parts of words, marks, nulls, line ends within words, null and negative places."""
+    rng = random.Random(11)
+    words = ["Surname", "Mbiemri/Surname", "Name:", "prénoms", "Né", "n°", "date", "of", "birth", "Date", "de", "naissance", "given", "name", "first\nname", "Sex", "genre", "M", "f", "male", "Féminin", "ﬁrst", "12/04/1990", "01.01.2031", "1999-99-99", "2030-05-06",
+             "AB1234567", "123456", "ANNA", "MARIE-ÈVE", "DE", "Île", "", None, "-", "a b", "Nationality", "FRA", "Nr", "personal", "no", "document", "X\ty", "ſex", "İ"]
+    rows = []
+    for scan in range(120):
+        for line in range(rng.randint(1, 7)):
+            key = None if rng.random() < 0.03 else 30 * line * rng.choice((1, 1, 1, 3))
+            rows += [(scan, line, i, rng.choice(words), None if rng.random() < 0.02 else 60 * i + rng.randint(-70, 70), 40 * line, 50, 16, 90, key) for i in range(rng.randint(1, 9))]
+    return spark.createDataFrame(rows, "scan_id int, line_no int, word_no int, text string, left int, top int, width int, height int, conf int, row_key int")
+
+
+def test_passes_in_one_look_are_those_of_each(spark):
+    """Rows are gathered once for all passes, which find what each of them finds alone."""
+    d = _odd_words(spark)
+    each = spatial.resolve_passes(spatial.value_after_phrase(d), spatial.value_after_label(d), spatial.regex_values(d, AS_OF()), spatial.upper_values(d))
+    once = spatial.resolved(spatial.all_passes(d, AS_OF()))
+    got = sorted(tuple(r) for r in once.select("scan_id", "field", "value", "pass").collect())
+    assert got == sorted(tuple(r) for r in each.select("scan_id", "field", "value", "pass").collect())
+    assert {r[3] for r in got} == {1, 2, 3, 4} and once._jdf.queryExecution().optimizedPlan().collectLeaves().length() == 1
+
+
+def test_labels_by_a_walk_over_words(spark):
+    """Values beside labels of one and of several words, found word by word in Python."""
+    d = _odd_words(spark)
+    clean = lambda t: re.sub("[^a-z0-9]", "", fields._without_marks(t or "").lower())
+    parts = lambda t: re.split("[^a-z0-9]+", fields._without_marks(t or "").lower())
+    low = lambda x: (x is not None, x)
+    scans = {}
+    for r in d.collect():
+        scans.setdefault(r["scan_id"], {}).setdefault(r["row_key"], []).append(r)
+    want = {"label": {}, "phrase": {}}
+    for scan, rows in scans.items():
+        rows = [(y, sorted(rows[y], key=lambda r: (low(r["left"]), r["line_no"], r["word_no"]))) for y in sorted(rows, key=low)]
+        for n, (y, row) in enumerate(rows):
+            below = rows[n + 1] if n + 1 < len(rows) else (None, [])
+            for i in range(len(row)):
+                found = [("label", k, f, i) for k, (w, f) in enumerate(spatial.KEYWORDS.items()) if spatial._plain(w) and spatial._plain(w) in (clean(row[i]["text"]), *parts(row[i]["text"]))]
+                found += [("phrase", k, f, i + p.count(" ")) for k, (p, f) in enumerate(spatial.PHRASES) if " ".join(clean(r["text"]) for r in row[i : i + 1 + p.count(" ")]) == p]
+                for kind, k, f, last in found:
+                    begin, end = row[i]["left"], None if row[last]["left"] is None else row[last]["left"] + 50
+                    right = [r for r in row[last + 1 :] if r["left"] is not None and end is not None and r["left"] >= end - 5]
+                    near = y is not None and below[0] is not None and below[0] - y <= 60
+                    chosen = right or [r for r in below[1] if near and r["left"] is not None and begin is not None and r["left"] >= begin - 20]
+                    if value := " ".join(r["text"] for r in chosen if r["text"] is not None):
+                        want[kind].setdefault((scan, k), (f, value))
+    for kind, find in (("label", spatial.value_after_label), ("phrase", spatial.value_after_phrase)):
+        assert {(r["scan_id"], r["k"]): (r["field"], r["value"]) for r in find(d).collect()} == want[kind] and len(want[kind]) > 5
